@@ -1,0 +1,2 @@
+"""The operator inventory holds no streaming source, sink or stateful operator, so
+this package stays empty: time series are rows of ordinary tables here."""
