@@ -56,9 +56,8 @@ def sequence_digest(
     if groups:
         placed = lines.join(counts.select(*groups, parts.alias("_parts"), "rows"), groups).withColumn("_part", part)
     else:
-        total = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-        placed = lines.withColumn("rows", F.lit(total)).withColumn(
-            "_parts", F.lit(max(1, -(-total // part_rows)))
+        placed = lines.withColumn("rows", df.agg(F.count(F.lit(1))).scalar()).withColumn(
+            "_parts", parts
         ).withColumn("_part", part)
     joined = lambda listed, name: F.array_join(F.transform(F.array_sort(listed), lambda r: r[name]), "")
     digested = placed.groupBy(*groups, "rows", "_parts", "_part").agg(

@@ -103,8 +103,8 @@ def number_rows(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
 def assign_round_robin(parents: DataFrame, key: str, children: DataFrame, series: str) -> DataFrame:
     """WIN-01: child number i goes to parent number ``1 + (i - 1) % n``."""
     numbered = number_rows(parents, key)
-    size = numbered.count()
-    slot = (F.pmod(F.col(series) - 1, F.lit(size)) + 1).alias("ordinal")
+    size = numbered.agg(F.count(F.lit(1))).scalar()
+    slot = F.pmod(F.col(series) - 1, size) + 1
     return children.withColumn("ordinal", slot).join(numbered, "ordinal").drop("ordinal")
 
 
