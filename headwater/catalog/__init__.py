@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with the SQL that checks it."""
 
-from headwater.catalog import analytics, integrity
+from headwater.catalog import analytics, integrity, rasters, releases
 from headwater.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "integrity"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "integrity", "rasters", "releases"]

@@ -34,30 +34,39 @@ def multipolygon(kind: Column, coordinates: Column) -> Column:
     return F.when(F.size(points(built)) > 0, built)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: lambdas would evaluate it on every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def points(geometry: Column) -> Column:
     return F.flatten(F.flatten(geometry))
 
 
 def bbox(geometry: Column) -> Column:
     """AGG-25 for one row: struct of minx, miny, maxx, maxy; null without points."""
-    flat = points(geometry)
-    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
-    return F.when(
-        F.size(flat) > 0,
-        F.struct(
+    def box(flat):
+        xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
+        return F.struct(
             F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
             F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"),
-        ),
-    )
+        )
+
+    return F.when(F.size(points(geometry)) > 0, _bound(points(geometry), box))
 
 
 def _ring_area(ring: Column) -> Column:
-    steps = F.size(ring) - 1
-    crosses = F.zip_with(
-        F.slice(ring, F.lit(1), steps), F.slice(ring, F.lit(2), steps),
-        lambda a, b: a["x"] * b["y"] - b["x"] * a["y"],
-    )
-    return F.abs(F.aggregate(crosses, F.lit(0.0), lambda total, c: total + c)) / 2
+    """Shoelace formula relative to the first point, which keeps small rings far from the
+    origin exact."""
+    def measured(bound):
+        steps, origin = F.size(bound) - 1, F.get(bound, 0)
+        crosses = F.zip_with(
+            F.slice(bound, F.lit(1), steps), F.slice(bound, F.lit(2), steps),
+            lambda a, b: (a["x"] - origin["x"]) * (b["y"] - origin["y"]) - (b["x"] - origin["x"]) * (a["y"] - origin["y"]),
+        )
+        return F.abs(F.aggregate(crosses, F.lit(0.0), lambda total, c: total + c)) / 2
+
+    return _bound(ring, measured)
 
 
 def area(geometry: Column) -> Column:
@@ -280,12 +289,20 @@ def covers(parent: Column, child: Column) -> Column:
     A bounding-box test comes first, so most misses cost little. Approximate in one case: a
     child that spans a notch with all its vertices on the parent's ring.
     """
-    outer, inner = bbox(parent), bbox(child)
-    boxed = (
-        (outer["minx"] <= inner["minx"]) & (outer["miny"] <= inner["miny"])
-        & (outer["maxx"] >= inner["maxx"]) & (outer["maxy"] >= inner["maxy"])
-    )
-    edges = _all_edges(parent)
-    vertices_in = F.forall(points(child), lambda p: _point_covered(edges, p))
-    crossing = F.exists(_all_edges(child), lambda e: F.exists(edges, lambda o: _properly_cross(o, e)))
-    return F.coalesce(F.when(boxed, vertices_in & ~crossing).otherwise(F.lit(False)), F.lit(False))
+    def boxed(boxes):
+        outer, inner = boxes["outer"], boxes["inner"]
+        return (
+            (outer["minx"] <= inner["minx"]) & (outer["miny"] <= inner["miny"])
+            & (outer["maxx"] >= inner["maxx"]) & (outer["maxy"] >= inner["maxy"])
+        )
+
+    def inside(edges):
+        vertices_in = F.forall(points(child), lambda p: _point_covered(edges["outer"], p))
+        crossing = F.exists(
+            edges["inner"], lambda e: F.exists(edges["outer"], lambda o: _properly_cross(o, e))
+        )
+        return vertices_in & ~crossing
+
+    near = _bound(F.struct(bbox(parent).alias("outer"), bbox(child).alias("inner")), boxed)
+    exact = _bound(F.struct(_all_edges(parent).alias("outer"), _all_edges(child).alias("inner")), inside)
+    return F.coalesce(F.when(near, exact).otherwise(F.lit(False)), F.lit(False))
