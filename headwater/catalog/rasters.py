@@ -219,8 +219,9 @@ def covers(t):
     moved = children.withColumn("geometry", F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(
         r, lambda q: F.struct((q["x"] + 1e-9).alias("x"), (q["y"] + 1e-9).alias("y"))
     ))))
-    joined = moved.join(parents.withColumnRenamed("geometry", "parent"), "runid")
-    return joined.select("runid", G.covers(F.col("parent"), F.col("geometry")).alias("in")).groupBy("runid").agg(
+    prepared = parents.select("runid", G.bbox(F.col("geometry")).alias("box"), G.edges(F.col("geometry")).alias("edges"))
+    joined = moved.join(prepared, "runid")
+    return joined.select("runid", G.covers(F.col("box"), F.col("edges"), F.col("geometry")).alias("in")).groupBy("runid").agg(
         F.count(F.lit(1)).alias("children"), F.count_if("in").alias("covered")
     )
 

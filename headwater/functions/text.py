@@ -131,11 +131,11 @@ def secret_keys_in_json(document: Column) -> Column:
     """FN-S12: the secret-bearing object keys anywhere in a JSON text, in document order.
 
     A key token is a JSON string followed by a colon. Strings are matched whole, so a
-    colon inside a value does not turn that value into a key.
+    colon inside a value does not turn that value into a key; only keys fill the group.
     """
-    tokens = F.regexp_extract_all(document, F.lit(r'"((?:[^"\\]|\\.)*)"\s*(:?)'), F.lit(0))
-    keys = F.transform(
-        F.filter(tokens, lambda t: t.endswith(":")),
-        lambda t: F.replace(F.lower(F.regexp_extract(t, r'^"((?:[^"\\]|\\.)*)"', 1)), F.lit("-"), F.lit("_")),
+    string = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+    names = F.regexp_extract_all(document, F.lit(rf'"({string})"\s*+:|"{string}"'), F.lit(1))
+    plain = F.transform(
+        F.filter(names, lambda n: n != ""), lambda n: F.replace(F.lower(n), F.lit("-"), F.lit("_"))
     )
-    return F.filter(keys, lambda k: k.isin(*SECRET_KEYS))
+    return F.filter(plain, lambda n: n.isin(*SECRET_KEYS))

@@ -80,30 +80,34 @@ def staged_release_checks(
     (runid). ``ledger``: the run states. ``reviewed``: runid and reviewed bounds. Children
     meet one parent geometry each, in an equi-join on the run.
     """
-    parents = staged["watersheds"].select("runid", F.col("geometry").alias("_parent"))
-    box, parent_box = G.bbox(F.col("geometry")), G.bbox(F.col("_parent"))
+    # Box, edges and area of a parent are computed once, before its children meet it.
+    geometry = F.col("geometry")
+    parents = staged["watersheds"].select(
+        "runid", G.bbox(geometry).alias("_box"), G.edges(geometry).alias("_edges"), G.area(geometry).alias("area"),
+        G.valid_coordinates(G.points(geometry)).alias("_sound"),
+    )
     in_world = lambda b: F.coalesce(within_world(b["minx"], b["miny"], b["maxx"], b["maxy"]), F.lit(False))
-    valid = lambda column, b: G.valid_coordinates(G.points(F.col(column))) & in_world(b)
 
     counts = child_counts(
         ledger, *[staged[k].select("runid") for k in ("watersheds", "subcatchments", "channels", "capabilities")]
     )
     bounds = parents.join(reviewed, "runid", "full_outer")
     sides = ["minx", "miny", "maxx", "maxy"]
-    close = F.coalesce(bounds_close([parent_box[s] for s in sides], [F.col(s) for s in sides], tolerance), F.lit(False))
+    close = F.coalesce(
+        bounds_close([F.col("_box")[s] for s in sides], [F.col(s) for s in sides], tolerance), F.lit(False)
+    )
     fails = {
         "run-counts-exact": counts.agg(F.count_if(~F.col("exact")).alias("failed")),
-        "watershed-geometry-valid": parents.agg(F.count_if(~valid("_parent", parent_box)).alias("failed")),
+        "watershed-geometry-valid": parents.agg(F.count_if(~(F.col("_sound") & in_world(F.col("_box")))).alias("failed")),
         "watershed-bounds-reviewed": bounds.agg(F.count_if(~close).alias("failed")),
     }
-    areas = []
     for kind, code in (("subcatchments", "subcatchment-geometry-valid"), ("channels", "channel-geometry-valid")):
-        children = staged[kind].select("runid", "geometry").join(parents, "runid", "left")
-        bad = ~(valid("geometry", box) & G.covers(F.col("_parent"), F.col("geometry")))
-        fails[code] = children.agg(F.count_if(bad).alias("failed"))
+        children = staged[kind].select("runid", "geometry").join(parents.select("runid", "_box", "_edges"), "runid", "left")
+        # A valid child lies inside the world limits, which its own coordinates show.
+        good = G.valid_coordinates(G.points(geometry)) & G.covers(F.col("_box"), F.col("_edges"), geometry)
+        fails[code] = children.agg(F.count_if(~good).alias("failed"))
     areas = area_ratio(
-        staged["subcatchments"].select("runid", G.area(F.col("geometry")).alias("area")),
-        parents.select("runid", G.area(F.col("_parent")).alias("area")),
+        staged["subcatchments"].select("runid", G.area(geometry).alias("area")), parents.select("runid", "area")
     )
     fails["watershed-area-positive"] = areas.agg(F.count_if(~(F.col("parent_area") > 0)).alias("failed"))
     fails["subcatchment-area-ratio"] = areas.agg(F.count_if(~F.col("reasonable")).alias("failed"))
