@@ -359,7 +359,7 @@ def round_robin(t):
         SELECT user_id, event_id, floor(epoch(ts) / 3600)::BIGINT AS k FROM events WHERE value <= 150)) GROUP BY user_id) b USING (user_id))"""
 )
 def strict_increase(t):
-    hours = F.floor(F.unix_timestamp("ts") / 3600)
+    hours = F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     rows = t.events.select("user_id", "event_id", F.when(F.col("value") <= 150, hours).alias("k"))
     return keys.strictly_increasing(rows, "user_id", "event_id", "k")
 

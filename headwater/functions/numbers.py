@@ -105,8 +105,9 @@ def number_text(value: Column) -> Column:
 
 
 def age_seconds(now: Column, then: Column) -> Column:
-    """FN-D01: whole seconds between two timestamps; negative means the time lies ahead."""
-    return F.unix_timestamp(now) - F.unix_timestamp(then)
+    """FN-D01: whole seconds between two timestamps of one kind; negative means the time lies
+    ahead. No session time zone enters the result for zone-less timestamps."""
+    return F.timestamp_diff("SECOND", then, now)
 
 
 def series_label(year: Column, month: Column) -> Column:

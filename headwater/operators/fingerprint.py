@@ -59,6 +59,8 @@ def sequence_digest(
         placed = lines.withColumn("rows", df.agg(F.count(F.lit(1))).scalar()).withColumn(
             "_parts", parts
         ).withColumn("_part", part)
+    # Dealt by part, not left as the join placed them: a large group must not stay in one task.
+    placed = placed.repartition(*groups, "_part")
     joined = lambda listed, name: F.array_join(F.transform(F.array_sort(listed), lambda r: r[name]), "")
     digested = placed.groupBy(*groups, "rows", "_parts", "_part").agg(
         F.sha2(F.concat(header, joined(F.collect_list(F.struct(*order, "_line")), "_line")), 256).alias("_digest")

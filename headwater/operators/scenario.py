@@ -35,12 +35,16 @@ def scenario_folder(scenario: str | None) -> str | None:
 
 
 def loss_rows(loss: DataFrame, extra: list[str] = []) -> DataFrame:
-    """PRJ-04: renamed loss columns, non-finite values 0, ordered by model id."""
-    return loss.select(
+    """PRJ-04: renamed loss columns, non-finite values 0, ordered by model id.
+
+    The other columns break ties, so that the sort can also split one id with very many rows.
+    """
+    named = loss.select(
         *extra,
         finite_or(F.col("wepp_id")).cast("long").alias("wepp_id"),
         *[finite_or(F.col(f"`{source}`")).alias(name) for name, source in LOSS_COLUMNS.items()],
-    ).orderBy("wepp_id")
+    )
+    return named.orderBy("wepp_id", *extra, *LOSS_COLUMNS)
 
 
 def summary(pairs: DataFrame, position: str, groups: list[str] = ["scenario"]) -> DataFrame:

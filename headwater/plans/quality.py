@@ -142,7 +142,7 @@ def validation_report(checks: DataFrame, subjects: DataFrame) -> DataFrame:
 def manifest_index(manifests: DataFrame, members: DataFrame) -> DataFrame:
     """JN-17: per collection whether manifest and member index list the same keys at the same places.
 
-    Both sides carry collection, position (from 0) and watershed_key; ``members`` one index
+    Both sides carry collection, position and watershed_key; ``members`` one index
     per collection. Keys meet on (collection, position): no list of a collection is built.
     """
     left = manifests.select("collection", "position", F.col("watershed_key").alias("_manifest"))
