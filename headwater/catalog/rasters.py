@@ -221,10 +221,11 @@ def covers(t):
     ))))
     prepared = parents.select("runid", G.bbox(F.col("geometry")).alias("box"), G.edges(F.col("geometry")).alias("edges"))
     joined = moved.join(prepared, "runid")
-    # Combined per run and answer on the way to a second grouping, which a large run needs.
-    answers = joined.select("runid", G.covers(F.col("box"), F.col("edges"), F.col("geometry")).alias("in"))
-    return answers.groupBy("in", "runid").count().groupBy("runid").agg(
-        F.sum("count").alias("children"), F.coalesce(F.sum(F.when(F.col("in"), F.col("count"))), F.lit(0)).alias("covered")
+    # Spread over the children before they are counted: rows of one large run would otherwise
+    # stay together where the join put them.
+    answers = joined.select("runid", "topazid", G.covers(F.col("box"), F.col("edges"), F.col("geometry")).alias("in"))
+    return answers.repartition("runid", "topazid").groupBy("runid").agg(
+        F.count(F.lit(1)).alias("children"), F.count_if("in").alias("covered")
     )
 
 

@@ -482,13 +482,13 @@ def visible_capabilities(t):
     run = lambda key: F.concat(F.lit("r"), F.col(key).cast("string")).alias("runid")
     # Two releases hold rows; only the one the pointer names may be seen.
     rows = t.orders.where("o_orderstatus <> 'F'").withColumn("release_id", F.when(
-        (F.col("o_orderstatus") == "O") & (F.year("o_orderdate") > 1996), "now").otherwise(F.lit("before")))
+        (F.col("o_orderstatus") == "O") & (F.year("o_orderdate") > 1996), "AFRICA").otherwise(F.lit("before")))
     capabilities = rows.groupBy("release_id", run("o_custkey")).agg(
         F.when(F.max("o_orderpriority") == "5-LOW", "both").when(F.min("o_orderpriority") == "1-URGENT", "dynamic").otherwise(F.lit("precomputed")).alias("mode"),
         (F.max("o_totalprice") > 100000).alias("enabled"), F.when(F.min("o_totalprice") < 5000, "disabled").otherwise(F.lit("public")).alias("access_policy"),
         F.when(F.count(F.lit(1)) > 18, "scenario-ids").alias("violation"),
     ).withColumn("capability_type", F.lit("rhessys"))
-    active = t.region.groupBy().agg(F.lit("now").alias("release_id"))
+    active = t.region.where("r_regionkey = 0").select(F.col("r_name").alias("release_id"))
     return quality.resolve_capabilities(capabilities, active, t.customer.select(run("c_custkey")), "rhessys")
 
 
