@@ -100,8 +100,6 @@ def audit_report(tables: dict[str, tuple[DataFrame, list[str], list[str] | None]
         rows = df.agg(F.count(F.lit(1)).alias("count"))
         parts = {
             "row_count": rows,
-            "duplicate_business_key_groups": K.duplicate_summary(df, business).select(F.col("groups").alias("count")),
-            "duplicate_business_key_rows": K.duplicate_summary(df, business).select(F.col("rows").alias("count")),
         }
         if logical:
             parts["duplicate_logical_key_groups"] = K.duplicate_summary(df, logical, True).select(
@@ -111,7 +109,12 @@ def audit_report(tables: dict[str, tuple[DataFrame, list[str], list[str] | None]
             parts["orphan_rows"] = K.orphan_rows(df, "watershed_id", parents, "runid").select(
                 F.col("orphan_rows").alias("count")
             )
-        reports.append(K.one_row_each(parts, "count").withColumn("table", F.lit(name)))
+        # One grouping gives both figures of the business key.
+        repeats = K.duplicate_summary(df, business).select(F.expr(
+            "stack(2, 'duplicate_business_key_groups', cast(groups AS bigint), "
+            "'duplicate_business_key_rows', cast(rows AS bigint)) AS (code, count)"
+        ))
+        reports.append(K.one_row_each(parts, "count").unionByName(repeats).withColumn("table", F.lit(name)))
     report = reports[0]
     for other in reports[1:]:
         report = report.unionByName(other)

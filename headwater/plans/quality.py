@@ -280,15 +280,21 @@ def capability_violations(capabilities: DataFrame) -> DataFrame:
         & matches(i["artifact"]["sha256"], SHA256_HEX) & (i["artifact"]["bytes"] > 0),
     )
     years = lambda y: (F.size(y) == 2) & (F.get(y, 0) <= F.get(y, 1)) & F.get(y, 0).between(1800, 3000) & (F.get(y, 1) <= 3000)
-    scenario_ids = ids("scenarios", "id")
-    declared = _pairs(c("scenarios"), "id", "variables")
-    geotiff_pairs = F.transform(c("geotiffs"), lambda g: F.concat_ws(" ", g["scenario"], g["variable"]))
+    # Lists that several rules read are built once, as columns.
+    parsed = parsed.withColumns({
+        "_scenario_ids": ids("scenarios", "id"),
+        "_declared": _pairs(c("scenarios"), "id", "variables"),
+        "_geotiffs": F.transform(c("geotiffs"), lambda g: F.concat_ws(" ", g["scenario"], g["variable"])),
+        "_places": _pairs(c("geometries"), "scale", "scenarios"),
+    })
+    scenario_ids, declared, geotiff_pairs, geometry_places = (
+        F.col(name) for name in ("_scenario_ids", "_declared", "_geotiffs", "_places")
+    )
     parquet_pairs = _pairs(c("parquets"), "scenario", "variables", "id")
     parquet_places = F.flatten(F.transform(
         c("parquets"),
         lambda p: F.transform(p["variables"], lambda v: F.concat_ws(" ", p["scenario"], p["role"], v["id"])),
     ))
-    geometry_places = _pairs(c("geometries"), "scale", "scenarios")
     needed_geometry = F.transform(
         F.filter(c("parquets"), lambda p: p["role"].isin("hillslope", "patch")),
         lambda p: F.concat_ws(" ", p["role"], p["scenario"]),
@@ -341,7 +347,9 @@ def capability_violations(capabilities: DataFrame) -> DataFrame:
         ("precomputed-coverage", precomputed & (beyond(declared, geotiff_pairs) | beyond(geotiff_pairs, declared))),
     ]
     first = F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(code)) for code, broken in rules])
-    return parsed.withColumn("violation", first).withColumn("parsed", F.col("_c")).drop("_c")
+    return parsed.withColumn("violation", first).withColumnRenamed("_c", "parsed").drop(
+        "_scenario_ids", "_declared", "_geotiffs", "_places"
+    )
 
 
 def resolve_capabilities(capabilities: DataFrame, active: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
