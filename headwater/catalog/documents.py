@@ -9,13 +9,11 @@ from headwater.catalog.rasters import parcel, supplier_parcels
 from headwater.catalog.registry import query
 from headwater.catalog.releases import PLAN, STATES, plan
 from headwater.functions import geometry as G
-from headwater.functions.canonical import attribute_map, merge_attributes
+from headwater.functions.canonical import attribute_map
 from headwater.functions.text import secret_keys_in_json
 from headwater.operators import identity, ingest, projections, subjects
 from headwater.plans import quality, release
 
-HEX = "'" + "a" * 64 + "'"
-
 
 @query(
     """SELECT 's-' || l_suppkey AS runid, l_orderkey AS topazid, count(*)::INTEGER AS polygons, count(*) AS merged_features, round(sum(l_quantity / 1000 * l_linenumber / 100), 8) AS area,

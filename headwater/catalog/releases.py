@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from headwater.catalog.integrity import dup_sql, union_sql
 from headwater.catalog.registry import flat, query, rounded
 from headwater.functions.canonical import canonical_decimal, canonical_integer, json_line
-from headwater.functions.text import redact
 from headwater.operators import fingerprint as FP
 from headwater.operators import raster
 from headwater.plans import operations, quality, release
@@ -184,8 +182,6 @@ def adopted_runs(t):
     )
 
 
-APPLIED_META = "('add', 'change')"
-
 
 @query(
     PLAN + """, applied AS (SELECT p.watershed_key, p.after_runid AS runid,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwater.operators import identity, keys, subjects
-from headwater.plans import operations, quality, release
+from headwater.plans import operations, release
 
 FIELDS = (
     "watershed_key string, collection string, runid string, run_fingerprint string, metadata_fingerprint string, geometry_fingerprint string,"
