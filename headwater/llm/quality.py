@@ -22,12 +22,12 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 WORDS_AT_ONCE = 1_000_000
-# Measures per row, and the least spread (in the measure's unit) that a bound allows for. The fence
+# Measures per row (five lines are added, so that one repeated line of three is no outlier), and the least spread (in the measure's unit) that a bound allows for. The fence
 # is the third quartile plus three spreads: far outliers only, so that clean texts stay.
 MEASURES = {
     "word_length": "100 * word_chars div n_words",
     "symbols": "1000 * n_symbols div n_words",
-    "dup_lines": "1000 * n_dup_lines div n_lines",
+    "dup_lines": "1000 * n_dup_lines div n_lines + 5",
     "repeats": "1000 * n_repeat_words div n_words",
 }
 LEAST_SPREAD = {"word_length": 200, "symbols": 50, "dup_lines": 100, "repeats": 100}
@@ -116,7 +116,8 @@ def measure(features: str, name: str) -> Column:
     counts = {part: f[part] for part in FEATURES}
     top, bottom = MEASURES[name].split(" div ")
     factor, count = top.split(" * ")
-    return F.coalesce((int(factor) * counts[count] / F.nullif(counts[bottom], F.lit(0))).cast("long"), F.lit(0))
+    divisor, _, more = bottom.partition(" + ")
+    return F.coalesce((int(factor) * counts[count] / F.nullif(counts[divisor] + int(more or 0), F.lit(0))).cast("long"), F.lit(0))
 
 
 def bucket(value: Column) -> Column:
