@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe_codec, exact_dedup, quality, token_counts, url_rules
+from headwater.llm import bpe_codec, exact_dedup, near_dedup, quality, token_counts, url_rules
 from headwater.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return exact_dedup.exact_duplicates(docs, exact_dedup.older_half(docs))
+
+
+@query()
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
