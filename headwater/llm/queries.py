@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe_codec, exact_dedup, near_dedup, pattern_packing, quality, token_counts, url_rules
+from headwater.llm import bpe_codec, exact_dedup, near_dedup, pattern_packing, quality, token_counts, token_matrix, url_rules, warc
 from headwater.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,30 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, folder, "documents"))
 
 
+@query("""
+    WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+    parts AS (
+        SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep,
+               list_transform([1, 11, 21, 31], lambda i: to_base(CAST('0x' || substr(digest, i, 10) AS BIGINT), 32, 8)) AS part
+        FROM payloads
+    )
+    SELECT page_id, octet_length(payload) AS payload_bytes,
+           translate(list_aggregate(part, 'string_agg', ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+           CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> keep THEN keep END AS refers_to
+    FROM parts
+""")
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query()
+def op6_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    shards, pieces = token_matrix.write_matrices(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_matrix.read_pieces(spark, shards, pieces)
+
+
 @query()
 def op8_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
