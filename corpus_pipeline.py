@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headwater.llm import exact_dedup, quality
+from headwater.llm import exact_dedup, near_dedup, paragraphs, pattern_packing, quality
 from headwater.llm.common import staged
 
 
@@ -18,7 +19,25 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_exact_duplicates(docs, exact_dedup.older_half(docs))
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has too."""
+    return paragraphs.drop_repeated_passages(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 4096 tokens."""
+    return pattern_packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("exact dedup", exact_copies), ("MinHash near-dedup", near_copies),
+    ("substring dedup", repeated_passages), ("best-fit packing", packing),
+]
 
 # Sketch bounds, near-duplicate components and packing have no SQL form; tests/llm holds them against brute force.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe_codec, exact_dedup, near_dedup, pattern_packing, quality, token_counts, token_matrix, url_rules, warc
+from headwater.llm import bpe_codec, exact_dedup, near_dedup, paragraphs, pattern_packing, quality, token_counts, token_matrix, url_rules, warc
 from headwater.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op6_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return token_matrix.read_pieces(spark, shards, pieces)
 
 
+@query()
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.substring_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def op8_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
