@@ -113,9 +113,10 @@ def read_records(data: memoryview, wanted, with_payload: bool) -> Iterator[tuple
     while at < len(data):
         packed = data[at] == 0x1F and data[at + 1] == 0x8B
         if packed:
-            start, size = member_head(data[at:])
+            start, size = member_head(data[at : at + HEAD_BYTES])
+            # Only the member's own bytes are handed over: what is left unread is copied at every step.
             unpacker = zlib.decompressobj(-15)
-            plain = unpacker.decompress(data[at + start :], HEAD_BYTES)
+            plain = unpacker.decompress(data[at + start : at + size] if size else data[at + start :], HEAD_BYTES)
             while b"\r\n\r\n" not in plain and not unpacker.eof:
                 plain += unpacker.decompress(unpacker.unconsumed_tail, HEAD_BYTES)
         else:
