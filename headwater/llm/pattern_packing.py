@@ -11,10 +11,8 @@ its length to a sequence and an offset. Ranks are counted in Spark, hot lengths
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,93 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from headwater.llm.bpe import byte_characters
 from headwater.llm.common import column, groups_by_size, ship, staged, texts_of
+from headwater.llm.word_ids import encoder
 
 CHARACTERS_AT_ONCE = 2_000_000
-WORDS_KEPT = 700_000
 ROWS_PER_SHARE = 50_000
 PATTERN_LENGTHS = 384
 STEPS = 300
 
-# Small ASCII letters and the small letters of Latin-1 in UTF-8 (all but the division sign).
-SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-
 SLOT_FIELDS = ("length", "rank", "count", "repeat", "sequence", "offset")
 
 
 # -- tokens --------------------------------------------------------------------------------------------
 
-class WordEncoder:
-    """Token ids of whole texts by the tokenizer library, word by word with the answers remembered.
-
-    The vocabulary file drops white space and lowers letters, and no merge or pattern crosses a blank or
-    the edge between an ASCII letter and a full stop or comma at the end of a word. So the ids of a text
-    are those of its blank-separated words in a row, and a new word is first looked for without its
-    capitals and its last mark. Words with the opening of a special token are left as they are. What is
-    really new goes to the library in one call; words of plain small letters (ASCII or Latin-1), which its
-    normaliser would leave alone, go straight to its model in byte characters.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.model = Tokenizer(self.tokenizer.model)
-        self.spelling = {byte: ord(character) for character, byte in byte_characters().items()}
-        self.known: dict[bytes, bytes] = {}
-        self.plain: dict[bytes, bytes] = {}
-
-    def _plain(self, words: list[bytes]) -> None:
-        """Answers for words in small letters without marks, into ``plain``."""
-        simple = [w for w in words if SIMPLE(w)]
-        self._ask(self.model, simple, [w.decode("latin-1").translate(self.spelling) for w in simple])
-        others = [w for w in words if not SIMPLE(w)]
-        self._ask(self.tokenizer, others, [w.decode() for w in others])
-
-    def _ask(self, tokenizer, words: list[bytes], spelled: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            found = tokenizer.encode(spelled[at : at + 20_000], is_pretokenized=True, add_special_tokens=False)
-            data = np.array(found.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            self.plain.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:]))
-
-    def _learn(self, words: set[bytes]) -> None:
-        forms = []
-        for word in words:
-            if b"<|" in word:
-                forms.append((word, word, b""))
-            elif word[-1:] in b".," and word[-2:-1].isalpha():
-                forms.append((word, word[:-1].lower(), word[-1:]))
-            else:
-                forms.append((word, word.lower(), b""))
-        needed = {form for _, form, _ in forms} | {b".", b","}
-        if len(self.plain) + len(needed) > WORDS_KEPT:
-            self.plain.clear()
-        self._plain([w for w in needed if w not in self.plain])
-        marks = {b"": b"", b".": self.plain[b"."], b",": self.plain[b","]}
-        self.known.update((word, self.plain[form] + marks[mark]) for word, form, mark in forms)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode().split() for text in texts]
-        every = set().union(*split)
-        missing = every - self.known.keys()
-        if len(self.known) + len(missing) > WORDS_KEPT:
-            self.known.clear()
-            missing = every
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -122,7 +46,7 @@ def token_pieces(
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             texts, at, found = texts_of(batch, "text"), [], []
             for a, b in groups_by_size(texts, CHARACTERS_AT_ONCE):

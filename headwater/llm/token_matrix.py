@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from headwater.llm.common import column, groups_by_size, shared_folder, ship, staged, texts_of
-from headwater.llm.pattern_packing import CHARACTERS_AT_ONCE, _encoder
+from headwater.llm.pattern_packing import CHARACTERS_AT_ONCE
 from headwater.llm.store import open_store
+from headwater.llm.word_ids import encoder
 
 TOKENS_PER_SHARD = 4 << 20
 PAD = 0
@@ -131,7 +132,7 @@ def write_matrices(
         return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = encoder(tokenizer)
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
         keys, pieces, tokens = [], [], 0
