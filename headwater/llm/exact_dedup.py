@@ -153,7 +153,8 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, key: str = "doc_id", text
         old.where("n > 1").select("sha").union(new.where("n > 1").select("sha")).union(positives).distinct()
     )
     # Byte check. Rows are matched by digest; equal bytes combine before they are shuffled again.
-    copies = parts.select("text", digest(F.col("text")).alias("sha")).join(repeated, "sha")
+    # Always by a shuffle, which Spark splits at hot texts, so that the cost is in proportion at every size.
+    copies = parts.select("text", digest(F.col("text")).alias("sha")).join(repeated.hint("merge"), "sha")
     texts = copies.select("text", F.xxhash64("text").alias("other")).groupBy("other", "text").agg(F.count("*").alias("n"))
     checked = texts.select(digest(F.col("text")).alias("sha"), "n").groupBy("sha").agg(F.count("*").alias("texts"), F.sum("n").alias("checked"))
     chosen = (
