@@ -51,11 +51,31 @@ def small_group_pairs(in_bands: DataFrame, percent: int) -> DataFrame:
     return _ordered(rows.join(other, "band").where("root < other_root"), percent)
 
 
+def _spanning(left: np.ndarray, right: np.ndarray, hit: np.ndarray, root: np.ndarray, node: list) -> list[tuple]:
+    """As many of the links as join the same components: one for each merge, not one for each pair."""
+    above = list(range(int(root.max()) + 1))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    pairs = []
+    for i in np.flatnonzero(hit.any(axis=1)).tolist():
+        for j in np.flatnonzero(hit[i]).tolist():
+            a, b = top(int(root[left[i]])), top(int(root[right[j]]))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                x, y = node[left[i]], node[right[j]]
+                pairs.append((min(x, y), max(x, y)))
+    return pairs
+
+
 def _block_links(block: pa.Table, percent: int) -> pa.Table:
-    """Links between components within a block pair, by a product of incidence matrices."""
+    """Links that join the components within a block pair, by a product of incidence matrices."""
     side, node, root = block.column("side").to_numpy(), block.column("node").to_pylist(), block.column("root").to_pylist()
     sets = [np.asarray(x) for x in block.column("hashes").to_pylist()]
-    names, of_root = {r: i for i, r in enumerate(sorted(set(root)))}, None
+    names = {r: i for i, r in enumerate(sorted(set(root)))}
     of_root = np.array([names[r] for r in root])
     size = np.array([len(x) for x in sets])
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -73,7 +93,7 @@ def _block_links(block: pa.Table, percent: int) -> pa.Table:
         common += table[left] @ table[right].T
     union = size[left][:, None] + size[right][None, :] - common
     hit = (100 * common >= percent * union) & (of_root[left][:, None] != of_root[right][None, :])
-    pairs = {tuple(sorted((node[left[i]], node[right[j]]))) for i, j in zip(*np.nonzero(hit))}
+    pairs = _spanning(left, right, hit, of_root, node)
     kind = block.schema.field("node").type
     return pa.table({"a": pa.array([x for x, _ in pairs], kind), "b": pa.array([y for _, y in pairs], kind)})
 

@@ -53,6 +53,16 @@ def circulant_minhash(shingles: np.ndarray, size: int) -> np.ndarray:
     return least
 
 
+def circulant_minhash_of(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """Signatures of many non-empty sets at once, equal to ``circulant_minhash`` of each."""
+    placed = scatter(np.concatenate(sets).astype(np.uint32))
+    starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
+    out = np.empty((len(sets), size), np.uint32)
+    for k in range(size):
+        out[:, k] = np.minimum.reduceat(second(placed - np.uint32(k)), starts)
+    return out
+
+
 def signatures(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, bands) per row; node is a digest of the set, null if it is empty."""
     ship(docs.sparkSession)

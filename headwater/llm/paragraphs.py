@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from headwater.llm.banding import near_components
 from headwater.llm.common import column, free_name, ship, staged
 from headwater.llm.components import components
-from headwater.llm.near_dedup import circulant_minhash
-from headwater.llm.shingles import WordHasher, band_keys, bands_for, fold, shingle_hashes
+from headwater.llm.near_dedup import circulant_minhash_of
+from headwater.llm.shingles import WordHasher, band_keys_of, bands_for, fold, shingle_hashes
 
 SHINGLE = 5
 ANCHOR_SPAN = 24
@@ -89,18 +89,18 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
                 yield cut(hasher, batch.slice(at, 256))
 
     def cut(hasher: WordHasher, batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, nodes, starts, sizes, sets, keys = [], [], [], [], [], []
+        owner, nodes, starts, sizes, sets, lines_of, line_sets = [], [], [], [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
             lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
             hashes = hasher([w for line in lines for w in line])
             shingles = shingle_hashes(hashes, SHINGLE)
             begin, digests = anchored_paragraphs(shingles)
             owner += [i] * len(begin)
-            nodes += [d.tobytes() for d in digests]
+            whole = digests.tobytes()
+            nodes += [whole[d : d + 16] for d in range(0, len(whole), 16)]
             starts += begin.tolist()
             sizes += [ANCHORED_WORDS] * len(begin)
             sets += [ANCHORED_WORDS - SHINGLE + 1] * len(begin)
-            keys += [None] * len(begin)
             at = 0
             for line in lines:
                 if len(line) >= LINE_WORDS:
@@ -110,8 +110,13 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
                     starts.append(at)
                     sizes.append(len(line))
                     sets.append(len(found))
-                    keys.append(band_keys(circulant_minhash(found, bands * ROWS), bands, ROWS).tolist())
+                    lines_of.append(len(owner) - 1)
+                    line_sets.append(found)
                 at += len(line)
+        keys: list = [None] * len(owner)
+        if line_sets:
+            for at, row in zip(lines_of, band_keys_of(circulant_minhash_of(line_sets, bands * ROWS), bands, ROWS)):
+                keys[at] = row
         take = pa.array(owner, pa.int64())
         numbers = [pa.array(x, pa.int32()) for x in (starts, sizes, sets)]
         arrays = [pa.array(nodes, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), *numbers, pa.array(keys, pa.list_(pa.int64()))]

@@ -66,6 +66,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return fold(table, 17).astype(np.int64)
 
 
+def band_keys_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys of many signatures at once, equal to ``band_keys`` of each."""
+    table = np.empty((len(signatures), bands, rows + 1), np.uint64)
+    table[:, :, 0] = np.arange(bands)
+    table[:, :, 1:] = signatures.reshape(len(signatures), bands, rows)
+    return fold(table.reshape(-1, rows + 1), 17).astype(np.int64).reshape(len(signatures), bands)
+
+
 def bands_for(similarity: float, recall: float, rows: int) -> int:
     """Fewest bands of ``rows`` coordinates that find a pair of that similarity with that probability."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
