@@ -76,10 +76,10 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
         .where(F.col("n") >= least)
     )
     mined = staged(frequent.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"))
-    items = (
-        each.join(mined, "token").groupBy("tid").agg(F.collect_list("token").alias("found"))
-        .join(rows.select("tid", "bad"), "tid")
-        .select(F.when(F.col("bad"), F.array_append("found", F.lit(BAD))).otherwise(F.col("found")).alias("items"))
+    found = each.join(mined, "token").groupBy("tid").agg(F.collect_list("token").alias("found"))
+    known = F.coalesce("found", F.array().cast("array<string>"))
+    items = rows.select("tid", "bad").join(found, "tid", "left").select(
+        F.when(F.col("bad"), F.array_append(known, F.lit(BAD))).otherwise(known).alias("items")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence, numPartitions=parts).fit(items)
