@@ -239,7 +239,7 @@ def landuse_legend(t):
     return scenario.landuse_legend(landuse_table(t))
 
 
-@query(f"""WITH l AS ({LANDUSE}) SELECT topaz_id, "desc", color FROM l ORDER BY topaz_id LIMIT 200000""")
+@query(f"""WITH l AS ({LANDUSE}) SELECT topaz_id, "desc", color FROM l ORDER BY topaz_id""")
 def landuse_rows(t):
     return scenario.landuse_rows(landuse_table(t))
 

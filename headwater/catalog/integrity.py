@@ -385,24 +385,23 @@ def first_seen(t):
 
 
 @query(
-    """SELECT runid FROM watersheds UNION SELECT 'run-' || o_orderkey FROM orders WHERE o_orderstatus = 'F'
-UNION SELECT 'run-' || l_orderkey FROM lineitem WHERE l_quantity > 40""",
+    """SELECT runid FROM watersheds UNION SELECT 'run-' || o_orderkey FROM orders UNION SELECT 'run-' || l_orderkey FROM lineitem""",
     "watersheds",
 )
 def run_union(t):
     run = lambda df, key: df.select(F.concat(F.lit("run-"), F.col(key).cast("string")).alias("runid"))
     return keys.union_of_runs([
-        t.watersheds, run(t.orders.where("o_orderstatus = 'F'"), "o_orderkey"), run(t.lineitem.where("l_quantity > 40"), "l_orderkey"),
+        t.watersheds, run(t.orders, "o_orderkey"), run(t.lineitem, "l_orderkey"),
     ])
 
 
 @query(
-    """SELECT l_suppkey AS run, l_returnflag AS kind FROM lineitem WHERE year(l_shipdate) < 1997 AND l_quantity = 50
-EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE year(l_shipdate) >= 1997 AND l_quantity = 1"""
+    """SELECT l_partkey AS run, l_returnflag AS kind FROM lineitem WHERE year(l_shipdate) < 1997
+EXCEPT SELECT l_partkey, l_returnflag FROM lineitem WHERE year(l_shipdate) >= 1997"""
 )
 def capability_removed(t):
-    named = t.lineitem.select(F.col("l_suppkey").alias("run"), F.col("l_returnflag").alias("kind"), F.year("l_shipdate").alias("y"), "l_quantity")
-    return keys.removed_keys(named.where("y < 1997 AND l_quantity = 50"), named.where("y >= 1997 AND l_quantity = 1"), ["run", "kind"])
+    named = t.lineitem.select(F.col("l_partkey").alias("run"), F.col("l_returnflag").alias("kind"), F.year("l_shipdate").alias("y"))
+    return keys.removed_keys(named.where("y < 1997"), named.where("y >= 1997"), ["run", "kind"])
 
 
 # --- ingest ------------------------------------------------------------------------------
@@ -499,6 +498,12 @@ def source_catalogue(t):
     return files.run_catalogue(t.watersheds, "https://example.test/")
 
 
+# Collections by the start of a run's id, as a deployment would configure them.
+BATCH_COLLECTIONS = {
+    "batch;;nasa-roses-2026-sbs;;": "nasa-roses", "batch;;nasa-roses-202606-psbs;;": "nasa-roses", "batch;;victoria-ca-2026-sbs;;": "victoria-ca",
+}
+
+
 @query(
     """SELECT c_custkey AS key, CASE WHEN b IN ('nasa-roses-2026-sbs', 'nasa-roses-202606-psbs') THEN 'batch;;' || b || ';;' || upper(s)
     WHEN b = '' THEN s ELSE 'batch;;' || b || ';;' || s END AS runid,
@@ -510,7 +515,7 @@ def run_normalise(t):
     batch = F.get(batches, F.col("c_nationkey") % 5)
     runid = F.when(batch == "", F.lower("c_name")).otherwise(F.concat_ws(";;", F.lit("batch"), batch, F.lower("c_name")))
     return t.customer.select(
-        F.col("c_custkey").alias("key"), normalise_runid(runid).alias("runid"), collection_of_run(runid).alias("collection")
+        F.col("c_custkey").alias("key"), normalise_runid(runid).alias("runid"), collection_of_run(runid, {}, BATCH_COLLECTIONS).alias("collection")
     )
 
 
@@ -587,15 +592,15 @@ def member_index(t):
 
 # --- enrichment --------------------------------------------------------------------------
 
-ENRICH = """, tgt AS (SELECT c_custkey AS pos, c_name AS code, 'run-' || c_custkey AS runid, c_nationkey::VARCHAR AS geom, CASE WHEN c_acctbal > 9000 THEN c_mktsegment END AS owner FROM customer),
-src AS (SELECT 'Customer#' || lpad((k)::VARCHAR, 9, '0') AS code, CASE WHEN k % 3 = 0 THEN NULL ELSE 'run-' || m END AS runid, (n)::VARCHAR AS geom, pr AS owner, n AS pop
+ENRICH = """, tgt AS (SELECT c_custkey AS pos, 'Customer#' || c_custkey AS code, 'run-' || c_custkey AS runid, c_nationkey::VARCHAR AS geom, CASE WHEN c_acctbal > 9000 THEN c_mktsegment END AS owner FROM customer),
+src AS (SELECT 'Customer#' || k AS code, CASE WHEN k % 3 = 0 THEN NULL ELSE 'run-' || m END AS runid, (n)::VARCHAR AS geom, pr AS owner, n AS pop
   FROM (SELECT o_custkey * 2 AS k, min(o_custkey) * CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN 2 ELSE 1 END AS m,
       (min(o_orderkey) % 25)::INTEGER AS n, upper(substr(min(o_orderpriority), 3)) AS pr FROM orders GROUP BY o_custkey))"""
 
 
 def enrichment_sides(t):
     target = t.customer.select(
-        F.col("c_custkey").alias("pos"), F.col("c_name").alias("code"),
+        F.col("c_custkey").alias("pos"), F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string")).alias("code"),
         F.concat(F.lit("run-"), F.col("c_custkey").cast("string")).alias("runid"), F.col("c_nationkey").cast("string").alias("geom"),
         F.when(F.col("c_acctbal") > 9000, F.col("c_mktsegment")).alias("owner"),
     )
@@ -604,7 +609,7 @@ def enrichment_sides(t):
     )
     k = F.col("o_custkey") * 2
     source = grouped.select(
-        F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")).alias("code"),
+        F.concat(F.lit("Customer#"), k.cast("string")).alias("code"),
         F.when(k % 3 != 0, F.concat(F.lit("run-"), F.when(F.col("_one"), k).otherwise(F.col("o_custkey")).cast("string"))).alias("runid"),
         (F.col("_o") % 25).cast("int").cast("string").alias("geom"), F.upper(F.substr("_p", F.lit(3))).alias("owner"),
         (F.col("_o") % 25).cast("int").alias("pop"),

@@ -292,9 +292,9 @@ def labels(t):
 
 
 REDACT_SQL = r"""
-SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(https?://)[^/@\s]+@', '\1[REDACTED]@', 'g'),
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(https?://)[^/@\s]+@', '\1[REDACTED]@', 'g'),
   '(?i)\b(password|passwd|token|secret|api[_-]?key)\s*[:=]\s*(?:"[^"]*"|''[^'']*''|\S+)', '\1=[REDACTED]', 'g'),
-  '[\x00-\x1f\x7f]+', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), 1, 512) AS summary
+  '[\x00-\x1f\x7f]+', ' ', 'g'), '[\t\n\r\f\x0B\p{Z}\x{85}]+', ' ', 'g')) AS summary
 FROM (SELECT doc_id, 'token: ' || doc_id || ' https://u' || doc_id || ':p@host/' || source || E'\tapi-key="' || lang || ' x" ' || text AS t FROM documents)"""
 
 

@@ -77,8 +77,8 @@ def release_empty_build(t):
     return built.select("watershed_key", "operation", "after_runid", "change_channels", "delta_subcatchments")
 
 
-PLAN_ROWS = """, rows AS (SELECT o_custkey AS plan_id, o_orderkey AS position, CASE WHEN o_orderpriority = '5-LOW' THEN 'k' || lpad((o_orderkey // 2)::VARCHAR, 9, '0')
-    WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F' THEN 'a' ELSE 'k' || lpad(o_orderkey::VARCHAR, 9, '0') END AS watershed_key,
+PLAN_ROWS = """, rows AS (SELECT o_custkey AS plan_id, o_orderkey AS position, CASE WHEN o_orderpriority = '5-LOW' THEN 'k' || lpad((o_orderkey // 2)::VARCHAR, 19, '0')
+    WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F' THEN 'a' ELSE 'k' || lpad(o_orderkey::VARCHAR, 19, '0') END AS watershed_key,
   CASE WHEN o_orderstatus = 'F' THEN 'retain' WHEN o_orderstatus = 'O' THEN 'change' ELSE 'add' END AS operation,
   CASE WHEN o_orderstatus <> 'P' THEN 'r' END AS before_runid, CASE WHEN o_totalprice > 250000 THEN 'r' ELSE 'r2' END AS after_runid,
   CASE WHEN o_totalprice > 400000 THEN ['geometry', 'metadata'] ELSE ['metadata'] END AS channels, CASE WHEN o_totalprice > 450000 THEN 1 ELSE 0 END AS d FROM orders),
@@ -96,7 +96,7 @@ SELECT plan_id, rule, broken FROM v WHERE broken > 0"""
 @query(PLAN_ROWS, "watersheds")
 def plan_rules(t):
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
-    number = lambda column: F.concat(F.lit("k"), F.lpad(column.cast("string"), 9, "0"))
+    number = lambda column: F.concat(F.lit("k"), F.lpad(column.cast("string"), 19, "0"))
     one = F.when(price > 450000, 1).otherwise(F.lit(0))
     none = F.lit(None).cast("string")
     rows = t.orders.select(
@@ -617,7 +617,7 @@ def attempt_report(t):
 
 
 @query(
-    """WITH s AS (SELECT CASE WHEN user_id > 140 THEN NULL ELSE 'rel-' || user_id END AS release_id, event_id AS snapshot_id, ts FROM events),
+    """WITH s AS (SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE 'rel-' || user_id END AS release_id, event_id AS snapshot_id, ts FROM events),
 n AS (SELECT release_id, max_by(snapshot_id, {'t': ts, 's': snapshot_id}) AS newest FROM s WHERE release_id IS NOT NULL GROUP BY 1),
 k AS (SELECT 'rel-' || c_custkey AS release_id FROM customer WHERE c_nationkey < 12)
 SELECT s.release_id, snapshot_id, CASE WHEN snapshot_id = newest AND s.release_id IN (SELECT release_id FROM k) THEN 'keep' ELSE 'forget' END AS decision FROM s JOIN n USING (release_id)
@@ -625,7 +625,7 @@ UNION ALL SELECT release_id, NULL, 'missing' FROM k WHERE release_id NOT IN (SEL
 )
 def latest_snapshot(t):
     snapshots = t.events.select(
-        F.when(F.col("user_id") <= 140, F.concat(F.lit("rel-"), F.col("user_id").cast("string"))).alias("release_id"),
+        F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("rel-"), F.col("user_id").cast("string"))).alias("release_id"),
         F.col("event_id").alias("snapshot_id"), F.col("ts").alias("time"),
     )
     retained = t.customer.where("c_nationkey < 12").select(F.concat(F.lit("rel-"), F.col("c_custkey").cast("string")).alias("release_id"))

@@ -15,7 +15,7 @@ FINGERPRINT_VERSION = 1
 
 def canonical_decimal(value: Column) -> Column:
     """FN-N05 for decimals and integers: plain digits, no trailing zeros, zero is ``0``."""
-    text = value.cast("decimal(38,18)").cast("string")
+    text = value.cast("string")
     plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(value == 0, F.lit("0")).otherwise(plain)
 
@@ -55,7 +55,11 @@ def json_line(fields: dict[str, Column]) -> Column:
     Values must be rendered already: text, booleans, or nested structs built the same way.
     """
     ordered = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
-    return F.concat(F.to_json(ordered, {"ignoreNullFields": "false"}), F.lit("\n"))
+    line = F.to_json(ordered, {"ignoreNullFields": "false"})
+    lowered = line
+    for digit in "ABCDEF":  # an escape has an odd number of backslashes before its u
+        lowered = F.regexp_replace(lowered, rf"((?<!\\)(?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return F.concat(F.when(line.rlike(r"\\u00[01][A-F]"), lowered).otherwise(line), F.lit("\n"))
 
 
 def header_line(subject: str) -> Column:

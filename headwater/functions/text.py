@@ -19,17 +19,10 @@ SECRET_KEYS = (
 )
 HTML_OPENINGS = ("<!doctype html", "<html", "<head", "<body")
 
-# Collection of a run by its id or by the start of its id.
-COLLECTION_BY_RUN = {
-    "aversive-forestry": "gate-creek",
-    "mdobre-invincible-scarab": "mill-creek",
-    "some-oligopoly": "mill-creek",
-}
-COLLECTION_BY_PREFIX = {
-    "batch;;nasa-roses-2026-sbs;;": "nasa-roses",
-    "batch;;nasa-roses-202606-psbs;;": "nasa-roses",
-    "batch;;victoria-ca-2026-sbs;;": "victoria-ca",
-}
+# What is masked in messages, and control characters.
+ADDRESS_USER = r"(?i)(https?://)[^/@\s]+@"
+ASSIGNED_SECRET = r"""(?i)\b(password|passwd|token|secret|api[_-]?key)\s*[:=]\s*(?:"[^"]*"|'[^']*'|\S+)"""
+CONTROLS = r"[\x00-\x1f\x7f]+"
 
 
 def normalise_runid(runid: Column) -> Column:
@@ -50,8 +43,11 @@ def scenario_label(scenario: Column) -> Column:
 
 
 def file_display_name(filename: Column) -> Column:
-    """FN-S03: extension dropped, underscores to spaces, words capitalised."""
-    return F.initcap(F.regexp_replace(F.regexp_replace(filename, r"\.tif$", ""), "_", " "))
+    """FN-S03: extension dropped, underscores to spaces, a capital after whatever is no letter."""
+    plain = F.regexp_replace(F.regexp_replace(filename, r"\.tif$", ""), "_", " ")
+    # A mark and a blank after each such character, so that the next letter begins a word.
+    marked = F.regexp_replace(plain, r"([^\p{L}\s])", "$1\u0001 ")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
 
 
 def semicolon_list(names: Column, fallback: Column) -> Column:
@@ -72,21 +68,18 @@ def matches(value: Column, pattern: str) -> Column:
     return F.coalesce(value.rlike(pattern), F.lit(False))
 
 
-def redact(text: Column) -> Column:
-    """FN-S07: user info in addresses and assigned secrets masked, blanks squeezed, cut at 512."""
-    masked = F.regexp_replace(text, r"(?i)(https?://)[^/@\s]+@", "$1[REDACTED]@")
-    masked = F.regexp_replace(
-        masked,
-        r"""(?i)\b(password|passwd|token|secret|api[_-]?key)\s*[:=]\s*(?:"[^"]*"|'[^']*'|\S+)""",
-        "$1=[REDACTED]",
-    )
-    plain = F.regexp_replace(masked, r"[\x00-\x1f\x7f]+", " ")
-    return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, 512)
+def redact(text: Column, limit: int | None = None) -> Column:
+    """FN-S07: user info in addresses and assigned secrets masked, blanks squeezed, cut only at a given limit."""
+    masked = F.regexp_replace(text, ADDRESS_USER, "$1[REDACTED]@")
+    masked = F.regexp_replace(masked, ASSIGNED_SECRET, "$1=[REDACTED]")
+    plain = F.regexp_replace(masked, CONTROLS, " ")
+    squeezed = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return squeezed if limit is None else F.substring(squeezed, 1, limit)
 
 
 def is_public_https(uri: Column) -> Column:
-    """FN-S08: https address with a host, without user info, query or fragment."""
-    return matches(uri, r"^https://[^/?#@\s]+(/[^?#]*)?$")
+    """FN-S08: https address with a host, without user info, and without anything in its query or fragment."""
+    return matches(uri, r"^(?i:https)://[^/?#@\s]+(/[^?#]*)?\??#?$")
 
 
 def looks_like_html(text: Column) -> Column:
@@ -117,12 +110,12 @@ def parse_coordinates(text: Column) -> Column:
     )
 
 
-def collection_of_run(runid: Column) -> Column:
-    """FN-S11: collection by exact run id, else by run-id prefix, else null."""
+def collection_of_run(runid: Column, by_run: dict[str, str], by_prefix: dict[str, str]) -> Column:
+    """FN-S11: collection by exact run id, else by the longest fitting start of the id, else null."""
     choice = F.lit(None).cast("string")
-    for prefix, collection in COLLECTION_BY_PREFIX.items():
-        choice = F.when(runid.startswith(prefix), F.lit(collection)).otherwise(choice)
-    for name, collection in COLLECTION_BY_RUN.items():
+    for prefix in sorted(by_prefix, key=len):
+        choice = F.when(runid.startswith(prefix), F.lit(by_prefix[prefix])).otherwise(choice)
+    for name, collection in by_run.items():
         choice = F.when(runid == name, F.lit(collection)).otherwise(choice)
     return choice
 

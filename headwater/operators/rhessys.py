@@ -40,7 +40,7 @@ def route_catalogue(spark: SparkSession, variables: dict[str, list[str]]) -> Dat
 def route(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """SRC-02: path and id column of each request; an unknown combination has none."""
     keys = ["scenario", "spatial_scale", "variable", "kind"]
-    return requests.join(F.broadcast(catalogue), keys, "left").withColumn(
+    return requests.join(catalogue, keys, "left").withColumn(
         "supported", F.col("path").isNotNull()
     )
 

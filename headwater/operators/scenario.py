@@ -77,9 +77,10 @@ def summary(pairs: DataFrame, position: str, groups: list[str] = ["scenario"]) -
     )
 
 
-def landuse_rows(landuse: DataFrame, limit: int = 200_000) -> DataFrame:
-    """SRT-02: land use per hillslope in id order; the limit is the caller's page size."""
-    return landuse.select("topaz_id", "desc", "color").orderBy("topaz_id").limit(limit)
+def landuse_rows(landuse: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRT-02: land use per hillslope in id order; a limit is the caller's page size."""
+    rows = landuse.select("topaz_id", "desc", "color").orderBy("topaz_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def landuse_legend(landuse: DataFrame, groups: list[str] = []) -> DataFrame:

@@ -16,7 +16,6 @@ from headwater.operators.query import band_filter, year_filter
 
 SHRUB, TREE = 5, 6
 SPINE = (1986, 2023)
-DEFAULT_LIMIT = 200_000
 
 
 def _filtered(rap: DataFrame, bands: int | list[int], year=None) -> tuple[DataFrame, list[int]]:

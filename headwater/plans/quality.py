@@ -135,7 +135,7 @@ def validation_report(checks: DataFrame, subjects: DataFrame) -> DataFrame:
         "report_id", zero("checks"), zero("failures"), zero("repeated_codes"),
         F.coalesce("failed_codes", F.lit("")).alias("failed_codes"),
         F.when(F.coalesce("failures", F.lit(0)) > 0, "failed").otherwise(F.lit("passed")).alias("status"),
-        (F.col("started_at") <= F.col("completed_at")).alias("times_ordered"), redact(F.col("summary")).alias("summary"),
+        (F.col("started_at") <= F.col("completed_at")).alias("times_ordered"), redact(F.col("summary"), 512).alias("summary"),
     )
 
 
@@ -359,7 +359,7 @@ def resolve_capabilities(capabilities: DataFrame, active: DataFrame, runs: DataF
     violation. ``active`` is the one-row pointer. A run without a row has none, a row with a
     violation is invalid, and only enabled public ones are available.
     """
-    visible = capabilities.join(F.broadcast(active.select("release_id")), "release_id").where(
+    visible = capabilities.join(active.select("release_id"), "release_id").where(
         F.col("capability_type") == kind
     )
     joined = runs.select("runid").join(visible, "runid", "left")
@@ -382,7 +382,7 @@ def release_status(releases: DataFrame, run_states: DataFrame, active: DataFrame
     )
     pointer = active.select("release_id", F.lit(True).alias("_active"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
-    return releases.join(held, "release_id", "left").join(F.broadcast(pointer), "release_id", "left").select(
+    return releases.join(held, "release_id", "left").join(pointer, "release_id", "left").select(
         "release_id", *[F.col(f"actual_{c}").alias(c) for c in COUNTS], zero("runs"), zero("capabilities"),
         F.coalesce("_active", F.lit(False)).alias("active"),
     )

@@ -65,12 +65,13 @@ def test_render_range(spark):
 
 def test_runids(spark):
     items = [
-        "batch;;nasa-roses-2026-sbs;;or-10", "batch;;victoria-ca-2026-sbs;;Leech", "aversive-forestry", "batch;;nasa-roses-202606-psbs;;wa-1",
+        "batch;;nasa-roses-2026-sbs;;or-10", "batch;;victoria-ca-2026-sbs;;Leech", "plain-run", "batch;;nasa-roses-202606-psbs;;wa-1",
     ]
     assert values(spark, items, "string", X.normalise_runid(V())) == [
-        "batch;;nasa-roses-2026-sbs;;OR-10", "batch;;victoria-ca-2026-sbs;;Leech", "aversive-forestry", "batch;;nasa-roses-202606-psbs;;WA-1",
+        "batch;;nasa-roses-2026-sbs;;OR-10", "batch;;victoria-ca-2026-sbs;;Leech", "plain-run", "batch;;nasa-roses-202606-psbs;;WA-1",
     ]
-    assert values(spark, items, "string", X.collection_of_run(V())) == ["nasa-roses", "victoria-ca", "gate-creek", "nasa-roses"]
+    starts = {"batch;;": "any", "batch;;victoria-ca-2026-sbs;;": "victoria-ca"}
+    assert values(spark, items, "string", X.collection_of_run(V(), {"plain-run": "creek"}, starts)) == ["any", "victoria-ca", "creek", "any"]
 
 
 def test_labels(spark):
@@ -78,6 +79,7 @@ def test_labels(spark):
         "Thinning 40-75", "Prescribed Fire", "Mulch 15 Sbs Map",
     ]
     assert values(spark, ["canopy_cover_1985.tif"], "string", X.file_display_name(V())) == ["Canopy Cover 1985"]
+    assert values(spark, ["s2-map_1985veg.tif"], "string", X.file_display_name(V())) == ["S2-Map 1985Veg"]
     assert values(spark, [" a ;; b;", "", None], "string", X.semicolon_list(V(), F.lit("z"))) == [["a", "b"], ["z"], ["z"]]
     assert values(spark, ["batch;;x y-1"], "string", X.safe_filename(V())) == ["batchx_y-1"]
 
@@ -87,7 +89,8 @@ def test_redaction(spark):
     assert values(spark, [text], "string", X.redact(V())) == [
         "see https://[REDACTED]@host/x, password=[REDACTED] and API-KEY=[REDACTED] end"
     ]
-    assert values(spark, ["x" * 600], "string", F.length(X.redact(V()))) == [512]
+    assert values(spark, ["x" * 600], "string", F.length(X.redact(V(), 512))) == [512]
+    assert values(spark, ["x" * 600 + "\u00a0\u3000y"], "string", F.length(X.redact(V()))) == [602]
 
 
 def test_secret_keys(spark):
@@ -96,8 +99,8 @@ def test_secret_keys(spark):
 
 
 def test_checks(spark):
-    uris = ["https://a.test/x", "http://a.test/x", "https://u@a.test/x", "https://a.test/x?q", "https://a.test/x#f", None]
-    assert values(spark, uris, "string", X.is_public_https(V())) == [True, False, False, False, False, False]
+    uris = ["https://a.test/x", "http://a.test/x", "https://u@a.test/x", "https://a.test/x?q", "https://a.test/x#f", None, "HTTPS://a.test", "https://a.test/x?"]
+    assert values(spark, uris, "string", X.is_public_https(V())) == [True, False, False, False, False, False, True, True]
     pages = ["  \n<HTML>", "<!DOCTYPE html><p>", "plain", "x<html>"]
     assert values(spark, pages, "string", X.looks_like_html(V())) == [True, True, False, False]
 
