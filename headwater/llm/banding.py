@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headwater.llm.common import staged
+from headwater.llm.common import discard, staged
 from headwater.llm.components import components
 from headwater.llm.shingles import SetCache, WordHasher, shingle_hashes, similar, words_of
 
@@ -187,7 +187,9 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     links = staged(verified(tested, texts, k, percent))
     roots = staged(components(links))
     unsettled = staged(_open_only(in_bands, roots).select("node", "n").distinct())
+    discard(in_bands)
     if unsettled.isEmpty():
+        discard(texts)
         return roots
     sets = staged(hashed_sets(unsettled, texts, k))
     in_bands = staged(rare_shingles(unsettled, sets, percent))
@@ -196,8 +198,11 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
         links = links.union(staged(verified(pairs, texts, k, percent)))
         roots = staged(components(links))
     rest = staged(_open_only(in_bands, roots))
+    discard(in_bands)
     if rest.isEmpty():
+        discard(texts, sets, rest)
         return roots
     found = large_group_links(rest, sets, percent).union(small_group_pairs(rest, percent)).distinct()
     links = links.union(staged(verified(staged(found), texts, k, percent)))
+    discard(texts, sets, rest)
     return staged(components(links))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import staged
+from headwater.llm.common import discard, staged
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     while mark[0]:
         following = staged(_small_star(_large_star(current)))
         new = _mark(following)
+        discard(current)
         current, mark, old = following, new, mark
         if new == old:
             break
