@@ -98,6 +98,24 @@ def _block_links(block: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in pairs], kind), "b": pa.array([y for _, y in pairs], kind)})
 
 
+def by_head(in_bands: DataFrame) -> DataFrame:
+    """Bands of more than ``SMALL`` nodes, with those of the same head (least node in a random order) as one.
+
+    Near copies share many rare shingles, and a node of a family would be sent once for each of them. All
+    pairs of a band stay together under its head, and a node is there once. Bands are left apart where
+    together they would have more pairs than each by itself.
+    """
+    order = F.struct(F.xxhash64("node", F.lit(2)).alias("h"), F.col("node"))
+    heads = in_bands.groupBy("band").agg(F.min(order).alias("head"), F.count("*").alias("size")).where(F.col("size") > SMALL)
+    placed = in_bands.join(heads.select("band", F.xxhash64("head.node", F.lit(3)).alias("head"), "size"), "band")
+    members = placed.groupBy("head", "node", "n", "root").agg(F.sum("size").alias("met"))
+    joint = members.groupBy("head").agg(F.count("*").alias("together"), F.sum("met").alias("apart")).where("together * together <= apart")
+    joint = joint.select("head")
+    return members.join(joint, "head").select(F.col("head").alias("band"), "node", "n", "root").unionByName(
+        placed.join(joint, "head", "left_anti").select("band", "node", "n", "root")
+    )
+
+
 def large_group_links(in_bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components in bands of more than ``SMALL`` nodes.
 
@@ -202,7 +220,7 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     if rest.isEmpty():
         discard(texts, sets, rest)
         return roots
-    found = large_group_links(rest, sets, percent).union(small_group_pairs(rest, percent)).distinct()
+    found = large_group_links(staged(by_head(rest)), sets, percent).union(small_group_pairs(rest, percent)).distinct()
     links = links.union(staged(verified(staged(found), texts, k, percent)))
     discard(texts, sets, rest)
     return staged(components(links))
