@@ -279,17 +279,16 @@ def table_compare(t):
     return quality.compare_fingerprints(all_fingerprints(t), all_fingerprints(t, damaged).where("table_name <> 'part'"))
 
 
-def digest_sql(source: str, group: str, order: str, key_text: str, line: str, subject: str, out: str) -> str:
-    """The sequence digest in SQL, parts included, as a chain of CTEs ending in ``out``."""
+def digest_sql(source: str, group: str, key_text: str, line: str, subject: str, out: str) -> str:
+    """The sequence digest in SQL, as a chain of CTEs ending in ``out``."""
     header = f"'{{\"fingerprint_version\":\"1\",\"subject\":\"{subject}\"}}' || chr(10)"
-    part = f"(('0x' || substr(md5({key_text}), 1, 8))::BIGINT % greatest(1, ceil(n / {FP.PART_ROWS}::DOUBLE)::BIGINT))"
-    return f"""{out}_c AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
-{out}_p AS (SELECT {group}, n, {part} AS part, sha256({header} || string_agg({line}, '' ORDER BY {order})) AS d FROM {out}_c GROUP BY {group}, n, {part}),
-{out} AS (SELECT {group}, n AS rows, CASE WHEN count(*) = 1 THEN max(d) ELSE sha256({header} || string_agg(d || chr(10), '' ORDER BY part)) END AS digest FROM {out}_p GROUP BY {group}, n)"""
+    sums = " || ".join(f"sum(('0x' || substr(h, {at}, 15))::BIGINT)::VARCHAR || chr(10)" for at in FP.SLICES)
+    return f"""{out}_h AS (SELECT {group}, sha256({key_text} || chr(10) || {line}) AS h FROM {source}),
+{out} AS (SELECT {group}, count(*) AS rows, sha256({header} || count(*) || chr(10) || {sums}) AS digest FROM {out}_h GROUP BY {group})"""
 
 
 SUB_LINE = """'{"attributes":{"area":"' || regexp_replace(regexp_replace(CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || '","texture":"' || o_orderpriority || '"},"topazid":"' || o_orderkey || '","weppid":"' || o_custkey || '"}' || chr(10)"""
-SUB_DIGEST = digest_sql("orders", "o_custkey", "o_orderkey", "o_orderkey::VARCHAR", SUB_LINE, "serving-subcatchments", "sd")
+SUB_DIGEST = digest_sql("orders", "o_custkey", "o_orderkey::VARCHAR", SUB_LINE, "serving-subcatchments", "sd")
 
 
 def subcatchment_digests(t):
@@ -309,7 +308,7 @@ def sequence_digest(t):
 
 CHAN_LINE = """'{"order":"' || l_linenumber || '","topazid":"' || l_orderkey || '","weppid":"' || l_partkey || '"}' || chr(10)"""
 CHAN_DIGEST = digest_sql(
-    "lineitem", "l_suppkey", "l_orderkey, l_partkey, l_linenumber", "l_orderkey || '|' || l_partkey || '|' || l_linenumber",
+    "lineitem", "l_suppkey", "l_orderkey || '|' || l_partkey || '|' || l_linenumber",
     CHAN_LINE, "serving-channels", "cd",
 )
 
@@ -327,14 +326,14 @@ def channel_digests(t):
     return FP.sequence_digest(t.lineitem, ["l_suppkey"], ["l_orderkey", "l_partkey", "l_linenumber"], line, "serving-channels")
 
 
-EMPTY = lambda subject: f"sha256('{{\"fingerprint_version\":\"1\",\"subject\":\"{subject}\"}}' || chr(10))"
+EMPTY = lambda subject: f"sha256('{{\"fingerprint_version\":\"1\",\"subject\":\"{subject}\"}}' || chr(10) || repeat('0' || chr(10), 5))"
 
 
 @query(
     f"""WITH {SUB_DIGEST}, {CHAN_DIGEST},
 w AS (SELECT 1 AS one, c_custkey, '{{"channels":"' || COALESCE(cd.digest, {EMPTY('serving-channels')}) || '","metadata":"' || c_name || '","runid":"' || c_custkey || '","subcatchments":"'
   || COALESCE(sd.digest, {EMPTY('serving-subcatchments')}) || '"}}' || chr(10) AS line FROM customer LEFT JOIN sd ON sd.o_custkey = c_custkey LEFT JOIN cd ON cd.l_suppkey = c_custkey),
-{digest_sql('w', 'one', 'c_custkey', 'c_custkey::VARCHAR', 'line', 'serving-watershed-domain', 'dd')} SELECT rows, digest FROM dd"""
+{digest_sql('w', 'one', 'c_custkey::VARCHAR', 'line', 'serving-watershed-domain', 'dd')} SELECT rows, digest FROM dd"""
 )
 def domain_digest(t):
     rows = FP.with_child_digests(

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from headwater.functions.canonical import header_line, json_line
 
-# Rows hashed together in one list. Groups no larger than this have the plain sequence
-# digest; larger ones are digested in parts of about this many rows.
-PART_ROWS = 65_536
+# Places of the 60-bit slices of a SHA-256 in hex that are summed. Sums stay exact far beyond 10^15 rows.
+SLICES = (1, 16, 31, 46)
 
 
 def hash60(text: Column) -> Column:
@@ -35,51 +34,30 @@ def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
     return summed.select(F.lit(name).alias("table_name"), "rows", digest.alias("fingerprint"))
 
 
-def sequence_digest(
-    df: DataFrame, groups: list[str], order: list[str], line: Column, subject: str, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """AGG-22: per group the SHA-256 over a header and the lines in key order.
-
-    Hashing is sequential, so a group is digested in one piece only while that piece is
-    small. Beyond ``part_rows`` rows its keys are dealt by hash into equal parts, each part
-    digested the same way, and the group's digest is that over the part digests in order.
-    The number of parts follows from the row count alone, so the digest depends on content
-    only; whatever share of all rows a group has, no task sees more than about one part.
-    ``order`` must be unique within a group.
+def _closed(subject: str, figures: list[Column]) -> Column:
+    """SHA-256 over the header line and one line per figure."""
+    return F.sha2(F.concat(header_line(subject), *[F.concat(f.cast("string"), F.lit("\n")) for f in figures]), 256)
+
+
+def sequence_digest(df: DataFrame, groups: list[str], order: list[str], line: Column, subject: str) -> DataFrame:
+    """AGG-22: per group the row count and a digest of header, count and summed hashes of keyed lines.
+
+    Each row is hashed together with its key, so that the sums fix content and order alike: a line under
+    another key has another hash. ``order`` must be unique within a group. There is one form for every
+    size; sums combine before the shuffle, and a group of any share of all rows is one row per task.
     """
-    header = header_line(subject)
-    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / part_rows))
     key_text = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
-    part = F.pmod(F.conv(F.substring(F.md5(key_text), 1, 8), 16, 10).cast("bigint"), F.col("_parts"))
-    lines = df.select(*groups, *order, line.alias("_line"))
-    if groups:
-        placed = lines.join(counts.select(*groups, parts.alias("_parts"), "rows"), groups).withColumn("_part", part)
-    else:
-        placed = lines.withColumn("rows", df.agg(F.count(F.lit(1))).scalar()).withColumn(
-            "_parts", parts
-        ).withColumn("_part", part)
-    # Dealt by part, not left as the join placed them: a large group must not stay in one task.
-    placed = placed.repartition(*groups, "_part")
-    joined = lambda listed, name: F.array_join(F.transform(F.array_sort(listed), lambda r: r[name]), "")
-    digested = placed.groupBy(*groups, "rows", "_parts", "_part").agg(
-        F.sha2(F.concat(header, joined(F.collect_list(F.struct(*order, "_line")), "_line")), 256).alias("_digest")
-    )
-    several = F.sha2(
-        F.concat(
-            header,
-            joined(F.collect_list(F.struct("_part", F.concat("_digest", F.lit("\n")).alias("_line"))), "_line"),
-        ),
-        256,
+    hashed = df.select(*groups, F.sha2(F.concat(key_text, F.lit("\n"), line), 256).alias("_hash"))
+    part = lambda at: F.conv(F.substring("_hash", at, 15), 16, 10).cast("decimal(20,0)")
+    summed = hashed.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(part(at)), F.lit(0)).alias(f"_sum{at}") for at in SLICES]
     )
-    return digested.groupBy(*groups, "rows", "_parts").agg(
-        F.when(F.col("_parts") == 1, F.max("_digest")).otherwise(several).alias("digest")
-    ).drop("_parts")
+    return summed.select(*groups, "rows", _closed(subject, [F.col("rows"), *[F.col(f"_sum{at}") for at in SLICES]]).alias("digest"))
 
 
 def empty_digest(subject: str) -> Column:
-    """The digest of a group without rows: the header alone."""
-    return F.sha2(header_line(subject), 256)
+    """The digest of a group without rows."""
+    return _closed(subject, [F.lit(0)] * (1 + len(SLICES)))
 
 
 def with_child_digests(watersheds: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
