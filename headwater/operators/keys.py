@@ -9,6 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Parts over which the children of one parent are dealt, so that a hot parent is no single task.
+SALTS = 32
+
+
+def join_parents(children: DataFrame, parents: DataFrame, on: list[str], child: list[str], how: str = "left") -> DataFrame:
+    """Children with the columns of their parent, safe where one parent has a large share of all children.
+
+    Children are dealt by a hash of their own key ``child`` over ``SALTS`` parts, and the parents, narrow
+    rows, are repeated for each part. ``on`` columns come first, as in a join by name.
+    """
+    dealt = children.withColumn("_salt", F.pmod(F.xxhash64(*child), F.lit(SALTS)).cast("int"))
+    repeated = parents.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def duplicate_summary(df: DataFrame, key: list[str], skip_null_first: bool = False) -> DataFrame:
     """AGG-11: number of key groups with more than one row, and the rows in them."""
     rows = df.where(F.col(key[0]).isNotNull()) if skip_null_first else df

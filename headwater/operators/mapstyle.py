@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions.colours import colour_of
 from headwater.functions.numbers import is_finite, normalise
+from headwater.operators.keys import join_parents
 from headwater.operators.ranking import robust_range
 
 # Colour of a feature no layer claims, and fill opacities of the three layers.
@@ -28,7 +29,7 @@ def value_style(
     """
     finite = values.where(is_finite(F.col("value")))
     ranges = robust_range(finite, groups, "value", low, high).drop("n")
-    styled = features.join(finite, on, "left").join(ranges, groups, "left")
+    styled = join_parents(features.join(finite, on, "left"), ranges, groups, on)
     low_end, high_end = F.coalesce("range_min", F.lit(0.0)), F.coalesce("range_max", F.lit(1.0))
     return styled.withColumn("range_min", low_end).withColumn("range_max", high_end).withColumn(
         "fill_colour", fill_colour(F.col("value"), F.col("range_min"), F.col("range_max"), scale)
@@ -45,13 +46,10 @@ def layered_colour(
     The three colour tables hold one row per id (and run), so each join is one-to-one.
     """
     by_model = lambda df, name: df.select(*run, F.col("wepp_id").alias("weppid"), F.col("colour").alias(name))
-    placed = (
-        features.join(by_model(vegetation, "_vegetation"), [*run, "weppid"], "left")
-        .join(by_model(scenario, "_scenario"), [*run, "weppid"], "left")
-        .join(
-            landuse.select(*run, F.col("topaz_id").alias("topazid"), F.col("colour").alias("_landuse")),
-            [*run, "topazid"], "left",
-        )
+    models = by_model(vegetation, "_vegetation").join(by_model(scenario, "_scenario"), [*run, "weppid"], "full_outer")
+    hillslopes = landuse.select(*run, F.col("topaz_id").alias("topazid"), F.col("colour").alias("_landuse"))
+    placed = join_parents(
+        join_parents(features, models, [*run, "weppid"], features.columns), hillslopes, [*run, "topazid"], features.columns
     )
     has_model, has_hillslope = F.coalesce(F.col("weppid"), F.lit(0)) != 0, F.coalesce(F.col("topazid"), F.lit(0)) != 0
     landuse_colour = F.when(F.col("_landuse") != "", F.col("_landuse"))

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.numbers import is_finite
+from headwater.operators.keys import join_parents
 from headwater.session import checkpoint
 
-# Histogram cells per doubling of the absolute value: about one percent wide.
+# Histogram cells per doubling of the absolute value: about one percent wide. A cell holds less than 2^47
+# different doubles, so three splits into 2^16 leave one value in each part.
 CELLS_PER_OCTAVE = 64
+SPLITS = 65_536
+PASSES = 3
 
 
 def _cell(value: Column) -> Column:
@@ -23,61 +27,51 @@ def robust_range(
 ) -> DataFrame:
     """AGG-20: per group the values at sorted positions ``floor(n * p)``, the last one past the end.
 
-    Exact selection in two passes. The first counts values per cell of a logarithmic
-    histogram (combined before the shuffle, a few thousand cells per group at most) and
-    finds the cell holding each wanted position. The second ranks only the distinct values
-    inside those cells. A group with a third of all rows is thus spread over its cells.
+    Exact selection by counting. The first pass counts values per cell of a logarithmic histogram and
+    finds the cell that holds each wanted position. Each later pass splits the cell found into equal
+    parts, counts again and keeps the part that holds the position, until least and greatest value of
+    it are the same. Counts combine before the shuffle, and a window sees the counts of one group,
+    ``SPLITS`` at most, never its values, however close together they lie.
     """
     finite = df.where(is_finite(F.col(value))).select(
         *groups, F.col(value).cast("double").alias("_v"), _cell(F.col(value).cast("double")).alias("_cell")
     )
-    cells = finite.groupBy(*groups, "_cell").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    )
-    keys = groups or [F.lit(0)]
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = [F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def wanted(p: float) -> Column:
         return F.least(F.floor(F.col("_n") * F.lit(float(p))), F.col("_n") - 1)
 
-    placed = (
-        cells.withColumn("_upto", F.sum("_rows").over(before))
-        .withColumn("_n", F.sum("_rows").over(whole))
-        .withColumn(
-            "_want",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("low").alias("end"), wanted(low).alias("at")),
-                    F.struct(F.lit("high").alias("end"), wanted(high).alias("at")),
-                )
-            ),
-        )
-        .withColumn("_skip", F.col("_upto") - F.col("_rows"))
-        .where((F.col("_want.at") >= F.col("_skip")) & (F.col("_want.at") < F.col("_upto")))
-        .select(
-            *groups, "_cell", "_n", "_low", "_high",
-            F.col("_want.end").alias("_end"), (F.col("_want.at") - F.col("_skip")).alias("_rest"),
-        )
+    ends = F.array(
+        F.struct(F.lit("low").alias("end"), wanted(low).alias("at")), F.struct(F.lit("high").alias("end"), wanted(high).alias("at"))
     )
-    settled = placed.where(F.col("_low") == F.col("_high")).select(
-        *groups, "_n", "_end", F.col("_low").alias("_pick")
+    found = (
+        finite.groupBy(*groups, "_cell").agg(*counts)
+        .withColumn("_upto", F.sum("_rows").over(upto)).withColumn("_n", F.sum("_rows").over(whole))
+        .withColumn("_want", F.explode(ends)).withColumn("_end", F.col("_want.end"))
+        .withColumn("_rest", F.col("_want.at") - F.col("_upto") + F.col("_rows"))
+        .where((F.col("_rest") >= 0) & (F.col("_rest") < F.col("_rows")))
+        .select(*groups, "_cell", "_n", "_end", "_rest", "_low", "_high")
     )
-    within = Window.partitionBy(*groups, "_end").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    searched = (
-        finite.join(placed.where(F.col("_low") != F.col("_high")), [*groups, "_cell"])
-        .groupBy(*groups, "_end", "_n", "_rest", "_v")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(within))
-        .where((F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_rows")))
-        .select(*groups, "_n", "_end", F.col("_v").alias("_pick"))
-    )
-    return settled.unionByName(searched).groupBy(*groups).agg(
+    settled = found.where(F.col("_low") == F.col("_high"))
+    within = Window.partitionBy(*groups, "_end").orderBy("_split").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for _ in range(PASSES):
+        split = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * SPLITS)
+        unsettled = found.where(F.col("_low") < F.col("_high")).withColumnsRenamed({"_low": "_from", "_high": "_to"})
+        found = (
+            join_parents(finite, unsettled, [*groups, "_cell"], ["_v"], "inner")
+            .where(F.col("_v").between(F.col("_from"), F.col("_to")))
+            .groupBy(*groups, "_cell", "_n", "_end", "_rest", split.alias("_split")).agg(*counts)
+            .withColumn("_rest", F.col("_rest") - F.sum("_rows").over(within) + F.col("_rows"))
+            .where((F.col("_rest") >= 0) & (F.col("_rest") < F.col("_rows")))
+            .select(*groups, "_cell", "_n", "_end", "_rest", "_low", "_high")
+        )
+        settled = settled.unionByName(found.where(F.col("_low") == F.col("_high")))
+    return settled.groupBy(*groups).agg(
         F.max("_n").alias("n"),
-        F.max(F.when(F.col("_end") == "low", F.col("_pick"))).alias("range_min"),
-        F.max(F.when(F.col("_end") == "high", F.col("_pick"))).alias("range_max"),
+        F.max(F.when(F.col("_end") == "low", F.col("_low"))).alias("range_min"),
+        F.max(F.when(F.col("_end") == "high", F.col("_low"))).alias("range_max"),
     )
 
 

@@ -11,6 +11,7 @@ from headwater.functions.colours import (
     BURN_CLASSES, BURN_PALETTES, STREAM, categorical_colour_of, hex_upper, legend_colours, map_colour_of,
 )
 from headwater.functions.numbers import is_finite
+from headwater.operators.keys import join_parents
 
 # Latitude limit of the square world map.
 WEB_MERCATOR_LIMIT = 85.0511287798066
@@ -47,7 +48,7 @@ def rescale(pixels: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     bounded = ranges.select(*keys, "is_change", low.alias("_low"), high.alias("_high"))
     part = (F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(part, F.lit(0.0)))) * 255
-    return pixels.where(is_finite(F.col("value"))).join(bounded, keys).select(
+    return join_parents(pixels.where(is_finite(F.col("value"))), bounded, keys, pixels.columns, "inner").select(
         *pixels.columns, "is_change", level.alias("level")
     )
 

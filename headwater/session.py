@@ -6,8 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that hold on a laptop and on a large cluster alike. Partition counts are
-# left to AQE: it starts from a high number and coalesces, and it splits skewed joins.
+# Settings that hold on a laptop and on a large cluster alike. AQE joins small partitions up to the
+# advisory size and splits skewed joins. How many it starts from is the cluster's to say
+# (spark.sql.adaptive.coalescePartitions.initialPartitionNum): about the shuffled bytes by 128 MB.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +16,7 @@ SETTINGS = {
     # Split a skewed join even where a grouping on the same key then needs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }

@@ -40,6 +40,27 @@ def test_robust_range_of_everything(spark):
     assert (row.n, row.range_min, row.range_max) == (1000, *brute_range(data, 0.05, 0.95))
 
 
+def test_robust_range_of_close_values(spark):
+    """A group with a third of the rows, all in one histogram cell, and neighbouring doubles."""
+    rng = random.Random(5)
+    close = [1000 + rng.random() for _ in range(3000)]
+    near, x = [], 1e300
+    for _ in range(500):
+        near.append(x)
+        x = math.nextafter(x, math.inf)
+    tiny = [i * 5e-324 for i in range(1, 300)]
+    data = [("close", v) for v in close] + [("near", v) for v in near] + [("tiny", -v) for v in tiny] + [(f"g{i}", rng.gauss(0, 1)) for i in range(60) for _ in range(40)]
+    df = spark.createDataFrame(data, "g string, v double")
+    out = ranking.robust_range(df, ["g"], "v", 0.02, 0.98)
+    got = {r.g: (r.n, r.range_min, r.range_max) for r in out.collect()}
+    for name in ("close", "near", "tiny", "g7"):
+        mine = [v for g, v in data if g == name]
+        assert got[name] == (len(mine), *brute_range(mine, 0.02, 0.98)), name
+    # No window is ordered by values.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("_v#" in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_number_rows(spark):
     names = [f"run-{i:04d}" for i in random.Random(1).sample(range(5000), 900)]
     df = spark.createDataFrame([(n,) for n in names], "runid string").repartition(7)
@@ -72,24 +93,28 @@ def test_strictly_increasing(spark):
         assert got == expected
 
 
-@pytest.mark.parametrize("part_rows", [10, 65_536])
-def test_sequence_digest(spark, part_rows):
+def test_sequence_digest(spark):
     data = [(g, k, f"text {k * g}") for g, n in ((1, 5), (2, 37), (3, 400)) for k in range(n)]
     df = spark.createDataFrame(data, "g int, k long, t string").repartition(6)
     line = json_line({"k": F.col("k").cast("string"), "t": F.col("t")})
-    got = {r.g: r.digest for r in FP.sequence_digest(df, ["g"], ["k"], line, "demo", part_rows).collect()}
-    header = b'{"fingerprint_version":"1","subject":"demo"}\n'
+    header = '{"fingerprint_version":"1","subject":"demo"}\n'
+
+    def brute(rows):
+        hashes = [hashlib.sha256(f'{k}\n{{"k":"{k}","t":"{t}"}}\n'.encode()).hexdigest() for k, t in rows]
+        figures = [len(rows), *[sum(int(h[at : at + 15], 16) for h in hashes) for at in (0, 15, 30, 45)]]
+        return hashlib.sha256((header + "".join(f"{n}\n" for n in figures)).encode()).hexdigest()
+
+    got = {r.g: (r.rows, r.digest) for r in FP.sequence_digest(df, ["g"], ["k"], line, "demo").collect()}
     for group in (1, 2, 3):
-        mine = [(k, f'{{"k":"{k}","t":"{t}"}}\n'.encode()) for g, k, t in data if g == group]
-        parts = max(1, -(-len(mine) // part_rows))
-        dealt = {}
-        for k, text in mine:
-            dealt.setdefault(int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % parts, []).append(text)
-        digests = [hashlib.sha256(header + b"".join(dealt[p])).hexdigest() for p in sorted(dealt)]
-        whole = digests[0] if parts == 1 else hashlib.sha256(header + "".join(d + "\n" for d in digests).encode()).hexdigest()
-        assert got[group] == whole
-    total = FP.sequence_digest(df.where("g = 2"), [], ["k"], line, "demo", part_rows).first()
-    assert total.digest == got[2] and total.rows == 37
+        mine = [(k, t) for g, k, t in data if g == group]
+        assert got[group] == (len(mine), brute(mine))
+    total = FP.sequence_digest(df.where("g = 2"), [], ["k"], line, "demo").first()
+    assert (total.rows, total.digest) == got[2]
+    # Two texts change places: same lines but for their keys, another digest.
+    swapped = df.withColumn("t", F.when(F.col("k") == 1, "text 4").when(F.col("k") == 2, "text 2").otherwise(F.col("t")))
+    assert FP.sequence_digest(swapped.where("g = 2"), [], ["k"], line, "demo").first().digest != got[2][1]
+    none = FP.sequence_digest(df.where("g = 9"), [], ["k"], line, "demo").select("digest", FP.empty_digest("demo").alias("empty")).first()
+    assert none.digest == none.empty == brute([])
 
 
 def test_table_fingerprint_ignores_order(spark):
