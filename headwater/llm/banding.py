@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from headwater.llm.common import discard, staged
 from headwater.llm.components import components
-from headwater.llm.shingles import SetCache, WordHasher, shingle_hashes, similar, words_of
+from headwater.llm.shingles import SetCache, shingle_hashes, similar, word_hashes
 
 # Bands of so many nodes meet as rows; larger ones in blocks of so many nodes and shingles, so many columns at once.
 SMALL = 16
@@ -163,11 +163,10 @@ def _open_only(in_bands: DataFrame, roots: DataFrame) -> DataFrame:
 def hashed_sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, hashes) with the 64-bit hashes of the distinct shingles of each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [np.unique(shingle_hashes(hasher(words_of(t)), k)).astype(np.int64) for t in part.column(1).to_pylist()]
+                sets = [np.unique(shingle_hashes(word_hashes(t), k)).astype(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     chosen = texts.join(nodes.select("node").distinct(), "node").select("node", "text")

@@ -33,18 +33,16 @@ def components(links: DataFrame) -> DataFrame:
     no links give no rows. Rounds grow with the logarithm of the longest path.
     """
     current = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(current)
-    while mark[0]:
+    while not _finished(current):
         following = staged(_small_star(_large_star(current)))
-        new = _mark(following)
         discard(current)
-        current, mark, old = following, new, mark
-        if new == old:
-            break
+        current = following
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+def _finished(links: DataFrame) -> bool:
+    """Whether every node has one link at most and is either a root or linked to one."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b").distinct())
+    return ends.groupBy("node").agg(F.count("*").alias("ends")).where("ends > 1").isEmpty()

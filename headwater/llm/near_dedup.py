@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from headwater.llm.banding import near_components
 from headwater.llm.common import column, free_name, ship, staged
-from headwater.llm.shingles import WordHasher, band_keys, bands_for, shingle_hashes, words_of
+from headwater.llm.shingles import band_keys, band_keys_of, bands_for, shingle_hashes, word_hashes
 
 ROWS = 4
 RECALL = 0.99999
@@ -69,15 +69,28 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, percent: int) -> Da
     bands = bands_for(percent / 100, RECALL, ROWS)
     rows = docs.select(column(key).alias("doc_id"), F.xxhash64(column(text)).alias("text_hash"), column(text).alias("text"))
 
+    def sign(small: list[tuple[int, np.ndarray]], keys: list) -> None:
+        if small:
+            rows_of = circulant_minhash_of([found for _, found in small], bands * ROWS)
+            for (i, _), row in zip(small, band_keys_of(rows_of, bands, ROWS)):
+                keys[i] = row
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
-            for value in batch.column(2).to_pylist():
-                found = np.unique(shingle_hashes(hasher(words_of(value)), k))
+            sizes, nodes, keys, small, waiting = [], [], [], [], 0
+            for i, value in enumerate(batch.column(2).to_pylist()):
+                found = np.unique(shingle_hashes(word_hashes(value), k))
                 sizes.append(len(found))
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                keys.append(band_keys(circulant_minhash(found, bands * ROWS), bands, ROWS).tolist() if len(found) else None)
+                keys.append(None)
+                if len(found) > BLOCK:
+                    keys[i] = band_keys(circulant_minhash(found, bands * ROWS), bands, ROWS)
+                elif len(found):
+                    small.append((i, found))
+                    waiting += len(found)
+                if waiting > BLOCK or i == batch.num_rows - 1:
+                    sign(small, keys)
+                    small, waiting = [], 0
             arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "node", "bands"])
 

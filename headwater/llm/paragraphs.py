@@ -25,7 +25,7 @@ from headwater.llm.banding import near_components
 from headwater.llm.common import column, free_name, ship, staged
 from headwater.llm.components import components
 from headwater.llm.near_dedup import circulant_minhash_of
-from headwater.llm.shingles import WordHasher, band_keys_of, bands_for, fold, shingle_hashes
+from headwater.llm.shingles import band_keys_of, bands_for, fold, shingle_hashes, word_hashes
 
 SHINGLE = 5
 ANCHOR_SPAN = 24
@@ -83,17 +83,15 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
     bands = bands_for(0.8, RECALL, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield cut(hasher, batch.slice(at, 256))
+                yield cut(batch.slice(at, 256))
 
-    def cut(hasher: WordHasher, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, nodes, starts, sizes, sets, lines_of, line_sets = [], [], [], [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
             lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
-            hashes = hasher([w for line in lines for w in line])
-            shingles = shingle_hashes(hashes, SHINGLE)
+            shingles = shingle_hashes(word_hashes(text), SHINGLE)
             begin, digests = anchored_paragraphs(shingles)
             owner += [i] * len(begin)
             whole = digests.tobytes()

@@ -7,7 +7,6 @@ from collections import OrderedDict
 import numpy as np
 import xxhash
 
-HASHES_KEPT = 300_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,20 +22,10 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered within bounds."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > HASHES_KEPT:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of ``words_of(text)``, in order."""
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
