@@ -1,12 +1,16 @@
 """Operator 7: substring deduplication by MinHash banding of paragraphs.
 
-Paragraphs are of two kinds. A line of 50 words or more is one: its MinHash signature is cut into bands
-tuned for high recall, colliding lines are joined, and the exact Jaccard similarity of their word
-5-grams decides. Passages copied into the middle of another text have no line of their own, so
-paragraphs of 25 words also begin at anchors that the words themselves choose (the least 5-gram hash of any
-24 in a row): wherever a passage of 50 words stands, the same paragraph is cut out of it. Equal anchored
-paragraphs have all shingles in common and meet by the digest of these. Components of paragraphs
-choose one document, that of the smallest number, which keeps the passage; the others lose it.
+Repeats are found in two ways. A line of 25 words or more, or a blank-line paragraph of so many words in
+shorter lines, is signed: its MinHash signature is cut into bands tuned for high recall, colliding ones are joined, and the
+exact Jaccard similarity of their word 5-grams decides. Components of these choose one document, that of
+the smallest number, which keeps the passage; the others lose it.
+
+Passages copied into the middle of another text have no line of their own. Seeds of 12 words at anchors
+that the words themselves choose (the least 5-gram hash of any 11 in a row) lie in every run of 22 equal
+words. Seeds that another document has too are joined with the words around them in the earliest such
+document, and the stretch grows word by word to its ends, over changed, added and missing words as long
+as its 5-grams stay similar enough. A stretch of 25 words or more is a repeat. The run of 22 is what one
+word added to the shortest similar stretch (44 words) leaves of it.
 """
 
 from __future__ import annotations
@@ -22,49 +26,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headwater.llm.banding import near_components
-from headwater.llm.common import column, free_name, ship, staged
+from headwater.llm.common import column, discard, free_name, ship, staged
 from headwater.llm.components import components
 from headwater.llm.near_dedup import circulant_minhash_of
 from headwater.llm.shingles import band_keys_of, bands_for, fold, shingle_hashes, word_hashes
 
 SHINGLE = 5
-ANCHOR_SPAN = 24
-ANCHORED_WORDS = 25
-LINE_WORDS = 50
+ANCHOR_SPAN = 11
+SEED_WORDS = 12
+LEAST_WORDS = 25
+GAP = 8
 ROWS = 3
 RECALL = 0.999
 
 
 def anchored_paragraphs(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 128-bit digests of the paragraphs of 25 words that begin at anchors.
+    """Starts and 64-bit digests of the seeds of 12 words that begin at anchors.
 
-    A paragraph that repeats itself at once, as in a text of one word, is taken once per its own length.
+    Of seeds that repeat at once, as in a text of one word, those go without which the others still touch.
     """
-    none = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    reach = ANCHORED_WORDS - SHINGLE
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    reach = SEED_WORDS - SHINGLE
     if len(shingles) < ANCHOR_SPAN:
-        return none
-    windows = np.lib.stride_tricks.sliding_window_view(shingles, ANCHOR_SPAN)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    at = at[at + reach < len(shingles)]
+        if len(shingles) <= reach:
+            return none
+        at = np.array([shingles[: len(shingles) - reach].argmin()])
+    else:
+        windows = np.lib.stride_tricks.sliding_window_view(shingles, ANCHOR_SPAN)
+        at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        at = at[at + reach < len(shingles)]
     if not len(at):
         return none
-    parts = shingles[at[:, None] + np.arange(0, reach + 1, SHINGLE)]
-    digests = np.stack([fold(parts, 101), fold(parts, 202)], axis=1)
-    order = np.lexsort((at, digests[:, 0]))
+    digests = fold(shingles[at[:, None] + np.array([*range(0, reach, SHINGLE), reach])], 101)
+    order = np.lexsort((at, digests))
+    same = np.zeros(len(at) + 1, bool)
+    same[1:-1] = digests[order[1:]] == digests[order[:-1]]
     again = np.zeros(len(at), bool)
-    last_at = 0
-    same = np.zeros(len(at), bool)
-    same[1:] = digests[order[1:], 0] == digests[order[:-1], 0]
     if same.any():
-        for i, repeats in zip(order.tolist(), same.tolist()):
-            if repeats and at[i] - last_at < ANCHORED_WORDS:
+        last_at = 0
+        for i, repeats, following, more in zip(order.tolist(), same[:-1].tolist(), [*order[1:].tolist(), 0], same[1:].tolist()):
+            if repeats and more and at[following] <= last_at + SEED_WORDS:
                 again[i] = True
             else:
                 last_at = at[i]
     return at[~again], digests[~again]
 
 
+def signed_parts(lines: list[int]) -> list[tuple[int, int]]:
+    """(start, words) of the lines of 25 words or more, and of blank-line paragraphs of so many in shorter lines only."""
+    parts, at, begin, longest = [], 0, 0, 0
+    for words in [*lines, 0]:
+        if words >= LEAST_WORDS:
+            parts.append((at, words))
+        longest = max(longest, words)
+        if not words:
+            if longest < LEAST_WORDS <= at - begin:
+                parts.append((begin, at - begin))
+            begin, longest = at, 0
+        at += words
+    return parts
+
+
 def document_number(key: Column, kind: T.DataType, text_hash: Column) -> Column:
     """The number that orders documents: the key itself, or a hash if it is null or no whole number."""
     whole = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
@@ -78,7 +100,7 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def paragraph_table(rows: DataFrame) -> DataFrame:
-    """(node, doc, text_hash, start, words, n, bands): all paragraphs; anchored ones have no bands."""
+    """(node, doc, text_hash, start, words, n, bands): all signed parts, and seeds, which have no bands."""
     ship(rows.sparkSession)
     bands = bands_for(0.8, RECALL, ROWS)
 
@@ -90,27 +112,24 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, nodes, starts, sizes, sets, lines_of, line_sets = [], [], [], [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
+            lines = [len(line.split()) for line in (text or "").encode().split(b"\n")]
             shingles = shingle_hashes(word_hashes(text), SHINGLE)
             begin, digests = anchored_paragraphs(shingles)
             owner += [i] * len(begin)
             whole = digests.tobytes()
-            nodes += [whole[d : d + 16] for d in range(0, len(whole), 16)]
+            nodes += [whole[d : d + 8] for d in range(0, len(whole), 8)]
             starts += begin.tolist()
-            sizes += [ANCHORED_WORDS] * len(begin)
-            sets += [ANCHORED_WORDS - SHINGLE + 1] * len(begin)
-            at = 0
-            for line in lines:
-                if len(line) >= LINE_WORDS:
-                    found = np.unique(shingles[at : at + len(line) - SHINGLE + 1])
-                    owner.append(i)
-                    nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    starts.append(at)
-                    sizes.append(len(line))
-                    sets.append(len(found))
-                    lines_of.append(len(owner) - 1)
-                    line_sets.append(found)
-                at += len(line)
+            sizes += [SEED_WORDS] * len(begin)
+            sets += [SEED_WORDS - SHINGLE + 1] * len(begin)
+            for at, words in signed_parts(lines):
+                found = np.unique(shingles[at : at + words - SHINGLE + 1])
+                owner.append(i)
+                nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
+                starts.append(at)
+                sizes.append(words)
+                sets.append(len(found))
+                lines_of.append(len(owner) - 1)
+                line_sets.append(found)
         keys: list = [None] * len(owner)
         if line_sets:
             for at, row in zip(lines_of, band_keys_of(circulant_minhash_of(line_sets, bands * ROWS), bands, ROWS)):
@@ -146,6 +165,173 @@ def paragraph_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
+def clusters(hits: list[dict]) -> list[tuple]:
+    """Seeds (keep_doc, keep_hash, keep_start, start) of one document as (keep, own range, keeper's range, chains).
+
+    Seeds that touch on one diagonal are a chain (start, keep_start, words). Short runs beyond a chain can
+    keep a stretch similar over 1.25 times its words at most, so a range of twice the chain and 64 words on
+    both sides is all a chain can need; chains whose ranges meet on both sides go together.
+    """
+    chains: list[list] = []
+    for keep, diagonal, start in sorted(((h["keep_doc"], h["keep_hash"]), h["start"] - h["keep_start"], h["start"]) for h in hits):
+        if chains and chains[-1][0] == keep and chains[-1][1] == diagonal and start <= chains[-1][3]:
+            chains[-1][3] = start + SEED_WORDS
+        else:
+            chains.append([keep, diagonal, start, start + SEED_WORDS])
+    out: list[list] = []
+    for keep, diagonal, start, end in sorted(chains, key=lambda c: (c[0], c[2])):
+        more = 2 * (end - start) + 64
+        own = [max(0, start - more), end + more]
+        theirs = [max(0, start - diagonal - more), end - diagonal + more]
+        chain = (start, start - diagonal, end - start)
+        last = out[-1] if out else None
+        if last and last[0] == keep and own[0] <= last[1][1] and theirs[0] <= last[2][1] and last[2][0] <= theirs[1]:
+            for i, found in ((1, own), (2, theirs)):
+                last[i] = [min(last[i][0], found[0]), max(last[i][1], found[1])]
+            last[3].append(chain)
+        else:
+            out.append([keep, own, theirs, [chain]])
+    return out
+
+
+def run_length(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words ``a`` and ``b`` have in common from their starts."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        differs = np.flatnonzero(a[at : min(at + step, n)] != b[at : min(at + step, n)])
+        if len(differs):
+            return at + int(differs[0])
+        at, step = at + step, step * 4
+    return n
+
+
+_JUMPS = sorted(((i, j) for i in range(GAP + 1) for j in range(GAP + 1) if i or j), key=lambda x: (max(x), abs(x[0] - x[1]), x))
+
+
+def runs_beyond(a: np.ndarray, b: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(end in a, end in b, words in common) of each run of 5 words or more after a gap of up to 8 words."""
+    i = j = 0
+    while max(i, j) <= limit:
+        for x, y in _JUMPS:
+            p, q = a[i + x : i + x + SHINGLE], b[j + y : j + y + SHINGLE]
+            if len(p) == len(q) == SHINGLE and (p == q).all():
+                n = run_length(a[i + x :], b[j + y :])
+                i, j = i + x + n, j + y + n
+                yield i, j, n
+                break
+        else:
+            return
+
+
+def grown(own: np.ndarray, theirs: np.ndarray, chains: list[tuple[int, int, int]], percent: int) -> list[tuple[int, int]]:
+    """The stretches of ``own``, of 25 words or more, to which chains grow; positions count from its start."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in chains:
+        if any(s <= a and a + n <= e and s - t == a - b for s, e, t in out):
+            continue
+        if run_length(own[a : a + n], theirs[b : b + n]) < n:
+            continue
+        back = run_length(own[:a][::-1], theirs[:b][::-1])
+        a, b, n = a - back, b - back, n + back
+        n += run_length(own[a + n :], theirs[b + n :])
+        common, start, keep_start, end, keep_end = n - SHINGLE + 1, a, b, a + n, b + n
+        limit = 2 * n + 64
+
+        def alike(shared: int, words: int, keep_words: int) -> bool:
+            return 100 * shared >= percent * (words + keep_words - 2 * (SHINGLE - 1) - shared)
+
+        # Either side may need what the other one adds, so the right end is tried again after the left.
+        for side in ("right", "left", "right"):
+            p, q = (own[end:], theirs[keep_end:]) if side == "right" else (own[:start][::-1], theirs[:keep_start][::-1])
+            best, shared = (0, 0, 0), 0
+            for i, j, n in runs_beyond(p, q, limit):
+                shared += n - SHINGLE + 1
+                if alike(common + shared, end - start + i, keep_end - keep_start + j):
+                    best = i, j, shared
+            i, j, shared = best
+            common += shared
+            if side == "right":
+                end, keep_end = end + i, keep_end + j
+            else:
+                start, keep_start = start - i, keep_start - j
+        out.append((start, end, keep_start))
+    return sorted({(s, e) for s, e, _ in out if e - s >= LEAST_WORDS})
+
+
+def excerpts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text_hash, low, high, words) of wanted ranges (doc, text_hash, low, high): 32-bit word hashes."""
+    per_doc = wanted.groupBy(F.col("doc").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    joined = rows.join(per_doc, (F.col("doc") == F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc", "text_hash", "text", "parts")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                owner, low, high, words = [], [], [], []
+                for i, (text, parts) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    hashes = word_hashes(text).astype(np.uint32)
+                    for p in parts:
+                        owner.append(i)
+                        low.append(p["low"])
+                        high.append(p["high"])
+                        words.append(hashes[p["low"] : p["high"]].tobytes())
+                docs = [part.column(i).take(pa.array(owner, pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*docs, pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(words, pa.binary())], names
+                )
+
+    names = ["doc", "text_hash", "low", "high", "words"]
+    cut_out = joined.mapInArrow(cut, "doc long, text_hash long, low int, high int, words binary")
+    return cut_out.groupBy("doc", "text_hash", "low", "high").agg(F.min("words").alias("words"))
+
+
+def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
+    """(doc, text_hash, start, end, keep_doc): stretches grown from seeds that an earlier document has too."""
+    first = F.min(F.struct(F.col("doc").alias("keep_doc"), F.col("text_hash").alias("keep_hash"), F.col("start").alias("keep_start"))).alias("first")
+    shared = staged(seeds.groupBy("node").agg(first, F.max("doc").alias("high")).where("first.keep_doc < high").select("node", "first.*"))
+    hits = seeds.select("node", "doc", "text_hash", "start").join(shared, "node").where("doc <> keep_doc")
+    hit = F.struct("keep_doc", "keep_hash", "keep_start", "start")
+    per_doc = hits.groupBy("doc", "text_hash").agg(F.collect_set(hit).alias("hits"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text_hash, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for keep, own, theirs, chains in clusters(found):
+                    out.append((doc, text_hash, *own, *keep, *theirs, [x for chain in chains for x in chain]))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.list_(pa.int32())]
+            columns = zip(*out) if out else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+    names = ["doc", "text_hash", "low", "high", "keep_doc", "keep_hash", "keep_low", "keep_high", "chains"]
+    placed = staged(per_doc.mapInArrow(place, "doc long, text_hash long, low int, high int, keep_doc long, keep_hash long, keep_low int, keep_high int, chains array<int>"))
+    own_keys, keep_keys = names[:4], names[4:8]
+    wanted = placed.select(*own_keys).union(placed.select(*keep_keys)).distinct()
+    cuts = staged(excerpts(rows, wanted))
+    theirs = cuts.toDF(*keep_keys, "keep_words")
+    both = placed.join(cuts, own_keys).join(theirs, keep_keys).select("doc", "text_hash", "low", "keep_doc", "keep_low", "chains", "words", "keep_words")
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, starts, ends = [], [], []
+            columns = [batch.column(i).to_pylist() for i in (2, 4, 5, 6, 7)]
+            for i, (low, keep_low, flat, words, keep_words) in enumerate(zip(*columns)):
+                chains = [(a - low, b - keep_low, n) for a, b, n in zip(flat[::3], flat[1::3], flat[2::3])]
+                for start, end in grown(np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32), chains, percent):
+                    owner.append(i)
+                    starts.append(start + low)
+                    ends.append(end + low)
+            take = pa.array(owner, pa.int64())
+            doc, text_hash, keep = (batch.column(i).take(take) for i in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays(
+                [doc, text_hash, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), keep], ["doc", "text_hash", "start", "end", "keep_doc"]
+            )
+
+    spans = staged(both.mapInArrow(grow, "doc long, text_hash long, start int, end int, keep_doc long"))
+    discard(shared, placed, cuts)
+    return spans
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Numbered rows of ``docs`` and the spans to take out of them: (doc, text_hash, start, end, keep_doc), in words."""
     rows = numbered(docs, key, text)
@@ -161,13 +347,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     placed = classes.select("node", "low", "high").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "high")
     groups = placed.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     of_lines = placed.select("node", "root").join(groups, "root").select("node", F.col("low").alias("keep_doc"))
-    of_anchors = (
-        table.where(F.col("bands").isNull()).groupBy("node").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        .where("low < high").select("node", F.col("low").alias("keep_doc"))
-    )
-    repeated = staged(of_lines.union(of_anchors))
-    spans = table.select("node", "doc", "text_hash", "start", (F.col("start") + F.col("words")).alias("end")).join(repeated, "node")
-    return rows, spans.where("doc <> keep_doc").select("doc", "text_hash", "start", "end", "keep_doc")
+    repeated = staged(of_lines)
+    spans = lines.select("node", "doc", "text_hash", "start", (F.col("start") + F.col("words")).alias("end")).join(repeated, "node")
+    of_lines = spans.where("doc <> keep_doc").select("doc", "text_hash", "start", "end", "keep_doc")
+    return rows, of_lines.union(passage_spans(rows, table.where(F.col("bands").isNull()), percent))
 
 
 def removals(spans: DataFrame) -> DataFrame:

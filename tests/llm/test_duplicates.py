@@ -126,3 +126,32 @@ def test_a_passage_of_fifty_words_is_found_anywhere(before):
         words = [w.encode() for w in prose(pick, before)] + passage + [w.encode() for w in prose(pick, 40)]
         found.append({d.tobytes() for d in paragraphs.anchored_paragraphs(shingle_hashes(word_hashes(b" ".join(words).decode()), 5))[1]})
     assert set.intersection(*found)
+
+
+def test_passages_go_to_their_ends_and_near_copies_of_short_paragraphs_go_too(spark):
+    pick = random.Random(5)
+    exact, changed, added, short, wrapped, notice = (prose(pick, n) for n in (51, 50, 44, 25, 60, 20))
+    other = changed[:25] + ["other"] + changed[26:]
+    longer = added[:22] + ["more"] + added[22:]
+    broken = list(wrapped)
+    broken[30] = "other"
+
+    def inside(words):
+        return " ".join(prose(pick, 70) + words + prose(pick, 70))
+
+    def folded(words):
+        return "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+
+    texts = {
+        1: inside(exact), 2: inside(exact), 3: inside(changed), 4: inside(other), 5: inside(added), 6: inside(longer),
+        7: inside(short), 8: inside(short), 9: "a\n\n" + folded(wrapped) + "\n\nb", 10: "c\n\n" + folded(broken) + "\n\nd",
+        11: inside(notice * 5), 12: inside(notice * 5), 13: inside(short[:24]),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    removed = {r.doc_id: r.removed_words for r in paragraphs.substring_duplicates(docs).collect() if not r.kept}
+    assert removed == {2: 51, 4: 50, 6: 45, 8: 25, 10: 60, 12: 100}
+    clean = {r.doc_id: r.text for r in paragraphs.drop_repeated_passages(docs).collect()}
+    for i, n in ((2, 51), (4, 50), (6, 45), (8, 25), (12, 100)):
+        words = texts[i].split()
+        assert clean[i].split() == words[:70] + words[70 + n :]
+    assert clean[10].split() == ["c", "d"]
