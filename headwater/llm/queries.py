@@ -46,10 +46,10 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels of documents teach about the pages of the same number; bad is toxic or of low quality."""
+    """Labels of documents teach about the pages that hold their text; bad is toxic or of low quality."""
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
     bad = labels.groupBy("doc_id").agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
-    labelled = pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id")).select("url", "bad")
+    labelled = url_rules.label_pages(pages, table(spark, folder, "documents"), bad)
     return url_rules.judge_urls(pages, GIVEN_RULES, url_rules.mine_rules(labelled))
 
 

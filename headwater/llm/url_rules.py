@@ -52,6 +52,38 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))
 
 
+def text_lines(text: Column) -> Column:
+    """(hash, words) of the lines of a text that have words, blanks made one."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")))
+    return F.transform(F.filter(lines, lambda line: line != ""), lambda line: F.struct(
+        F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words")))
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page, a line per stretch between two tags."""
+    text = F.regexp_replace(html, r"<[^>]*>", "\n")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
+def label_pages(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad) of pages that hold the text of a labelled document. ``labels`` has one (doc_id, bad) per document.
+
+    A line stands for one document, a labelled one if there is any, so that a common line is one row.
+    A page has the label of the document that has more than half of the words the page shares with documents.
+    """
+    each = docs.select("doc_id", F.explode(text_lines(F.col("text"))).alias("e")).select("doc_id", "e.line")
+    known = each.join(labels, "doc_id", "left")
+    owner = F.struct(F.col("bad").isNull().alias("unlabelled"), "doc_id", "bad")
+    lines = known.groupBy("line").agg(F.min(owner).alias("owner")).select("line", "owner.*")
+    held = pages.select("page_id", F.explode(text_lines(html_text(F.col("html")))).alias("e")).select("page_id", "e.*")
+    shared = held.join(lines, "line").groupBy("page_id", "doc_id", "bad").agg(F.sum("words").alias("words"))
+    best = shared.groupBy("page_id").agg(F.sum("words").alias("total"), F.max(F.struct("words", "doc_id", "bad")).alias("best"))
+    found = best.where((2 * F.col("best.words") > F.col("total")) & F.col("best.bad").isNotNull())
+    return pages.select("page_id", "url").join(found.select("page_id", F.col("best.bad").alias("bad")), "page_id").select("url", "bad")
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) from rows (id, url, bad).
 

@@ -112,3 +112,14 @@ def test_plain_warc_is_read_too(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(record + record)
     rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
     assert [bytes(r.payload) for r in rows] == [b"body"] * 2
+
+
+def test_pages_are_labelled_by_the_document_they_hold(spark):
+    docs = spark.createDataFrame([(1, "one two three four\nsame line"), (2, "five six & seven\nsame line\nmore of it"), (3, "eight nine ten")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, False), (2, True)], "doc_id long, bad boolean")
+    pages = spark.createDataFrame([
+        (1, "http://b.example/", "<p>five six &amp; seven<br>more  of it</p><i>same line</i>"), (2, "http://a.example/", "<p>one two three four</p>"),
+        (3, "http://c.example/", "<b>eight nine ten</b><b>same line</b>"), (4, "http://d.example/", None), (5, None, "other"),
+    ], "page_id long, url string, html string")
+    found = {r.url: r.bad for r in url_rules.label_pages(pages, docs, labels).collect()}
+    assert found == {"http://b.example/": True, "http://a.example/": False}
