@@ -155,3 +155,12 @@ def test_passages_go_to_their_ends_and_near_copies_of_short_paragraphs_go_too(sp
         words = texts[i].split()
         assert clean[i].split() == words[:70] + words[70 + n :]
     assert clean[10].split() == ["c", "d"]
+
+
+@pytest.mark.parametrize("period", range(1, 25))
+def test_seeds_of_a_text_with_a_period_leave_no_gap(period):
+    from headwater.llm.shingles import shingle_hashes, word_hashes
+
+    text = " ".join(prose(random.Random(period), period) * (200 // period))
+    starts, _ = paragraphs.anchored_paragraphs(shingle_hashes(word_hashes(text), 5))
+    assert np.diff(starts).max() <= paragraphs.SEED_WORDS
