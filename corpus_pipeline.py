@@ -39,7 +39,8 @@ STAGES = [
     ("substring dedup", repeated_passages), ("best-fit packing", packing),
 ]
 
-# Sketch bounds, near-duplicate components and packing have no SQL form; tests/llm holds them against brute force.
+# Sketch bounds, near-duplicate components and packing have no SQL form. tests/llm holds the texts that are left for
+# packing against brute force on a small table, and of what is packed the documents.
 ORACLE_SQL = None
 
 
