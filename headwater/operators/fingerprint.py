@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +41,41 @@ def _closed(subject: str, figures: list[Column]) -> Column:
     return F.sha2(F.concat(header_line(subject), *[F.concat(f.cast("string"), F.lit("\n")) for f in figures]), 256)
 
 
-def sequence_digest(df: DataFrame, groups: list[str], order: list[str], line: Column, subject: str) -> DataFrame:
-    """AGG-22: per group the row count and a digest of header, count and summed hashes of keyed lines.
+def sequence_sums(df: DataFrame, groups: list[str], order: list[str], line: Column) -> DataFrame:
+    """Per group the row count and the summed hash slices of keyed lines: what a sequence digest closes over.
 
-    Each row is hashed together with its key, so that the sums fix content and order alike: a line under
-    another key has another hash. ``order`` must be unique within a group. There is one form for every
-    size; sums combine before the shuffle, and a group of any share of all rows is one row per task.
+    The sums are those of a set of lines, so they can be kept: sums of disjoint sets add up, and a line that
+    goes is subtracted (``combined_sums``).
     """
     key_text = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
     hashed = df.select(*groups, F.sha2(F.concat(key_text, F.lit("\n"), line), 256).alias("_hash"))
     part = lambda at: F.conv(F.substring("_hash", at, 15), 16, 10).cast("decimal(20,0)")
-    summed = hashed.groupBy(*groups).agg(
+    return hashed.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(part(at)), F.lit(0)).alias(f"_sum{at}") for at in SLICES]
     )
-    return summed.select(*groups, "rows", _closed(subject, [F.col("rows"), *[F.col(f"_sum{at}") for at in SLICES]]).alias("digest"))
+
+
+def combined_sums(signed: list[tuple[DataFrame, int]], groups: list[str]) -> DataFrame:
+    """Sums added (+1) and taken away (-1), per group."""
+    figures = ["rows", *[f"_sum{at}" for at in SLICES]]
+    sides = [df.select(*groups, *[(F.col(c).cast("decimal(38,0)") * sign).cast("decimal(38,0)").alias(c) for c in figures]) for df, sign in signed]
+    summed = reduce(DataFrame.unionByName, sides).groupBy(*groups).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in figures])
+    return summed.withColumn("rows", F.col("rows").cast("bigint"))
+
+
+def closed_sums(sums: DataFrame, groups: list[str], subject: str) -> DataFrame:
+    """The digest of each group's sums."""
+    return sums.select(*groups, "rows", _closed(subject, [F.col("rows"), *[F.col(f"_sum{at}") for at in SLICES]]).alias("digest"))
+
+
+def sequence_digest(df: DataFrame, groups: list[str], order: list[str], line: Column, subject: str) -> DataFrame:
+    """AGG-22: per group the row count and a digest of header, count and summed hashes of keyed lines.
+
+    Each row is hashed together with its key, so that the sums fix content and order alike: a line under
+    another key has another hash. ``order`` must be unique within a group. There is one form for every
+    size; sums combine before the shuffle, and a group of any share of all rows is one row per task.
+    """
+    return closed_sums(sequence_sums(df, groups, order, line), groups, subject)
 
 
 def empty_digest(subject: str) -> Column:

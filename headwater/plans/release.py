@@ -6,6 +6,7 @@ fingerprints and the three actual counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -215,10 +216,15 @@ def _actions(plan: DataFrame) -> DataFrame:
 
 
 def apply_to_watersheds(
-    watersheds: DataFrame, staged: DataFrame, plan: DataFrame, metadata: list[str], geometry: list[str]
+    watersheds: DataFrame, staged: DataFrame, plan: DataFrame, metadata: list[str], geometry: list[str],
+    derived: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """REL-07: the new watershed table. A change rewrites only the channels it lists, and its
-    run id; a removal drops the row; an addition takes the staged row whole."""
+    run id; a removal drops the row; an addition takes the staged row whole.
+
+    ``derived`` maps a column, as the simplified boundary, to what makes it from the first geometry column.
+    It is made anew where the geometry is taken from staging, and else stays as it was.
+    """
     new = staged.select("watershed_key", *[F.col(c).alias(f"_n_{c}") for c in ["runid", *metadata, *geometry]])
     joined = _actions(plan).join(watersheds.withColumn("_here", F.lit(True)), "watershed_key", "left").join(
         new, "watershed_key", "left"
@@ -228,9 +234,13 @@ def apply_to_watersheds(
         (F.col("operation") == "change") & F.array_contains("change_channels", channel)
     )
     pick = lambda c, channel: F.when(takes(channel), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
+    remade = [
+        F.when(takes("geometry"), make(F.when(takes("geometry"), F.col(f"_n_{geometry[0]}")))).otherwise(F.col(c)).alias(c)
+        for c, make in (derived or {}).items()
+    ]
     return joined.where(F.col("operation") != "remove").select(
         "watershed_key", F.coalesce("_runid", "runid").alias("runid"),
-        *[pick(c, "metadata") for c in metadata], *[pick(c, "geometry") for c in geometry],
+        *[pick(c, "metadata") for c in metadata], *[pick(c, "geometry") for c in geometry], *remade,
     )
 
 
@@ -277,6 +287,45 @@ def apply_to_aliases(aliases: DataFrame, plan: DataFrame) -> DataFrame:
     return upsert(joined, wanted, ["runid"])
 
 
+def apply_to_capabilities(capabilities: DataFrame, staged: DataFrame, release_id: str) -> DataFrame:
+    """REL-07: the capability table with the rows of one release replaced by the staged ones.
+
+    Both tables have release_id; rows of other releases stay as they are.
+    """
+    others = capabilities.where(~F.col("release_id").eqNullSafe(F.lit(release_id)))
+    fresh = staged.withColumn("release_id", F.lit(release_id)).select(*capabilities.columns)
+    return others.unionByName(fresh)
+
+
+def apply_conflicts(watersheds: DataFrame, staged: DataFrame, plan: DataFrame) -> DataFrame:
+    """REL-07: where the serving table is not the base that a plan was reviewed for, or staging not its target.
+
+    One row per watershed key and broken rule, with the run expected and the run found:
+    ``unplanned`` serving rows, ``repeated`` ones, those ``absent`` or ``drifted`` from the run before,
+    ``present`` before they are added; ``unstaged`` watersheds and a ``staged-run`` that is not the plan's.
+    """
+    one = lambda df, name: df.groupBy("watershed_key").agg(F.count(F.lit(1)).alias(f"_{name}_rows"), F.min("runid").alias(f"_{name}"))
+    joined = plan.select("watershed_key", "operation", "before_runid", "after_runid").join(
+        one(watersheds, "serving"), "watershed_key", "full_outer"
+    ).join(one(staged, "staged"), "watershed_key", "left")
+    operation, here, there = F.col("operation"), F.col("_serving_rows").isNotNull(), F.col("_staged_rows").isNotNull()
+    before, added, stays = operation != "add", operation == "add", operation != "remove"
+    rules = {
+        "unplanned": (operation.isNull(), F.lit(None), F.col("_serving")),
+        "repeated": (F.col("_serving_rows") > 1, F.col("before_runid"), F.col("_serving")),
+        "absent": (before & ~here, F.col("before_runid"), F.lit(None)),
+        "drifted": (before & (F.col("_serving") != F.col("before_runid")), F.col("before_runid"), F.col("_serving")),
+        "present": (added & here, F.lit(None), F.col("_serving")),
+        "unstaged": (stays & ~there, F.col("after_runid"), F.lit(None)),
+        "staged-run": (stays & there & (F.col("_staged") != F.col("after_runid")), F.col("after_runid"), F.col("_staged")),
+    }
+    found = F.array_compact(F.array(*[
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), expected.cast("string").alias("expected"), observed.cast("string").alias("observed")))
+        for rule, (broken, expected, observed) in rules.items()
+    ]))
+    return joined.select("watershed_key", F.explode(found).alias("_f")).select("watershed_key", "_f.*")
+
+
 def merge_result(plan: DataFrame, children: DataFrame, capabilities: DataFrame) -> DataFrame:
     """REL-14: runs per operation, child rows per action and capability rows, one row."""
     runs = plan.groupBy("operation").count().select(F.concat(F.lit("runs_"), "operation").alias("measure"), "count")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +32,29 @@ def build_session(app: str = "headwater", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage there.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, as in tests,
-    gets a folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    On a cluster, one of processes on this machine included, a missing setting is an error: a machine-local
+    folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="headwater-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="headwater-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and cut its lineage there."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/headwater-{uuid.uuid4().hex}"
