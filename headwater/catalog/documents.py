@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headwater.catalog.integrity import union_sql
-from headwater.catalog.rasters import parcel, supplier_parcels
+from headwater.catalog.rasters import CHILD_SQL, COVERED_SQL, catchment_children, catchments, parcel
 from headwater.catalog.registry import query
 from headwater.catalog.releases import PLAN, STATES, plan
 from headwater.functions import geometry as G
@@ -47,50 +47,66 @@ def boundary_merge(t):
 
 
 @query(
-    """WITH p AS (SELECT s_suppkey AS k, (s_nationkey + 1) / 10.0::DOUBLE AS w, (s_nationkey + 1) / 20.0::DOUBLE AS h, s_nationkey AS n, s_acctbal AS bal FROM supplier),
-c AS (SELECT l_suppkey AS k, l_tax + l_quantity / 1000 + 1e-9 AS r, l_discount + l_linenumber / 100.0::DOUBLE + 1e-9 AS tp, l_quantity / 1000 * l_linenumber / 100 AS a, l_returnflag = 'R' AS chan FROM lineitem),
-j AS (SELECT c.*, r <= w AND tp <= h AS ok FROM c JOIN p USING (k)),
-a AS (SELECT p.k, w * h AS pa, COALESCE((SELECT sum(a) FROM c WHERE c.k = p.k AND NOT chan), 0) AS ca FROM p),
-n AS (SELECT k, count(*) FILTER (WHERE NOT chan) AS s, count(*) FILTER (WHERE chan) AS h FROM c GROUP BY k),
+    f"""WITH p AS (SELECT s_suppkey AS k, s_nationkey AS n, s_acctbal AS bal, s_acctbal > 9900 AS away, s_acctbal > 9800 AND s_acctbal <= 9900 AS flat,
+    s_acctbal > 9700 AND s_acctbal <= 9800 AS renamed, s_acctbal > 9600 AND s_acctbal <= 9700 AS unreviewed,
+    CASE WHEN s_acctbal > 9800 AND s_acctbal <= 9900 THEN 0 ELSE (s_nationkey + 1) / 10.0::DOUBLE END AS w, (s_nationkey + 1) / 20.0::DOUBLE AS h FROM supplier),
+c AS (SELECT l_suppkey AS k, l_quantity AS q, l_orderkey, l_linenumber, {CHILD_SQL}, l_quantity / 1000 * l_linenumber / 100 AS a, l_returnflag = 'R' AS chan FROM lineitem),
+j AS (SELECT c.*, NOT away AND NOT flat AND NOT renamed AND {COVERED_SQL} AS ok FROM c JOIN p USING (k)),
+a AS (SELECT p.*, w * h * CASE WHEN n % 2 = 0 THEN 0.9375 ELSE 0.75 END AS pa, CASE WHEN renamed THEN 0 ELSE COALESCE((SELECT sum(a) FROM c WHERE c.k = p.k AND NOT chan), 0) END AS ca FROM p),
+s AS (SELECT k, l_orderkey * 10 + l_linenumber AS topaz, CASE WHEN k % 10 = 3 AND q = 50 THEN -(l_orderkey * 10 + l_linenumber) ELSE l_orderkey * 10 + l_linenumber END AS lost FROM c WHERE NOT chan),
+e AS (SELECT k, name, sum(g) AS g, sum(s) AS s FROM (SELECT k, 'whole' AS name, topaz, 1 AS s, 1 AS g FROM s UNION ALL SELECT k, 'lost', topaz, 1, 0 FROM s UNION ALL SELECT k, 'lost', lost, 0, 1 FROM s) GROUP BY k, name, topaz),
 r AS (""" + union_sql({
-        "run-counts-exact": "(SELECT count(*) FROM p LEFT JOIN n USING (k) WHERE bal < 0)",
-        "watershed-geometry-valid": "0::BIGINT",
-        "watershed-bounds-reviewed": "(SELECT count(*) FROM p WHERE n >= 20)",
+        "reviewed-bounds-membership": "(SELECT 2 * count(*) FROM p WHERE unreviewed)",
+        "release-expected-counts": "(SELECT (count(*) > 0)::BIGINT FROM lineitem)",
+        "release-counts-exact": "(SELECT (count(*) > 0)::BIGINT FROM p WHERE bal < 0)",
+        "run-watershed-count": "(SELECT count(*) FROM p WHERE renamed)",
+        "run-counts-exact": "(SELECT count(*) FILTER (WHERE bal < 0) + 2 * count(*) FILTER (WHERE renamed) FROM p)",
+        "watershed-geometry-valid": "(SELECT count(*) FROM p WHERE away)",
+        "watershed-bounds-reviewed": "(SELECT sum(CASE WHEN renamed OR unreviewed THEN 2 WHEN n >= 20 OR away OR flat THEN 1 ELSE 0 END)::BIGINT FROM p)",
         "subcatchment-geometry-valid": "(SELECT count(*) FROM j WHERE NOT chan AND NOT ok)",
         "channel-geometry-valid": "(SELECT count(*) FROM j WHERE chan AND NOT ok)",
-        "watershed-area-positive": "0::BIGINT",
-        "subcatchment-area-ratio": "(SELECT count(*) FROM a WHERE NOT (ca / pa BETWEEN 0.01 AND 2.0))",
+        "watershed-area-positive": "(SELECT count(*) FROM p WHERE flat)",
+        "subcatchment-area-ratio": "(SELECT count(*) FROM a WHERE flat OR NOT (ca / NULLIF(pa, 0) BETWEEN 0.01 AND 2.0))",
+        "parquet-joins-exact": "(SELECT sum(n)::BIGINT FROM (SELECT CASE name WHEN 'whole' THEN 2 ELSE 1 END * (max(g) > 1 OR min(g) = 0 OR min(s) = 0)::INTEGER AS n FROM e GROUP BY k, name))",
     }) + ") SELECT code, count AS failed, CASE WHEN count = 0 THEN 'passed' ELSE 'failed' END AS status FROM r"
 )
 def staged_checks(t):
-    parents, _ = supplier_parcels(t)
-    run = F.concat(F.lit("s-"), F.col("l_suppkey").cast("string")).alias("runid")
-    children = t.lineitem.select(
-        run, "l_returnflag",
-        parcel(
-            F.lit(-120.0) + F.col("l_tax") + 1e-9, F.lit(40.0) + F.col("l_discount") + 1e-9,
-            F.col("l_quantity") / 1000.0, F.col("l_linenumber") / 100.0,
-        ).alias("geometry"),
-    )
+    """A release with wrong figures, watersheds moved away, without width or under another run, and lost attributes."""
+    balance, run = F.col("s_acctbal"), lambda number: F.concat(F.lit("s-"), number.cast("string"))
+    between = lambda low: (balance > low) & (balance <= low + 100)
+    width = F.when(between(9800), 0.0).otherwise((F.col("s_nationkey") + 1) / 10.0)
+    parents = catchments(t, F.when(balance > 9900, -200.0).otherwise(F.lit(-120.0)), width).select(
+        F.when(between(9700), F.concat(F.lit("x-"), F.col("s_suppkey").cast("string"))).otherwise(run(F.col("s_suppkey"))).alias("runid"), "geometry")
+    children = catchment_children(t, run(F.col("l_suppkey")))
     counted = t.lineitem.groupBy("l_suppkey").agg(
         F.count_if(F.col("l_returnflag") != "R").alias("_s"), F.count_if(F.col("l_returnflag") == "R").alias("_c")
     )
     # The ledger of suppliers in debt is off by one subcatchment.
     ledger = t.supplier.join(counted, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
-        F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("runid"),
-        (F.coalesce("_s", F.lit(0)) + F.when(F.col("s_acctbal") < 0, 1).otherwise(F.lit(0))).alias("actual_subcatchments"),
+        run(F.col("s_suppkey")).alias("runid"),
+        (F.coalesce("_s", F.lit(0)) + F.when(balance < 0, 1).otherwise(F.lit(0))).alias("actual_subcatchments"),
         F.coalesce("_c", F.lit(0)).alias("actual_channels"), F.lit(None).cast("string").alias("capability_fingerprint"),
     )
     reviewed = t.supplier.select(
-        F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("runid"), F.lit(-120.0).alias("minx"), F.lit(40.0).alias("miny"),
+        F.when(between(9600), F.concat(F.lit("y-"), F.col("s_suppkey").cast("string"))).otherwise(run(F.col("s_suppkey"))).alias("runid"),
+        F.lit(-120.0).alias("minx"), F.lit(40.0).alias("miny"),
         (F.lit(-120.0) + F.least(F.col("s_nationkey") + 1, F.lit(20)) / 10.0).alias("maxx"),
         (F.lit(40.0) + F.least(F.col("s_nationkey") + 1, F.lit(20)) / 20.0).alias("maxy"),
     )
-    staged = {
-        "watersheds": parents, "subcatchments": children.where("l_returnflag <> 'R'").drop("l_returnflag"),
-        "channels": children.where("l_returnflag = 'R'").drop("l_returnflag"), "capabilities": parents.limit(0).select("runid"),
-    }
-    return quality.staged_release_checks(staged, ledger, reviewed)
+    header = t.lineitem.agg(F.count(F.lit(1)).alias("n")).select(
+        *[F.col("n").alias(f"actual_{c}") for c in release.COUNTS], (F.col("n") + 1).alias("expected_subcatchments"),
+        F.col("n").alias("expected_watersheds"), F.col("n").alias("expected_channels"),
+    )
+    subcatchments = children.where("l_returnflag <> 'R'")
+    lost = F.when((F.col("l_suppkey") % 10 == 3) & (F.col("l_quantity") == 50), -F.col("topazid")).otherwise(F.col("topazid"))
+    given = subcatchments.select("runid", "topazid")
+    return quality.staged_release_checks(
+        {
+            "watersheds": parents, "subcatchments": subcatchments.select("runid", "topazid", "geometry"),
+            "channels": children.where("l_returnflag = 'R'").select("runid", "geometry"), "capabilities": parents.limit(0).select("runid"),
+        },
+        ledger, reviewed, header, {"hillslopes": given, "soils": subcatchments.select("runid", lost.alias("topazid")), "landuse": given},
+    )
 
 
 def configuration_text(kind):

@@ -10,7 +10,7 @@ from headwater.functions import numbers as N
 from headwater.functions import text as X
 from headwater.functions.canonical import canonical_decimal
 from headwater.functions.colours import BURN_CLASSES, BURN_PALETTES, CATEGORICAL, hex_upper, legend_colours, map_table
-from headwater.operators import raster
+from headwater.operators import containment, raster
 from headwater.plans import quality
 from headwater.sources.files import feature_text
 
@@ -205,27 +205,60 @@ def area_ratio(t):
     )
 
 
-@query(
-    """WITH c AS (SELECT 's-' || l_suppkey AS runid, l_tax + l_quantity / 1000 AS r, l_discount + l_linenumber / 100.0::DOUBLE AS tp, s_nationkey AS n
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
-SELECT runid, count(*) AS children, count(*) FILTER (WHERE r + 1e-9 <= (n + 1) / 10.0::DOUBLE AND tp + 1e-9 <= (n + 1) / 20.0::DOUBLE) AS covered FROM c GROUP BY runid"""
-)
-def covers(t):
-    parents, children = supplier_parcels(t)
-    # Children are moved by a hair, so that equal edges do not hang on the last bit.
-    moved = children.withColumn("geometry", F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(
-        r, lambda q: F.struct((q["x"] + 1e-9).alias("x"), (q["y"] + 1e-9).alias("y"))
-    ))))
-    prepared = parents.select("runid", G.bbox(F.col("geometry")).alias("box"), G.edges(F.col("geometry")).alias("edges"))
-    joined = moved.join(prepared, "runid")
-    # Spread over the children before they are counted: rows of one large run would otherwise
-    # stay together where the join put them.
-    answers = joined.select("runid", "topazid", G.covers(F.col("box"), F.col("edges"), F.col("geometry")).alias("in"))
-    return answers.repartition("runid", "topazid").groupBy("runid").agg(
-        F.count(F.lit(1)).alias("children"), F.count_if("in").alias("covered")
+def catchments(t, x0=None, width=None):
+    """Parents that are not convex: a rectangle with a hole, or with its upper right quarter cut away.
+
+    ``x0`` and ``width`` replace the left side and the width.
+    """
+    x0 = F.lit(-120.0) if x0 is None else x0
+    width, height = (F.col("s_nationkey") + 1) / 10.0 if width is None else width, (F.col("s_nationkey") + 1) / 20.0
+    ring = lambda *corners: F.array(*[F.struct((x0 + width * a).alias("x"), (F.lit(40.0) + height * b).alias("y")) for a, b in corners])
+    holed = F.array(F.array(
+        ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), ring((0.25, 0.25), (0.25, 0.5), (0.5, 0.5), (0.5, 0.25), (0.25, 0.25))
+    ))
+    notched = F.array(F.array(ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1), (0, 0))))
+    return t.supplier.select("s_suppkey", "s_acctbal", F.when(F.col("s_nationkey") % 2 == 0, holed).otherwise(notched).alias("geometry"))
+
+
+def catchment_children(t, run):
+    """A parcel per line, at the lower left corner of its parent or a little away from it."""
+    return t.lineitem.select(
+        run.alias("runid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("topazid"), "l_suppkey", "l_quantity", "l_returnflag",
+        parcel(F.lit(-120.0) + F.col("l_tax"), F.lit(40.0) + F.col("l_discount"), F.col("l_quantity") / 1000.0, F.col("l_linenumber") / 100.0).alias("geometry"),
     )
 
 
+# Inside the rectangle, and beside the part cut out of it; touching is neither outside nor overlapping.
+CHILD_SQL = "l_tax AS l, l_tax + l_quantity / 1000 AS r, l_discount AS b, l_discount + l_linenumber / 100.0::DOUBLE AS tp"
+COVERED_SQL = """(r <= w + 1e-11 AND tp <= h + 1e-11 AND NOT (CASE WHEN n % 2 = 0
+  THEN r > w / 4 + 1e-11 AND l < w / 2 - 1e-11 AND tp > h / 4 + 1e-11 AND b < h / 2 - 1e-11 ELSE r > w / 2 + 1e-11 AND tp > h / 2 + 1e-11 END))"""
+
+
+def covers_sql(parent: str) -> str:
+    return f"""WITH c AS (SELECT {parent} AS k, {CHILD_SQL} FROM lineitem),
+p AS (SELECT s_suppkey AS k, s_nationkey AS n, (s_nationkey + 1) / 10.0::DOUBLE AS w, (s_nationkey + 1) / 20.0::DOUBLE AS h FROM supplier)
+SELECT 's-' || k AS runid, count(*) AS children, count(*) FILTER (WHERE {COVERED_SQL}) AS covered FROM c JOIN p USING (k) GROUP BY k"""
+
+
+def _covered(t, parent):
+    run = lambda number: F.concat(F.lit("s-"), number.cast("string"))
+    parents = catchments(t).select(run(F.col("s_suppkey")).alias("runid"), "geometry")
+    answers = containment.covered_children(parents, catchment_children(t, run(parent)).select("runid", "topazid", "geometry"))
+    # Combined over the children's own keys first: a join leaves the children of a large run together.
+    return answers.groupBy("runid").agg(F.count(F.lit(1)).alias("children"), F.count_if("covered").alias("covered"))
+
+
+@query(covers_sql("l_suppkey"))
+def covers(t):
+    return _covered(t, F.col("l_suppkey"))
+
+
+@query(covers_sql("CASE WHEN l_orderkey % 10 <> 0 THEN 1 ELSE l_suppkey END"))
+def covers_hot_run(t):
+    """Nine tenths of all children belong to one run."""
+    return _covered(t, F.when(F.col("l_orderkey") % 10 != 0, F.lit(1)).otherwise(F.col("l_suppkey")))
+
+
 @query()
 def simplify(t):
     """Rings drawn from embeddings (rows-only): area, box and point counts before and after."""

@@ -234,7 +234,7 @@ def simplifier(tolerance: float = 0.00025):
     return simplify
 
 
-# --- containment ------------------------------------------------------------------------
+# --- edges ------------------------------------------------------------------------------
 
 
 def edges(geometry: Column) -> Column:
@@ -247,75 +247,3 @@ def edges(geometry: Column) -> Column:
         )
 
     return F.flatten(F.transform(F.flatten(geometry), of))
-
-
-def _turn(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
-    """-1, 0 or 1: on which side of the line a-b the point lies."""
-    cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-    return F.signum(F.round(cross, 12))
-
-
-def _place(edges: Column, p: Column) -> Column:
-    """-1 on a ring, 1 inside by the even-odd rule over all rings, 0 outside; one pass.
-
-    Only edges that span the point's height matter; the state counts crossings to the right
-    and turns negative for good once the point lies on an edge.
-    """
-    def step(state, e):
-        spans = (e["ay"] > p["y"]) != (e["by"] > p["y"])
-        level = p["y"].between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-        side = _turn(e["ax"], e["ay"], e["bx"], e["by"], p["x"], p["y"])
-        beside = p["x"].between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
-        # The point is left of an upward edge, or right of a downward one: the ray crosses.
-        crosses = spans & (side * F.signum(e["by"] - e["ay"]) > 0)
-        return (
-            F.when((state < 0) | ~level, state).when((side == 0) & beside, F.lit(-1))
-            .when(crosses, state + 1).otherwise(state)
-        )
-
-    return F.aggregate(edges, F.lit(0), step, lambda n: F.when(n < 0, n).otherwise(n % 2))
-
-
-def _properly_cross(o: Column, e: Column) -> Column:
-    return (
-        _turn(o["ax"], o["ay"], o["bx"], o["by"], e["ax"], e["ay"]) * _turn(o["ax"], o["ay"], o["bx"], o["by"], e["bx"], e["by"]) < 0
-    ) & (
-        _turn(e["ax"], e["ay"], e["bx"], e["by"], o["ax"], o["ay"]) * _turn(e["ax"], e["ay"], e["bx"], e["by"], o["bx"], o["by"]) < 0
-    )
-
-
-def covers(parent_box: Column, parent_edges: Column, child: Column) -> Column:
-    """JN-16: every child vertex covered and no edge of one crossing an edge of the other.
-
-    Takes the parent as its box and edges, which are computed once per parent before the
-    join. The cheap tests come first. A child whose box leaves the parent's box is out.
-    Where no parent edge touches the child's box, which is the rule inside a watershed, the
-    child is wholly in or out and one vertex tells. Only the rest is tested vertex by vertex,
-    and only edges near the child are tested for crossings; a parent vertex strictly inside the
-    child (a hole or a notch) also rules it out. Approximate in one case: a gap whose corners
-    all lie on the child's ring.
-    """
-    def touches(e, box):
-        return (
-            (F.least(e["ax"], e["bx"]) <= box["maxx"]) & (F.greatest(e["ax"], e["bx"]) >= box["minx"])
-            & (F.least(e["ay"], e["by"]) <= box["maxy"]) & (F.greatest(e["ay"], e["by"]) >= box["miny"])
-        )
-
-    def decide(near):
-        whole = F.size(near) == 0
-        # With no edge near, the first vertex stands for all of them.
-        vertices = F.when(whole, F.slice(points(child), F.lit(1), F.lit(1))).otherwise(points(child))
-        crossing = F.exists(near, lambda o: F.exists(edges(child), lambda e: _properly_cross(o, e)))
-        corner = lambda o: F.struct(o["ax"].alias("x"), o["ay"].alias("y"))
-        gap = F.exists(near, lambda o: _place(edges(child), corner(o)) == 1)
-        return F.forall(vertices, lambda p: _place(parent_edges, p) != 0) & ~crossing & ~gap
-
-    def test(box):
-        fits = (
-            (parent_box["minx"] <= box["minx"]) & (parent_box["miny"] <= box["miny"])
-            & (parent_box["maxx"] >= box["maxx"]) & (parent_box["maxy"] >= box["maxy"])
-        )
-        near = F.filter(parent_edges, lambda e: touches(e, box))
-        return F.when(fits, _bound(near, decide)).otherwise(F.lit(False))
-
-    return F.coalesce(_bound(bbox(child), test), F.lit(False))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from headwater.functions import geometry as G
 from headwater.functions.numbers import bounds_close, within_world
 from headwater.functions.text import SHA256_HEX, is_public_https, looks_like_html, matches, redact, secret_keys_in_json
+from headwater.operators.containment import covered_children
+from headwater.operators.ingest import attribute_coverage
 
 # Media type expected of each artifact role; everything else is JSON.
 MEDIA_TYPES = {
@@ -72,45 +74,62 @@ def area_ratio(children: DataFrame, parents: DataFrame, low: float = 0.01, high:
 
 
 def staged_release_checks(
-    staged: dict[str, DataFrame], ledger: DataFrame, reviewed: DataFrame, tolerance: float = 0.001
+    staged: dict[str, DataFrame], ledger: DataFrame, reviewed: DataFrame, header: DataFrame, attributes: dict[str, DataFrame], tolerance: float = 0.001
 ) -> DataFrame:
     """DQ-01: rows failing each check of a staged release.
 
-    ``staged``: watersheds, subcatchments, channels (runid and geometry) and capabilities
-    (runid). ``ledger``: the run states. ``reviewed``: runid and reviewed bounds. Children
-    meet one parent geometry each, in an equi-join on the run.
+    ``staged``: watersheds, subcatchments (with topazid), channels (runid and geometry) and capabilities
+    (runid); one watershed per run is looked at. ``ledger``: the run states. ``reviewed``: runid and reviewed
+    bounds. ``header``: one row of expected_<count> and actual_<count>. ``attributes``: tables of runid and
+    topazid that must cover the subcatchments exactly.
     """
-    # Box, edges and area of a parent are computed once, before its children meet it.
+    # Box and area of a parent are computed once, before anything meets it.
     geometry = F.col("geometry")
     parents = staged["watersheds"].select(
-        "runid", G.bbox(geometry).alias("_box"), G.edges(geometry).alias("_edges"), G.area(geometry).alias("area"),
-        G.valid_coordinates(G.points(geometry)).alias("_sound"),
+        "runid", G.bbox(geometry).alias("_box"), G.area(geometry).alias("area"), G.valid_coordinates(G.points(geometry)).alias("_sound"),
     )
     in_world = lambda b: F.coalesce(within_world(b["minx"], b["miny"], b["maxx"], b["maxy"]), F.lit(False))
 
     counts = child_counts(
         ledger, *[staged[k].select("runid") for k in ("watersheds", "subcatchments", "channels", "capabilities")]
     )
+    # Staged and listed totals of each kind meet as tagged rows of a few figures.
+    listed = ledger.agg(
+        F.count(F.lit(1)).alias("watersheds"), F.sum("actual_subcatchments").alias("subcatchments"), F.sum("actual_channels").alias("channels"),
+        F.count("capability_fingerprint").alias("capabilities"),
+    )
+    kinds = ["watersheds", "subcatchments", "channels", "capabilities"]
+    stacked = lambda df, sign: df.select(F.expr(f"stack({len(kinds)}, {', '.join(f'{k!r}, {sign} * coalesce({k}, 0)' for k in kinds)}) AS (kind, n)"))
+    totals = stacked(counts.agg(*[F.sum(k).alias(k) for k in kinds]), 1).unionByName(stacked(listed, -1)).groupBy("kind").agg(F.sum("n").alias("n"))
+    membership = ledger.select("runid", F.lit(1).alias("_l")).join(reviewed.select("runid", F.lit(1).alias("_r")), "runid", "full_outer")
     bounds = parents.join(reviewed, "runid", "full_outer")
     sides = ["minx", "miny", "maxx", "maxy"]
     close = F.coalesce(
         bounds_close([F.col("_box")[s] for s in sides], [F.col(s) for s in sides], tolerance), F.lit(False)
     )
+    differ = [(F.col(f"expected_{c}") != F.col(f"actual_{c}")).cast("bigint") for c in COUNTS]
     fails = {
+        "reviewed-bounds-membership": membership.agg(F.count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("failed")),
+        "release-expected-counts": header.agg(F.sum(reduce(lambda a, b: a + b, differ)).alias("failed")),
+        "release-counts-exact": totals.agg(F.count_if(F.col("n") != 0).alias("failed")),
+        "run-watershed-count": counts.join(ledger.select("runid"), "runid", "left_semi").agg(F.count_if(F.col("watersheds") != 1).alias("failed")),
         "run-counts-exact": counts.agg(F.count_if(~F.col("exact")).alias("failed")),
         "watershed-geometry-valid": parents.agg(F.count_if(~(F.col("_sound") & in_world(F.col("_box")))).alias("failed")),
         "watershed-bounds-reviewed": bounds.agg(F.count_if(~close).alias("failed")),
     }
     for kind, code in (("subcatchments", "subcatchment-geometry-valid"), ("channels", "channel-geometry-valid")):
-        children = staged[kind].select("runid", "geometry").join(parents.select("runid", "_box", "_edges"), "runid", "left")
-        # A valid child lies inside the world limits, which its own coordinates show.
-        good = G.valid_coordinates(G.points(geometry)) & G.covers(F.col("_box"), F.col("_edges"), geometry)
-        fails[code] = children.agg(F.count_if(~good).alias("failed"))
+        children = covered_children(staged["watersheds"].select("runid", "geometry"), staged[kind].select("runid", "geometry"))
+        fails[code] = children.agg(F.count_if(~F.col("covered")).alias("failed"))
     areas = area_ratio(
         staged["subcatchments"].select("runid", G.area(geometry).alias("area")), parents.select("runid", "area")
     )
     fails["watershed-area-positive"] = areas.agg(F.count_if(~(F.col("parent_area") > 0)).alias("failed"))
     fails["subcatchment-area-ratio"] = areas.agg(F.count_if(~F.col("reasonable")).alias("failed"))
+    inexact = [
+        attribute_coverage(staged["subcatchments"], table).where(~F.col("exact")).select(F.lit(name).alias("table"), "runid")
+        for name, table in attributes.items()
+    ]
+    fails["parquet-joins-exact"] = reduce(DataFrame.unionByName, inexact).agg(F.count(F.lit(1)).alias("failed"))
     return reduce(
         DataFrame.unionByName,
         [df.select(F.lit(c).alias("code"), "failed", F.when(F.col("failed") == 0, "passed").otherwise(F.lit("failed")).alias("status")) for c, df in fails.items()],

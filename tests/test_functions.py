@@ -150,18 +150,6 @@ def test_geometry(spark):
     assert text[0][0].startswith('{"type":"MultiPolygon","coordinates":[[[[0.0,0.0],[10.0,0.0]') and text[2][0] is None
 
 
-@pytest.mark.parametrize("child,inside", [
-    ("[[[1,1],[2,1],[2,2],[1,2],[1,1]]]", True), ("[[[0,0],[3,0],[3,3],[0,3],[0,0]]]", True), ("[[[9,9],[11,9],[11,11],[9,11],[9,9]]]", False),
-    ("[[[3,3],[7,3],[7,7],[3,7],[3,3]]]", False), ("[[[4.5,4.5],[5.5,4.5],[5.5,5.5],[4.5,5.5],[4.5,4.5]]]", False),
-    ("[[[3,4.5],[7,4.5],[7,5.5],[3,5.5],[3,4.5]]]", False), ("[[[20,20],[21,20],[21,21],[20,20]]]", False),
-])
-def test_covers(spark, child, inside):
-    df = shapes(spark, [("Polygon", SQUARE)]).select(
-        G.bbox(F.col("g")).alias("box"), G.edges(F.col("g")).alias("edges"), G.multipolygon(F.lit("Polygon"), F.lit(child)).alias("child")
-    )
-    assert df.select(G.covers(F.col("box"), F.col("edges"), F.col("child"))).first()[0] is inside
-
-
 def test_valid_coordinates(spark):
     rows = [("Polygon", SQUARE), ("Point", "[181,0]"), ("LineString", "[[0,0],[1,1]]"), ("MultiPoint", "[]"), ("Point", "[5,6]")]
     df = spark.createDataFrame(rows, "kind string, coordinates string")
