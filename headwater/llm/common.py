@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of one Arrow batch. Texts are long; a batch of whole texts must stay small in a Python worker.
-ROWS_PER_BATCH = 1000
+# Rows and bytes of one Arrow batch. Texts are long; a batch of whole texts must stay small in a Python worker.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -21,6 +21,7 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, and keep Arrow batches of texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

@@ -412,7 +412,11 @@ def without_spans(text: str, spans: list[dict]) -> str:
 
 
 def drop_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with repeated passages taken out of the texts, columns unchanged; ``length`` follows the new text."""
+    """``docs`` with repeated passages taken out of the texts, columns unchanged; ``length`` follows the new text.
+
+    A document left without any word by this goes; one that came without words stays as it is. Null texts and keys
+    stay; repeated rows are cut alike. Other columns may have any name.
+    """
     _, spans = repeated_spans(docs, key, text)
     removed = staged(removals(spans).select("doc", "text_hash", "spans"))
     names = {c: free_name(c, docs.columns) for c in ("doc", "text_hash", "spans")}
@@ -430,16 +434,18 @@ def drop_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "te
             spans_of = batch.column(len(columns)).to_pylist()
             arrays = list(batch.columns[:-1])
             changed = [i for i, s in enumerate(spans_of) if s]
+            left = np.ones(batch.num_rows, bool)
             if changed:
                 texts = batch.column(place).to_pylist()
                 sizes = batch.column(size_at).to_pylist() if size_kind is not None else None
                 for i in changed:
                     texts[i] = without_spans(texts[i], spans_of[i])
+                    left[i] = _WORD.search(texts[i].encode()) is not None
                     if sizes is not None:
                         sizes[i] = len(texts[i])
                 arrays[place] = pa.array(texts, batch.schema.field(place).type)
                 if sizes is not None:
                     arrays[size_at] = pa.array(sizes, size_kind)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(left))
 
     return joined.mapInArrow(cut, docs.schema)

@@ -142,8 +142,9 @@ class WordEncoder:
 
     # -- texts ---------------------------------------------------------------------------------------
 
-    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The table's row for each word, after learning the new ones."""
+    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table's row for each word, after learning the new ones, and the words whose row holds another
+        word of the same hash. Bytes are compared, so a clash is always found."""
         power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
@@ -161,9 +162,12 @@ class WordEncoder:
             self._learn([whole[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())], distinct)
             row = self._find(hashes)
         sizes = ends - starts
-        if not np.array_equal(self.words.sizes[row], sizes) or not np.array_equal(self.words.take(row), data[spread(starts, sizes)]):
-            raise ArithmeticError("two words share a 64-bit hash")
-        return row
+        other = self.words.sizes[row] != sizes
+        same = np.flatnonzero(~other)
+        differs = self.words.take(row[same]) != data[spread(starts[same], sizes[same])]
+        if differs.any():
+            other[np.repeat(same, sizes[same])[differs]] = True
+        return row, np.flatnonzero(other)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of small-letter texts without special tokens."""
@@ -180,12 +184,15 @@ class WordEncoder:
         stops = np.append(starts[1:], len(data))
         next_blank = np.flatnonzero(blank)
         ends = np.minimum(stops, next_blank[np.searchsorted(next_blank, starts)])
-        row = self._rows(data, starts, ends)
+        row, clashing = self._rows(data, starts, ends)
         ids = self.ids.take(row).astype("<u4").tobytes()
         tokens = np.concatenate(([0], np.cumsum(self.ids.sizes[row])))
         text_ends = np.cumsum([len(t) + 1 for t in texts])
         cuts = (4 * tokens[np.searchsorted(starts, np.concatenate(([0], text_ends)))]).tolist()
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for i in np.unique(np.searchsorted(text_ends, starts[clashing], "right")).tolist():  # the library spells these itself
+            out[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -142,6 +143,20 @@ def test_token_matrices_round_trip(spark, odd):
     layout(rows, 64, lambda r: (r.shard, r.sequence))
 
 
+def test_words_of_one_hash(spark):
+    """The two words of the Thue-Morse sequence have one hash modulo 2^64: both keep their own ids."""
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    second = first.translate({97: "b", 98: "a"})
+    texts = [f"one {first} two", f"{second} three", f"{first} {second} {first}", "four", second, f"x {second.upper()}\ny"]
+    fresh = WordEncoder(WORDS)
+    assert fresh(texts) == library(WORDS, texts) and fresh(texts[::-1]) == library(WORDS, texts[::-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    packed = pattern_packing.packed_documents(docs, WORDS).collect()
+    assert {r.doc_id: r.ids_crc32 for r in packed} == {i: zlib.crc32(x + b"\1\0\0\0") for i, x in enumerate(library(WORDS, texts))}
+    rows = token_matrix.read_pieces(spark, *token_matrix.write_matrices(docs, WORDS, capacity=20_000)).collect()
+    assert {r.doc_id: r.read_crc32 for r in rows} == {i: zlib.crc32(x + b"\1\0\0\0") for i, x in enumerate(library(WORDS, texts))}
+
+
 def test_digest_of_ids(spark, odd):
     row = bpe_codec.encode(odd.where("doc_id = 1"), BYTES).first()
     assert hashlib.sha256(row.ids).hexdigest() == hashlib.sha256(library(BYTES, ["It's a test."])[0]).hexdigest()
