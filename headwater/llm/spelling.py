@@ -57,14 +57,18 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", letters
     ship(docs.sparkSession)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = Counter(), 0
+        held, size = {}, 0
         for batch in batches:
             for doc, body in zip(batch.column("doc").to_pylist(), texts_of(batch, "text")):
-                held.update(occurrences(doc, body, letters))
-                size += len(body)
-                if len(held) > HELD_WORDS or size > HELD_LETTERS and sum(map(len, held)) > HELD_LETTERS:
+                for run, n in occurrences(doc, body, letters).items():
+                    if run in held:
+                        held[run] += n
+                    else:
+                        held[run] = n
+                        size += len(run)
+                if len(held) > HELD_WORDS or size > HELD_LETTERS:
                     yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
-                    held, size = Counter(), 0
+                    held, size = {}, 0
         if held:
             yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
 
