@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from headwater.functions import geometry as G
 from headwater.functions.text import normalise_runid
 from headwater.operators.ingest import only_requested
+from headwater.sources.geojson import SPLIT_BYTES, feature_texts
 
 # File of each role below a run's folder.
 ROLE_FILES = {
@@ -29,11 +30,6 @@ FEATURE = T.StructType([
         T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]),
     ),
 ])
-COLLECTION = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("features", T.ArrayType(FEATURE)),
-])
-
 
 def scan(spark: SparkSession, path: str, columns: list[str], year: int | None = None) -> DataFrame:
     """SRC-01: only the columns asked for, the year test pushed into the Parquet scan."""
@@ -77,32 +73,34 @@ def load_sources(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_features(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
+def read_features(spark: SparkSession, path: str, properties: T.StructType, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """SRC-03: one row per feature: properties, geometry kind and coordinates, file, position.
 
-    A collection document is read by one task, so convert each master file to Parquet once.
-    Coordinates stay text here, because their depth depends on the kind.
+    Files are read in splits (``sources/geojson.py``). Coordinates stay text here, because their depth depends on
+    the kind. An element that is no object is a row of nulls.
     """
-    documents = spark.read.schema(COLLECTION).json(path, multiLine=True).withColumn("file", F.input_file_name())
-    features = documents.select("file", F.posexplode("features").alias("position", "_f"))
+    texts, _ = feature_texts(spark, path, split_bytes)
+    features = texts.select("file", "position", F.from_json("text", FEATURE).alias("_f"))
     return features.select(
         "file", "position", F.from_json("_f.properties", properties).alias("properties"),
         F.col("_f.geometry.type").alias("kind"), F.col("_f.geometry.coordinates").alias("coordinates"),
     )
 
 
-def collection_faults(spark: SparkSession, path: str) -> DataFrame:
+def collection_faults(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """SRC-03 guards: per file the first rule its collection breaks, or null."""
-    documents = spark.read.schema(COLLECTION).json(path, multiLine=True)
-    feature_ok = lambda f: F.coalesce(f["type"] == "Feature", F.lit(False))
-    properties_ok = lambda f: F.coalesce(F.ltrim(f["properties"]).startswith("{"), F.lit(False))
+    texts, types = feature_texts(spark, path, split_bytes)
+    parsed = texts.select("file", F.from_json("text", FEATURE).alias("_f"))
+    found = parsed.groupBy("file").agg(
+        F.bool_and(F.coalesce(F.col("_f.type") == "Feature", F.lit(False))).alias("_features"),
+        F.bool_and(F.coalesce(F.ltrim("_f.properties").startswith("{"), F.lit(False))).alias("_properties"),
+    )
+    named = spark.createDataFrame(types, "file string, _type boolean")
     fault = (
-        F.when(~F.coalesce(F.col("type") == "FeatureCollection", F.lit(False)), "type")
-        .when(F.coalesce(F.size("features"), F.lit(0)) <= 0, "no-features")
-        .when(~F.forall("features", feature_ok), "feature")
-        .when(~F.forall("features", properties_ok), "properties")
+        F.when(~F.col("_type"), "type").when(F.col("_features").isNull(), "no-features")
+        .when(~F.col("_features"), "feature").when(~F.col("_properties"), "properties")
     )
-    return documents.select(F.input_file_name().alias("file"), fault.alias("fault"))
+    return named.join(found, "file", "left").select("file", fault.alias("fault"))
 
 
 def feature_text(identifier: Column, properties: list[str], geometry: Column) -> Column:

@@ -41,6 +41,44 @@ def test_collection_faults(spark, tmp_path, document, fault):
     assert files.collection_faults(spark, str(path)).first().fault == fault
 
 
+@pytest.mark.parametrize("size", [7, 64, 501, 10**6])
+def test_features_do_not_depend_on_splits(size):
+    """Every way to cut a file gives the same features: strings with brackets, escapes, members before and after."""
+    import random
+
+    from headwater.sources import geojson
+
+    pick = random.Random(size)
+    for trial in range(20):
+        names = ["".join(pick.choice('ab{}[]",\\:é\n ') for _ in range(pick.randrange(12))) for _ in range(pick.randrange(1, 9))]
+        features = [{"type": "Feature", "properties": {"n": name, '"features":[{': [{"x": [name]}]}, "geometry": None} for name in names]
+        members = [("type", "FeatureCollection"), ("crs", {"a": {"features": [{"type": "Feature"}]}, "list": [{}, [{}]]}), ("bbox", [1, 2]), ("features", features), ("rest", [{"b": [{}]}])]
+        pick.shuffle(members)
+        path = f"/tmp/headwater-split-{size}.geojson"
+        with open(path, "w", encoding="utf-8") as out:
+            out.write(json.dumps(dict(members), indent=pick.choice([None, 1]), ensure_ascii=pick.random() < 0.5))
+        total = len(open(path, "rb").read())
+        maps = [(path, at, min(at + size, total), geojson._map(path, at, min(at + size, total))) for at in range(0, total, size)]
+        plan, types = geojson._split_plan(maps)
+        found, position = [], 0
+        for file, begin, stop, inside, depth, first in plan:
+            assert first == position
+            own = [text for _, text in geojson._features(file, begin, stop, inside, depth)]
+            found, position = found + own, position + len(own)
+        assert [json.loads(t) for t in found] == features and types == [(path, True)]
+
+
+def test_one_file_is_many_partitions(spark, tmp_path):
+    path = tmp_path / "c.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [feature(i) for i in range(500)]}))
+    rows = files.read_features(spark, str(path), PROPERTIES, split_bytes=4096)
+    assert rows.rdd.getNumPartitions() > 10
+    assert [r[0] for r in rows.orderBy("position").select("properties.TopazID").collect()] == list(range(500))
+    odd = tmp_path / "d.geojson"
+    odd.write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{}}, 7 ,null]}')
+    assert files.collection_faults(spark, str(odd)).first().fault == "feature"
+
+
 def shapes(spark):
     df = spark.createDataFrame(
         [(run, i, f'n"{i}' if i % 2 else None, None if i == 3 else json.dumps([[[[x + i / 3, y] for x, y in SQUARE[0]]]])) for run in ("a;;1", "b") for i in range(6)],
