@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headwater.catalog.integrity import union_sql
 from headwater.catalog.rasters import CHILD_SQL, COVERED_SQL, catchment_children, catchments, parcel
@@ -13,6 +14,8 @@ from headwater.functions.canonical import attribute_map
 from headwater.functions.text import secret_keys_in_json
 from headwater.operators import identity, ingest, projections, subjects
 from headwater.plans import quality, release
+from headwater.session import shared_folder
+from headwater.sources import files
 
 
 @query(
@@ -220,13 +223,14 @@ def index_rules(t):
 
 
 @query(
-    """WITH d AS (SELECT o_custkey AS document_id, o_orderpriority AS field FROM orders), i AS (SELECT o_custkey AS document_id, md5(o_orderstatus) AS s FROM orders WHERE o_orderpriority = '5-LOW')
+    """WITH d AS (SELECT o_custkey AS document_id, o_orderpriority AS field FROM orders), i AS (SELECT o_custkey AS document_id, md5(CASE WHEN o_orderpriority = '5-LOW' THEN o_orderstatus ELSE o_orderstatus || '-other' END) AS s FROM orders)
 SELECT document_id, 'duplicate-field-decision' AS rule, sum(c - 1)::BIGINT AS broken FROM (SELECT document_id, field, count(*) AS c FROM d GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1
 UNION ALL SELECT c_custkey, 'output-reuses-input', 1 FROM customer WHERE EXISTS (SELECT 1 FROM i WHERE i.document_id = c_custkey AND i.s = md5('P'))"""
 )
 def lineage_rules(t):
     decisions = t.orders.select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("field"))
-    inputs = t.orders.where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("document_id"), F.md5("o_orderstatus").alias("sha256"))
+    content = F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus")).otherwise(F.concat("o_orderstatus", F.lit("-other")))
+    inputs = t.orders.select(F.col("o_custkey").alias("document_id"), F.md5(content).alias("sha256"))
     outputs = t.customer.select(F.col("c_custkey").alias("document_id"), F.md5(F.lit("P")).alias("sha256"))
     return quality.lineage_violations(decisions, inputs, outputs)
 
@@ -302,3 +306,30 @@ def public_watersheds(t):
     return projections.watershed_rows(rows).select(
         F.col("geometry").alias("key"), "id", "pws_name", "shape_area", F.col("huc10_utility_count").alias("utilities")
     )
+
+
+@query(
+    """WITH f AS (SELECT c_nationkey AS nation, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS position FROM customer)
+SELECT 'nation=' || nation AS folder, count(*) AS features, sum(position)::BIGINT AS positions, sum(k)::BIGINT AS keys, sum(position * k)::BIGINT AS in_order, NULL::VARCHAR AS fault FROM f GROUP BY nation"""
+)
+def split_features(t):
+    """Customers written as one collection per nation, read again in splits of 64 KB."""
+    root = shared_folder(t.spark)
+    point = lambda: parcel(F.col("c_acctbal") / 100.0, F.lit(40.0), F.lit(1.0), F.lit(1.0))
+    rows = t.customer.select("c_nationkey", F.col("c_custkey").alias("k"), F.concat(F.lit('{"[\\'), "c_name").alias("name"), point().alias("geometry"))
+    files.write_run_collections(rows, f"{root}/parts", "c_nationkey", ["k"], "k", ["k", "name"], "geometry")
+    # The parts of a run, read in name order, are its document; here they are made one file each.
+    lines = t.spark.read.text(f"{root}/parts").select(
+        F.col("c_nationkey").alias("nation"), "value",
+        F.when(F.col("value").startswith('{"type"'), -1).when(F.col("value") == "]}", F.lit(2**62)).otherwise(F.regexp_extract("value", r'"id":(\d+)', 1).try_cast("long")).alias("k"),
+    )
+    lines.repartition("nation").sortWithinPartitions("nation", "k").select("nation", "value").write.partitionBy("nation").option("compression", "none").text(f"{root}/documents")
+    kind = T.StructType([T.StructField("k", T.LongType()), T.StructField("name", T.StringType())])
+    folder = F.regexp_extract("file", "(nation=[0-9]+)", 1).alias("folder")
+    read = files.read_features(t.spark, f"{root}/documents", kind, split_bytes=1 << 16)
+    counted = read.groupBy(folder).agg(
+        F.count_if(F.col("properties.name").startswith('{"[\\')).alias("features"), F.sum("position").alias("positions"), F.sum("properties.k").alias("keys"),
+        F.sum(F.col("position") * F.col("properties.k")).alias("in_order"),
+    )
+    faults = files.collection_faults(t.spark, f"{root}/documents", split_bytes=1 << 16).select(folder, "fault")
+    return counted.join(faults, "folder")

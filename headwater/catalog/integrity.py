@@ -120,8 +120,7 @@ def identity_mismatch(t):
 
 
 @query(
-    """, a AS (SELECT DISTINCT segment, o_custkey AS k FROM orders JOIN customer ON c_custkey = o_custkey
-    JOIN (SELECT c_custkey AS ck, lower(c_mktsegment) AS segment FROM customer) ON ck = c_custkey WHERE year(o_orderdate) < 1999),
+    """, a AS (SELECT DISTINCT lower(c_mktsegment) AS segment, CASE WHEN year(o_orderdate) < 1999 THEN o_custkey ELSE -o_custkey END AS k FROM orders JOIN customer ON c_custkey = o_custkey),
 b AS (SELECT DISTINCT lower(c_mktsegment) AS segment, c_custkey AS k FROM customer),
 m AS (SELECT COALESCE(a.segment, b.segment) AS segment, a.k AS ak, b.k AS bk FROM a FULL JOIN b ON a.segment = b.segment AND a.k = b.k)
 SELECT segment, count(*) FILTER (WHERE bk IS NULL) AS left_only, count(*) FILTER (WHERE ak IS NULL) AS right_only,
@@ -130,14 +129,16 @@ SELECT segment, count(*) FILTER (WHERE bk IS NULL) AS left_only, count(*) FILTER
     "watersheds",
 )
 def membership_equality(t):
+    """Customers with orders against all customers; an order of 1999 or later names one that does not exist."""
     members = t.customer.select(F.lower("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"))
-    seen = t.orders.where(F.year("o_orderdate") < 1999).select(F.col("o_custkey").alias("k")).distinct()
-    return keys.compare_membership(members.join(seen, "k", "left_semi"), members, ["k"], ["segment"])
+    seen = t.orders.select(F.col("o_custkey").alias("k"), (F.year("o_orderdate") < 1999).alias("_known")).distinct()
+    named = seen.join(members, "k").select("segment", F.when(F.col("_known"), F.col("k")).otherwise(-F.col("k")).alias("k"))
+    return keys.compare_membership(named, members, ["k"], ["segment"])
 
 
 @query(
-    """, d AS (SELECT DISTINCT l_linestatus AS scenario, l_suppkey AS variable FROM lineitem WHERE l_quantity > 25),
-o AS (SELECT DISTINCT l_linestatus AS scenario, l_suppkey AS variable FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber < 6),
+    """, d AS (SELECT DISTINCT l_linestatus AS scenario, CASE WHEN l_quantity > 25 THEN l_suppkey ELSE -l_suppkey END AS variable FROM lineitem),
+o AS (SELECT DISTINCT l_linestatus AS scenario, CASE WHEN l_returnflag <> 'N' AND l_linenumber < 6 THEN l_suppkey ELSE l_suppkey + 1000000 END AS variable FROM lineitem),
 m AS (SELECT COALESCE(d.scenario, o.scenario) AS scenario, d.variable AS dv, o.variable AS ov FROM d FULL JOIN o ON d.scenario = o.scenario AND d.variable = o.variable)
 SELECT scenario, count(*) FILTER (WHERE ov IS NULL) AS left_only, count(*) FILTER (WHERE dv IS NULL) AS right_only,
   count(*) FILTER (WHERE ov IS NOT NULL AND dv IS NOT NULL) AS common, count(*) FILTER (WHERE ov IS NULL OR dv IS NULL) = 0 AS equal
@@ -145,10 +146,11 @@ FROM m GROUP BY scenario""",
     "watersheds",
 )
 def coverage_pairs(t):
-    named = t.lineitem.select(
-        F.col("l_linestatus").alias("scenario"), F.col("l_suppkey").alias("variable"), "l_quantity", "l_returnflag", "l_linenumber"
+    """Every line declares and observes a variable; some of either name one that the other side has not."""
+    side = lambda known, other: t.lineitem.select(
+        F.col("l_linestatus").alias("scenario"), F.when(F.expr(known), F.col("l_suppkey")).otherwise(F.expr(other)).alias("variable")
     )
-    declared, observed = named.where("l_quantity > 25"), named.where("l_returnflag <> 'N' AND l_linenumber < 6")
+    declared, observed = side("l_quantity > 25", "-l_suppkey"), side("l_returnflag <> 'N' AND l_linenumber < 6", "l_suppkey + 1000000")
     return keys.compare_membership(declared, observed, ["variable"], ["scenario"])
 
 
@@ -232,9 +234,10 @@ def audit_report(t):
 
 
 @query(
-    """, sw AS (SELECT 'w-' || c_custkey AS identity_id, CASE WHEN c_nationkey < 8 THEN (SELECT 'run-' || min(o_orderkey) FROM orders WHERE o_custkey = c_custkey)
+    """, sw AS (SELECT 'w-' || c_custkey AS identity_id, CASE WHEN c_acctbal <= 2000 THEN (SELECT 'run-' || max(o_orderkey) FROM orders WHERE o_custkey = c_custkey)
+      WHEN c_nationkey < 8 THEN (SELECT 'run-' || min(o_orderkey) FROM orders WHERE o_custkey = c_custkey)
       WHEN c_nationkey < 10 THEN (SELECT 'run-' || min(o_orderkey) FROM orders WHERE o_custkey = c_custkey + 1) ELSE 'new-' || c_custkey END AS runid
-    FROM customer WHERE c_acctbal > 2000),
+    FROM customer),
 sw2 AS (SELECT * FROM sw WHERE runid IS NOT NULL),
 ck AS (SELECT s.*, a.identity_id AS bound FROM sw2 s LEFT JOIN aliases a ON a.runid = s.runid),
 ok AS (SELECT identity_id, runid AS nw, bound FROM ck WHERE bound IS NULL OR bound = identity_id)
@@ -246,12 +249,14 @@ UNION ALL SELECT runid, identity_id, FALSE, 'conflict' FROM ck WHERE bound IS NO
     "aliases",
 )
 def alias_switch(t):
-    lowest = t.orders.groupBy("o_custkey").agg(F.concat(F.lit("run-"), F.min("o_orderkey").cast("string")).alias("_own"))
+    """Low balances move to their newest run, the rest to their oldest, to another's or to a new one."""
+    lowest = t.orders.groupBy("o_custkey").agg(
+        F.concat(F.lit("run-"), F.min("o_orderkey").cast("string")).alias("_own"), F.concat(F.lit("run-"), F.max("o_orderkey").cast("string")).alias("_newest"))
     other = lowest.select((F.col("o_custkey") - 1).alias("c_custkey"), F.col("_own").alias("_other"))
-    customers = t.customer.where("c_acctbal > 2000").join(lowest, F.col("c_custkey") == F.col("o_custkey"), "left").join(other, "c_custkey", "left")
+    customers = t.customer.join(lowest, F.col("c_custkey") == F.col("o_custkey"), "left").join(other, "c_custkey", "left")
     switches = customers.select(
         F.concat(F.lit("w-"), F.col("c_custkey").cast("string")).alias("identity_id"),
-        F.when(F.col("c_nationkey") < 8, F.col("_own")).when(F.col("c_nationkey") < 10, F.col("_other"))
+        F.when(F.col("c_acctbal") <= 2000, F.col("_newest")).when(F.col("c_nationkey") < 8, F.col("_own")).when(F.col("c_nationkey") < 10, F.col("_other"))
         .otherwise(F.concat(F.lit("new-"), F.col("c_custkey").cast("string"))).alias("runid"),
     ).where("runid IS NOT NULL")
     return identity.switch_aliases(t.aliases, switches)
@@ -262,7 +267,8 @@ def alias_switch(t):
       CASE WHEN o_orderpriority = '1-URGENT' THEN 'Bad_' || o_orderkey WHEN o_orderpriority = '2-HIGH' THEN 'ws-' || o_custkey ELSE 'new-' || o_orderkey END AS watershed_key,
       CASE WHEN o_orderstatus = 'F' THEN 'c-1' ELSE 'c-' || c_nationkey END AS collection
     FROM (SELECT DISTINCT ON (o_custkey) * FROM orders ORDER BY o_custkey, o_orderkey) JOIN customer ON c_custkey = o_custkey
-    UNION ALL SELECT '{BATCH}' || l_suppkey, 'extra-' || l_suppkey, 'c-0' FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7 AND l_tax = 0)),
+    UNION ALL SELECT '{BATCH}' || CASE WHEN extra THEN '' ELSE 'line-' END || l_suppkey, CASE WHEN extra THEN 'extra-' ELSE 'line-' END || l_suppkey, 'c-0'
+    FROM (SELECT DISTINCT l_suppkey, l_quantity = 50 AND l_linenumber = 7 AND l_tax = 0 AS extra FROM lineitem)),
 n AS (SELECT *, count(*) OVER (PARTITION BY runid) AS rr, count(*) OVER (PARTITION BY watershed_key) AS kk FROM asg)
 SELECT n.runid, n.watershed_key, CASE WHEN rr > 1 THEN 'duplicate-runid' WHEN kk > 1 THEN 'duplicate-key'
   WHEN NOT regexp_full_match(n.watershed_key, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'key-format' WHEN w.runid IS NULL THEN 'unknown-run'
@@ -285,8 +291,11 @@ def identity_assignment(t):
         .otherwise(F.concat(F.lit("new-"), text("_o.o_orderkey"))).alias("watershed_key"),
         F.when(F.col("_o.o_orderstatus") == "F", "c-1").otherwise(F.concat(F.lit("c-"), text("c_nationkey"))).alias("collection"),
     )
-    two = t.lineitem.where("l_quantity = 50 AND l_linenumber = 7 AND l_tax = 0").select("l_suppkey").distinct().select(
-        F.concat(F.lit(BATCH), text("l_suppkey")).alias("runid"), F.concat(F.lit("extra-"), text("l_suppkey")).alias("watershed_key"),
+    # Some lines name a run that has an assignment already, the others a run that nobody knows.
+    extra = F.col("_extra")
+    two = t.lineitem.select("l_suppkey", F.expr("l_quantity = 50 AND l_linenumber = 7 AND l_tax = 0").alias("_extra")).distinct().select(
+        F.concat(F.lit(BATCH), F.when(extra, "").otherwise(F.lit("line-")), text("l_suppkey")).alias("runid"),
+        F.concat(F.when(extra, "extra-").otherwise(F.lit("line-")), text("l_suppkey")).alias("watershed_key"),
         F.lit("c-0").alias("collection"),
     )
     return identity.check_assignments(one.unionByName(two), t.watersheds, t.identities, t.aliases)

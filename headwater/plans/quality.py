@@ -223,13 +223,13 @@ def compare_schemas(left: DataFrame, right: DataFrame) -> list[tuple[str, str |
 def verify_artifacts(files: DataFrame, lineage: DataFrame) -> DataFrame:
     """DQ-06: stored files against their lineage rows: presence, size, digest, type, content.
 
-    ``files``: path, length, content as the binaryFile source gives them, with the join
-    column ``path`` as in the lineage. ``lineage``: path, role, uri, sha256, byte_size,
-    media_type. Content is digested before the join and travels no further.
+    ``files``: path, length, sha256 and the first bytes (head), as ``sources.blobs.digests`` gives them for files
+    of any size, with the join column ``path`` as in the lineage. ``lineage``: path, role, uri, sha256,
+    byte_size, media_type. No content travels.
     """
     digested = files.select(
-        "path", F.col("length").alias("_size"), F.sha2("content", 256).alias("_sha"),
-        looks_like_html(F.decode(F.substring("content", 1, 1024), "ISO-8859-1")).alias("_html"),
+        "path", F.col("length").alias("_size"), F.col("sha256").alias("_sha"),
+        looks_like_html(F.decode(F.substring("head", 1, 1024), "ISO-8859-1")).alias("_html"),
     )
     joined = lineage.join(digested, "path", "left")
     expected = F.coalesce(

@@ -152,10 +152,11 @@ def test_artifact_files(spark, tmp_path):
     import hashlib
 
     from headwater.plans.quality import verify_artifacts
+    from headwater.sources import blobs
 
     for name, body in (("good", b"data"), ("page", b" <html>"), ("short", b"x")):
         (tmp_path / name).write_bytes(body)
-    stored = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    stored = blobs.digests(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
     row = lambda name, body, uri="https://a.test/x", kind="application/json": (name, "metadata", uri, hashlib.sha256(body).hexdigest(), len(body), kind)
     lineage = spark.createDataFrame([
         row("good", b"data"), row("page", b" <html>"), row("short", b"longer"), row("gone", b""),
