@@ -24,6 +24,28 @@ def join_parents(children: DataFrame, parents: DataFrame, on: list[str], child:
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+# A key with more than this share of all children is hot. There are fewer than 1000 such keys, whatever the data.
+HOT_SHARE = 1000
+
+
+def join_large_parents(children: DataFrame, parents: DataFrame, on: list[str], child: list[str], how: str = "left") -> DataFrame:
+    """As ``join_parents``, for parents as large as the children: only those of hot keys are repeated.
+
+    Hot keys are found by counting the children per key, combined before the shuffle.
+    """
+    counts = children.groupBy(*on).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(F.col("count") * HOT_SHARE > total).where(F.col("count") > SALTS).drop("count").collect()
+    if not hot:
+        return children.join(parents, on, how)
+    marks = F.broadcast(children.sparkSession.createDataFrame(hot, counts.drop("count").schema).withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*child), F.lit(SALTS)).cast("int")
+    dealt = children.join(marks, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = parents.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def duplicate_summary(df: DataFrame, key: list[str], skip_null_first: bool = False) -> DataFrame:
     """AGG-11: number of key groups with more than one row, and the rows in them."""
     rows = df.where(F.col(key[0]).isNotNull()) if skip_null_first else df

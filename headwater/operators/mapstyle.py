@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from headwater.functions.colours import colour_of
 from headwater.functions.numbers import is_finite, normalise
-from headwater.operators.keys import join_parents
+from headwater.operators.keys import join_large_parents, join_parents
 from headwater.operators.ranking import robust_range
+from headwater.session import checkpoint
 
 # Colour of a feature no layer claims, and fill opacities of the three layers.
 DEFAULT_COLOUR = "#ffff00"
@@ -27,7 +28,7 @@ def value_style(
 
     A feature without a value keeps a null colour. An empty group has the range 0..1.
     """
-    finite = values.where(is_finite(F.col("value")))
+    finite = checkpoint(values.where(is_finite(F.col("value"))))  # read by every pass of the ranges
     ranges = robust_range(finite, groups, "value", low, high).drop("n")
     styled = join_parents(features.join(finite, on, "left"), ranges, groups, on)
     low_end, high_end = F.coalesce("range_min", F.lit(0.0)), F.coalesce("range_max", F.lit(1.0))
@@ -48,8 +49,8 @@ def layered_colour(
     by_model = lambda df, name: df.select(*run, F.col("wepp_id").alias("weppid"), F.col("colour").alias(name))
     models = by_model(vegetation, "_vegetation").join(by_model(scenario, "_scenario"), [*run, "weppid"], "full_outer")
     hillslopes = landuse.select(*run, F.col("topaz_id").alias("topazid"), F.col("colour").alias("_landuse"))
-    placed = join_parents(
-        join_parents(features, models, [*run, "weppid"], features.columns), hillslopes, [*run, "topazid"], features.columns
+    placed = join_large_parents(
+        join_large_parents(features, models, [*run, "weppid"], features.columns), hillslopes, [*run, "topazid"], features.columns
     )
     has_model, has_hillslope = F.coalesce(F.col("weppid"), F.lit(0)) != 0, F.coalesce(F.col("topazid"), F.lit(0)) != 0
     landuse_colour = F.when(F.col("_landuse") != "", F.col("_landuse"))

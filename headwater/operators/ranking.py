@@ -14,6 +14,7 @@ from headwater.session import checkpoint
 CELLS_PER_OCTAVE = 64
 SPLITS = 65_536
 PASSES = 3
+HELD_CELLS = 200_000  # chosen cells that go to every task; more of them meet the values by a join
 
 
 def _cell(value: Column) -> Column:
@@ -30,8 +31,10 @@ def robust_range(
     Exact selection by counting. The first pass counts values per cell of a logarithmic histogram and
     finds the cell that holds each wanted position. Each later pass splits the cell found into equal
     parts, counts again and keeps the part that holds the position, until least and greatest value of
-    it are the same. Counts combine before the shuffle, and a window sees the counts of one group,
-    ``SPLITS`` at most, never its values, however close together they lie.
+    it are the same. The chosen cells, two per group, are written once per pass and reach the values
+    where they are read, so only counts are shuffled; a window sees the counts of one group, ``SPLITS`` at
+    most, however close together its values lie. The values are read once per pass: an input that is dear to
+    compute is better written first.
     """
     finite = df.where(is_finite(F.col(value))).select(
         *groups, F.col(value).cast("double").alias("_v"), _cell(F.col(value).cast("double")).alias("_cell")
@@ -46,7 +49,7 @@ def robust_range(
     ends = F.array(
         F.struct(F.lit("low").alias("end"), wanted(low).alias("at")), F.struct(F.lit("high").alias("end"), wanted(high).alias("at"))
     )
-    found = (
+    found = checkpoint(
         finite.groupBy(*groups, "_cell").agg(*counts)
         .withColumn("_upto", F.sum("_rows").over(upto)).withColumn("_n", F.sum("_rows").over(whole))
         .withColumn("_want", F.explode(ends)).withColumn("_end", F.col("_want.end"))
@@ -59,9 +62,13 @@ def robust_range(
     for _ in range(PASSES):
         split = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * SPLITS)
         unsettled = found.where(F.col("_low") < F.col("_high")).withColumnsRenamed({"_low": "_from", "_high": "_to"})
-        found = (
-            join_parents(finite, unsettled, [*groups, "_cell"], ["_v"], "inner")
-            .where(F.col("_v").between(F.col("_from"), F.col("_to")))
+        cells = unsettled.count()
+        if cells == 0:
+            break
+        on = [*groups, "_cell"]
+        met = finite.join(F.broadcast(unsettled), on) if cells <= HELD_CELLS else join_parents(finite, unsettled, on, ["_v"], "inner")
+        found = checkpoint(
+            met.where(F.col("_v").between(F.col("_from"), F.col("_to")))
             .groupBy(*groups, "_cell", "_n", "_end", "_rest", split.alias("_split")).agg(*counts)
             .withColumn("_rest", F.col("_rest") - F.sum("_rows").over(within) + F.col("_rows"))
             .where((F.col("_rest") >= 0) & (F.col("_rest") < F.col("_rows")))
