@@ -49,37 +49,49 @@ def identity_report(
     watersheds: DataFrame, subcatchments: DataFrame, channels: DataFrame,
     identities: DataFrame, aliases: DataFrame,
 ) -> DataFrame:
-    """AGG-15: eight violation counts and six totals, one row each, with the overall status."""
-    current = aliases.where("is_current").groupBy("identity_id").agg(F.count_distinct("runid").alias("_aliases"))
+    """AGG-15: eight violation counts and six totals, one row each, with the overall status.
+
+    Every table is read once, watersheds twice: as parents and grouped by identity.
+    """
+    current = aliases.groupBy("identity_id").agg(
+        F.count_distinct(F.when(F.col("is_current"), F.col("runid"))).alias("_aliases"), F.count(F.lit(1)).alias("_alias_rows")
+    )
     serving = watersheds.groupBy(F.col("logical_id").alias("identity_id")).agg(
-        F.count_distinct("runid").alias("_watersheds")
+        F.count_distinct("runid").alias("_watersheds"), F.count(F.lit(1)).alias("_watershed_rows")
     )
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    states = identities.join(current, "identity_id", "left").join(serving, "identity_id", "left")
-    active, retired = F.col("status") == "active", F.col("status") == "retired"
-    mismatch = lambda df: K.identity_mismatches(df, "watershed_id", watersheds, "runid", "logical_id").select(
-        F.col("mismatched_rows").alias("count")
+    # Rows of no identity, or of one that is not listed, count in the totals too; null keys never meet.
+    states = (
+        identities.select("identity_id", "status", "watershed_key", F.lit(True).alias("_listed"))
+        .join(current, "identity_id", "full_outer").join(serving, "identity_id", "full_outer")
     )
-    missing = lambda df: K.count_where(df, F.col("logical_id").isNull())
-    violations = K.one_row_each({
-        "watersheds_without_logical_identity": missing(watersheds),
-        "subcatchments_without_logical_identity": missing(subcatchments),
-        "channels_without_logical_identity": missing(channels),
-        "subcatchment_identity_mismatches": mismatch(subcatchments),
-        "channel_identity_mismatches": mismatch(channels),
-        "active_identities_without_one_watershed": K.count_where(states, active & (zero("_watersheds") != 1)),
-        "active_identities_without_one_current_alias": K.count_where(states, active & (zero("_aliases") != 1)),
-        "retired_identities_with_current_alias": K.count_where(states, retired & (zero("_aliases") != 0)),
-    }, "count").withColumn("section", F.lit("violation"))
-    total = lambda df: df.agg(F.count(F.lit(1)).alias("count"))
-    counts = K.one_row_each({
-        "watersheds": total(watersheds),
-        "identities": total(identities),
-        "assigned_watershed_keys": total(identities.where(F.col("watershed_key").isNotNull())),
-        "run_aliases": total(aliases),
-        "subcatchments": total(subcatchments),
-        "channels": total(channels),
-    }, "count").withColumn("section", F.lit("total"))
+    listed = F.col("_listed").isNotNull()
+    active, retired = listed & (F.col("status") == "active"), listed & (F.col("status") == "retired")
+    rows = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    own = states.agg(
+        F.coalesce(F.sum(F.when(F.col("identity_id").isNull(), F.col("_watershed_rows"))), F.lit(0)).alias("missing"),
+        F.count_if(active & (zero("_watersheds") != 1)).alias("watersheds"), F.count_if(active & (zero("_aliases") != 1)).alias("aliases"),
+        F.count_if(retired & (zero("_aliases") != 0)).alias("retired"), F.count_if(listed).alias("identities"),
+        F.count_if(listed & F.col("watershed_key").isNotNull()).alias("assigned"), rows("_watershed_rows").alias("watershed_rows"), rows("_alias_rows").alias("alias_rows"),
+    )
+    children = {"subcatchment": subcatchments, "channel": channels}
+    links = K.of_children(
+        K.link_report(children, "watershed_id", watersheds, "runid", "logical_id"), list(children), ["rows", "missing", "audit"]
+    )
+    violations = K.stacked(own, {
+        "watersheds_without_logical_identity": F.col("missing"),
+        "active_identities_without_one_watershed": F.col("watersheds"),
+        "active_identities_without_one_current_alias": F.col("aliases"),
+        "retired_identities_with_current_alias": F.col("retired"),
+    }).unionByName(K.stacked(links, {
+        "subcatchments_without_logical_identity": F.col("subcatchment_missing"),
+        "channels_without_logical_identity": F.col("channel_missing"),
+        "subcatchment_identity_mismatches": F.col("subcatchment_audit"),
+        "channel_identity_mismatches": F.col("channel_audit"),
+    })).withColumn("section", F.lit("violation"))
+    counts = K.stacked(own, {
+        "watersheds": F.col("watershed_rows"), "identities": F.col("identities"), "assigned_watershed_keys": F.col("assigned"), "run_aliases": F.col("alias_rows"),
+    }).unionByName(K.stacked(links, {"subcatchments": F.col("subcatchment_rows"), "channels": F.col("channel_rows")})).withColumn("section", F.lit("total"))
     return violations.unionByName(counts).select(
         "section", "code", "count",
         F.when(F.col("section") == "total", "info").when(F.col("count") == 0, "passed")
@@ -91,28 +103,25 @@ def audit_report(tables: dict[str, tuple[DataFrame, list[str], list[str] | None]
     """DQ-03: per table its rows, repeated business and logical keys and orphans.
 
     ``tables`` maps a name to (rows, business key, logical key or None); rows of child tables
-    carry ``watershed_id``. An empty set of tables gets a warning instead of a clean bill.
+    carry ``watershed_id``. An empty set of tables gets a warning instead of a clean bill. A table is read once for
+    its keys, the child tables once more, together, for their parents.
     """
     reports = []
     for name, (df, business, logical) in tables.items():
-        rows = df.agg(F.count(F.lit(1)).alias("count"))
-        parts = {
-            "row_count": rows,
+        keysets = {"business": business, **({"logical": logical} if logical else {}), "all": []}
+        found = K.key_repeats(df, keysets, {"logical"})
+        codes = {
+            "row_count": F.col("all_count"), "duplicate_business_key_groups": F.col("business_groups"), "duplicate_business_key_rows": F.col("business_rows"),
+            **({"duplicate_logical_key_groups": F.col("logical_groups")} if logical else {}),
         }
-        if logical:
-            parts["duplicate_logical_key_groups"] = K.duplicate_summary(df, logical, True).select(
-                F.col("groups").alias("count")
-            )
-        if "watershed_id" in df.columns:
-            parts["orphan_rows"] = K.orphan_rows(df, "watershed_id", parents, "runid").select(
-                F.col("orphan_rows").alias("count")
-            )
-        # One grouping gives both figures of the business key.
-        repeats = K.duplicate_summary(df, business).select(F.expr(
-            "stack(2, 'duplicate_business_key_groups', cast(groups AS bigint), "
-            "'duplicate_business_key_rows', cast(rows AS bigint)) AS (code, count)"
-        ))
-        reports.append(K.one_row_each(parts, "count").unionByName(repeats).withColumn("table", F.lit(name)))
+        reports.append(K.stacked(found, codes).withColumn("table", F.lit(name)))
+    children = {name: df.select("watershed_id", F.lit(None).cast("string").alias("_none")) for name, (df, _, _) in tables.items() if "watershed_id" in df.columns}
+    if children:
+        links = K.of_children(
+            K.link_report(children, "watershed_id", parents.withColumn("_none", F.lit(None).cast("string")), "runid", "_none"), list(children), ["orphans"]
+        )
+        orphans = K.stacked(links, {name: F.col(f"{name}_orphans") for name in children})
+        reports.append(orphans.select(F.lit("orphan_rows").alias("code"), "count", F.col("code").alias("table")))
     report = reports[0]
     for other in reports[1:]:
         report = report.unionByName(other)

@@ -171,26 +171,76 @@ def count_where(df: DataFrame, condition: Column, name: str = "count") -> DataFr
     return df.agg(F.count_if(condition).alias(name))
 
 
+def stacked(df: DataFrame, codes: dict[str, Column]) -> DataFrame:
+    """One row of figures as (code, count) rows."""
+    figures = df.select(*[c.cast("long").alias(f"_{i}") for i, c in enumerate(codes.values())])
+    pairs = ", ".join(f"{code!r}, _{i}" for i, code in enumerate(codes))
+    return figures.select(F.expr(f"stack({len(codes)}, {pairs}) AS (code, count)"))
+
+
+def key_repeats(df: DataFrame, keysets: dict[str, list[str]], skip_null_first: set[str] = frozenset()) -> DataFrame:
+    """AGG-11 for several keys in one scan and one shuffle: one row with <name>_groups and <name>_rows.
+
+    The keys are grouping sets: a row is counted under each of them, combined before the shuffle. Groups of a key in
+    ``skip_null_first`` whose first column is null do not count. With an empty key, ``all_count`` has all rows.
+    """
+    columns = list(dict.fromkeys(c for key in keysets.values() for c in key))
+    sets = [[F.col(c) for c in key] for key in keysets.values()]
+    counted = df.select(*columns).groupingSets(sets, *[F.col(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_set"))
+    figures = []
+    if [] in keysets.values():  # the empty key counts all rows
+        figures.append(F.coalesce(F.sum(F.when(F.col("_set") == 2 ** len(columns) - 1, F.col("_n"))), F.lit(0)).alias("all_count"))
+    for name, key in keysets.items():
+        number = int("".join("0" if c in key else "1" for c in columns), 2)
+        found = (F.col("_set") == number) & (F.col("_n") > 1)
+        if name in skip_null_first:
+            found = found & F.col(key[0]).isNotNull()
+        figures += [F.count_if(found).alias(f"{name}_groups"), F.coalesce(F.sum(F.when(found, F.col("_n"))), F.lit(0)).alias(f"{name}_rows")]
+    return counted.agg(*figures)
+
+
+def link_report(children: dict[str, DataFrame], foreign_key: str, parents: DataFrame, key: str, identity: str) -> DataFrame:
+    """JN-09 and JN-12 for several child tables at once: per ``child`` its rows, missing identities, orphans and
+    mismatches in both forms. Each child table is read once, combined per (parent, identity); parents are read once.
+    """
+    sides = [df.select(F.lit(name).alias("child"), F.col(foreign_key).alias(key), F.col(identity).alias("_child")) for name, df in children.items()]
+    counted = reduce(DataFrame.unionByName, sides).groupBy("child", key, "_child").count()
+    joined = counted.join(parents.select(key, F.col(identity).alias("_parent"), F.lit(True).alias("_found")), key, "left")
+    n = lambda when: F.coalesce(F.sum(F.when(when, F.col("count"))), F.lit(0))
+    mine, theirs, found = F.col("_child"), F.col("_parent"), F.col("_found").isNotNull()
+    return joined.groupBy("child").agg(
+        F.sum("count").alias("rows"), n(mine.isNull()).alias("missing"), n(~found).alias("orphans"),
+        n(~F.coalesce(mine == theirs, F.lit(False))).alias("audit"), n(found & mine.isNotNull() & ~mine.eqNullSafe(theirs)).alias("migration"),
+    )
+
+
+def of_children(report: DataFrame, children: list[str], figures: list[str]) -> DataFrame:
+    """``link_report`` as one row of <child>_<figure>; a child table without rows has zeros."""
+    return report.agg(*[
+        F.coalesce(F.max(F.when(F.col("child") == c, F.col(f))), F.lit(0)).alias(f"{c}_{f}") for c in children for f in figures
+    ])
+
+
 def integrity_preflight(
     watersheds: DataFrame, subcatchments: DataFrame, channels: DataFrame,
     collections: DataFrame, identities: DataFrame,
 ) -> DataFrame:
-    """AGG-14: the nine integrity counts, one row per check."""
+    """AGG-14: the nine integrity counts, one row per check. Child tables are read twice, the others once."""
     from headwater.functions.text import STABLE_KEY
 
     bad_key = lambda name: F.col(name).isNotNull() & ~F.col(name).rlike(STABLE_KEY)
-    groups = lambda df, key, skip=False: duplicate_summary(df, key, skip).select(F.col("groups").alias("count"))
-    mismatch = lambda df: identity_mismatches(
-        df, "watershed_id", watersheds, "runid", "logical_id", audit=False
-    ).select(F.col("mismatched_rows").alias("count"))
-    return one_row_each({
-        "subcatchment_run_key": groups(subcatchments, ["watershed_id", "topazid"]),
-        "subcatchment_logical_key": groups(subcatchments, ["logical_id", "topazid"], True),
-        "channel_run_key": groups(channels, ["watershed_id", "topazid", "weppid", "order"]),
-        "channel_logical_key": groups(channels, ["logical_id", "topazid", "weppid", "order"], True),
-        "subcatchment_logical_mismatch": mismatch(subcatchments),
-        "channel_logical_mismatch": mismatch(channels),
-        "collection_key_format": count_where(collections, bad_key("key")),
-        "watershed_key_format": count_where(identities, bad_key("watershed_key")),
-        "watershed_identity_status": count_where(identities, ~F.col("status").isin("active", "retired")),
-    }, "count")
+    tables = {"subcatchment": (subcatchments, ["topazid"]), "channel": (channels, ["topazid", "weppid", "order"])}
+    repeats = [
+        stacked(
+            key_repeats(df, {"run": ["watershed_id", *own], "logical": ["logical_id", *own]}, {"logical"}),
+            {f"{name}_run_key": F.col("run_groups"), f"{name}_logical_key": F.col("logical_groups")},
+        )
+        for name, (df, own) in tables.items()
+    ]
+    links = of_children(link_report({name: df for name, (df, _) in tables.items()}, "watershed_id", watersheds, "runid", "logical_id"), list(tables), ["migration"])
+    named = identities.agg(F.count_if(bad_key("watershed_key")).alias("key"), F.count_if(~F.col("status").isin("active", "retired")).alias("status"))
+    return reduce(DataFrame.unionByName, [
+        *repeats, stacked(links, {f"{name}_logical_mismatch": F.col(f"{name}_migration") for name in tables}),
+        stacked(count_where(collections, bad_key("key")), {"collection_key_format": F.col("count")}),
+        stacked(named, {"watershed_key_format": F.col("key"), "watershed_identity_status": F.col("status")}),
+    ])
