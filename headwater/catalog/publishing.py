@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from headwater.catalog.registry import query
 from headwater.catalog.releases import EMPTY, PLAN, digest_sql
 from headwater.functions import geometry as G
-from headwater.functions.canonical import canonical_decimal, canonical_integer, json_line
+from headwater.functions.canonical import canonical_decimal, canonical_integer, canonical_text, json_line
 from headwater.plans import publish, release
 from headwater.session import checkpoint, shared_folder
 
@@ -21,13 +21,13 @@ def _decimal(value):
 def shape():
     return publish.Shape(
         metadata=["name"], geometry=["geometry"],
-        metadata_line=json_line({"name": F.col("name")}),
+        metadata_line=json_line({"name": canonical_text(F.col("name"))}),
         geometry_line=json_line({"ring": F.array_join(F.transform(G.points(F.col("geometry")), lambda p: F.concat_ws(" ", _decimal(p["x"]), _decimal(p["y"]))), ",")}),
         children={
             "subcatchments": publish.Lines(["topazid"], json_line({
-                "area": canonical_decimal(F.col("area").cast("decimal(18,2)")), "texture": F.col("texture"), "topazid": canonical_integer(F.col("topazid"))})),
+                "area": canonical_decimal(F.col("area").cast("decimal(18,2)")), "texture": canonical_text(F.col("texture")), "topazid": canonical_integer(F.col("topazid"))})),
             "channels": publish.Lines(["topazid"], json_line({"order": canonical_integer(F.col("order")), "topazid": canonical_integer(F.col("topazid"))})),
-            "capabilities": publish.Lines(["type"], json_line({"rows": canonical_integer(F.col("rows")), "type": F.col("type")})),
+            "capabilities": publish.Lines(["type"], json_line({"rows": canonical_integer(F.col("rows")), "type": canonical_text(F.col("type"))})),
         },
     )
 

@@ -11,6 +11,7 @@ from headwater.functions import text as X
 from headwater.functions.canonical import canonical_decimal
 from headwater.functions.colours import BURN_CLASSES, BURN_PALETTES, CATEGORICAL, hex_upper, legend_colours, map_table
 from headwater.operators import containment, raster
+from headwater.operators import simplify as outlines
 from headwater.plans import quality
 from headwater.sources.files import feature_text
 
@@ -259,6 +260,33 @@ def covers_hot_run(t):
     return _covered(t, F.when(F.col("l_orderkey") % 10 != 0, F.lit(1)).otherwise(F.col("l_suppkey")))
 
 
+# Border lines between unit cells, 64 to a row: a line bends out by a tenth of a cell where its number says so, and
+# else wavers by less than the tolerance. A cell keeps its four corners, its closing point and the bends of its sides.
+@query(
+    """WITH c AS (SELECT p_partkey // 64 AS r, p_partkey % 64 AS c, p_partkey FROM part)
+SELECT p_partkey, 17 AS points_before, 5 + (r * 3 + c * 5) % 7 // 6 + ((r + 1) * 3 + c * 5) % 7 // 6 + (r * 7 + c * 3) % 5 // 4 + (r * 7 + (c + 1) * 3) % 5 // 4 AS points_after,
+  round(1 + 0.05 * (((r + 1) * 3 + c * 5) % 7 // 6 - (r * 3 + c * 5) % 7 // 6 + (r * 7 + (c + 1) * 3) % 5 // 4 - (r * 7 + c * 3) % 5 // 4), 9) AS area FROM c"""
+)
+def simplified_mesh(t):
+    """Parts as cells of one mesh, whose neighbours share wavering and bent borders."""
+    row, column = F.floor(F.col("p_partkey") / 64).cast("long"), F.col("p_partkey") % 64
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    out = lambda bent, s, wave: F.when(bent, 0.1 * (1 - F.abs(F.lit(2 * s - 1.0)))).otherwise(F.lit(wave))
+    inner = ((0.25, 1e-5), (0.5, -1e-5), (0.75, 1e-5))
+    level = lambda r, c: [point(c + s, r + out((r * 3 + c * 5) % 7 == 6, s, w)) for s, w in inner]
+    upright = lambda r, c: [point(c + out((r * 7 + c * 3) % 5 == 4, s, w), r + s) for s, w in inner]
+    corner = lambda a, b: point(column + a, row + b)
+    ring = F.array(
+        corner(0, 0), *level(row, column), corner(1, 0), *upright(row, column + 1), corner(1, 1), *level(row + 1, column)[::-1],
+        corner(0, 1), *upright(row, column)[::-1], corner(0, 0),
+    )
+    cells = t.part.select(F.lit(0).alias("mesh"), "p_partkey", F.array(F.array(ring)).alias("geometry"))
+    thin = outlines.simplified_mesh(cells, ["mesh"], ["p_partkey"], 0.001)
+    both = thin.join(cells.select("p_partkey", F.size(G.points(F.col("geometry"))).alias("points_before")), "p_partkey")
+    return both.select(
+        "p_partkey", "points_before", F.size(G.points(F.col("geometry"))).alias("points_after"), F.round(G.area(F.col("geometry")), 9).alias("area"))
+
+
 @query()
 def simplify(t):
     """Rings drawn from embeddings (rows-only): area, box and point counts before and after."""
@@ -278,9 +306,28 @@ def simplify(t):
     )
 
 
-@query()
+def utm_sql(x: str, y: str, flattening: float, meridian: int) -> str:
+    """The inverse transverse Mercator series in SQL, over columns k, line and the two coordinates.
+
+    Written from the published series in the third flattening, apart from the code it checks; a sum per series.
+    """
+    n = flattening / (2 - flattening)
+    scale = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    back = [n / 2 - n**2 * 2 / 3 + n**3 * 37 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - n**4 * 437 / 1440, n**3 * 17 / 480 - n**4 * 37 / 840, n**4 * 4397 / 161280]
+    to = [2 * n - n**2 * 2 / 3 - 2 * n**3 + n**4 * 116 / 45, n**2 * 7 / 3 - n**3 * 8 / 5 - n**4 * 227 / 45, n**3 * 56 / 15 - n**4 * 136 / 35, n**4 * 4279 / 630]
+    total = lambda series, term: " + ".join(f"({c!r}::DOUBLE) * {term.format(2 * i)}" for i, c in enumerate(series, 1))
+    return f"""(SELECT k, line, {y} / {scale!r}::DOUBLE AS north, ({x} - 500000) / {scale!r}::DOUBLE AS east FROM lines) a,
+LATERAL (SELECT north - ({total(back, 'sin({0} * north) * cosh({0} * east)')}) AS u, east - ({total(back, 'cos({0} * north) * sinh({0} * east)')}) AS v) b,
+LATERAL (SELECT asin(sin(u) / cosh(v)) AS chi, {meridian} + degrees(atan2(sinh(v), cos(u))) AS lon) c,
+LATERAL (SELECT degrees(chi + {total(to, 'sin({0} * chi)')}) AS lat) d"""
+
+
+@query(
+    f"""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS line, 400000 + l_extendedprice AS x, 4500000 + l_quantity * 10000 AS y FROM lineitem)
+SELECT k AS l_orderkey, line AS l_linenumber, round(lon, 9) AS lon, round(lat, 9) AS lat FROM {utm_sql('x', 'y', 1 / 298.257222101, -123)}"""
+)
 def reproject(t):
-    """UTM zone 10 coordinates made from line items, as longitude and latitude (rows-only)."""
+    """UTM zone 10 coordinates made from line items, as longitude and latitude."""
     place = G.utm_to_wgs84(26910, F.lit(400000.0) + F.col("l_extendedprice"), F.lit(4500000.0) + F.col("l_quantity") * 10000)
     return t.lineitem.select("l_orderkey", "l_linenumber", place.alias("_p")).select(
         "l_orderkey", "l_linenumber", F.round("_p.x", 9).alias("lon"), F.round("_p.y", 9).alias("lat")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headwater.catalog.registry import flat, query, rounded
-from headwater.functions.canonical import canonical_decimal, canonical_integer, json_line
+from headwater.functions.canonical import canonical_decimal, canonical_integer, canonical_text, json_line
 from headwater.operators import fingerprint as FP
 from headwater.operators import raster
 from headwater.plans import operations, quality, release
@@ -287,15 +287,17 @@ def digest_sql(source: str, group: str, key_text: str, line: str, subject: str,
 {out} AS (SELECT {group}, count(*) AS rows, sha256({header} || count(*) || chr(10) || {sums}) AS digest FROM {out}_h GROUP BY {group})"""
 
 
-SUB_LINE = """'{"attributes":{"area":"' || regexp_replace(regexp_replace(CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || '","texture":"' || o_orderpriority || '"},"topazid":"' || o_orderkey || '","weppid":"' || o_custkey || '"}' || chr(10)"""
+SUB_LINE = """'{"attributes":{"area":"' || regexp_replace(regexp_replace(CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || '","texture":"' || nfc_normalize(o_orderpriority || CASE WHEN o_orderkey % 10 = 0 THEN 'e' || chr(769) ELSE '' END) || '"},"topazid":"' || o_orderkey || '","weppid":"' || o_custkey || '"}' || chr(10)"""
 SUB_DIGEST = digest_sql("orders", "o_custkey", "o_orderkey::VARCHAR", SUB_LINE, "serving-subcatchments", "sd")
 
 
 def subcatchment_digests(t):
+    """Some textures are written with a letter and a mark of its own, which the digest composes."""
+    texture = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 10 == 0, "e\u0301").otherwise(F.lit("")))
     line = json_line({
         "topazid": canonical_integer(F.col("o_orderkey")), "weppid": canonical_integer(F.col("o_custkey")),
         "attributes": F.struct(
-            canonical_decimal(F.col("o_totalprice").cast("decimal(18,2)")).alias("area"), F.col("o_orderpriority").alias("texture")
+            canonical_decimal(F.col("o_totalprice").cast("decimal(18,2)")).alias("area"), canonical_text(texture).alias("texture")
         ),
     })
     return FP.sequence_digest(t.orders, ["o_custkey"], ["o_orderkey"], line, "serving-subcatchments")
@@ -344,7 +346,7 @@ def domain_digest(t):
         },
     )
     return FP.domain_digest(rows, ["c_custkey"], {
-        "runid": canonical_integer(F.col("c_custkey")), "metadata": F.col("c_name"),
+        "runid": canonical_integer(F.col("c_custkey")), "metadata": canonical_text(F.col("c_name")),
         "subcatchments": F.col("subcatchments"), "channels": F.col("channels"),
     })
 

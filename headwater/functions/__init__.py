@@ -6,7 +6,8 @@ this package on its workers.
 
 from pyspark import cloudpickle
 
-from headwater.functions import canonical, geometry
+from headwater.functions import canonical, geometry, outlines
 
 cloudpickle.register_pickle_by_value(canonical)
 cloudpickle.register_pickle_by_value(geometry)
+cloudpickle.register_pickle_by_value(outlines)

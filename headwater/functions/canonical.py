@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from decimal import Decimal
 
@@ -49,10 +51,47 @@ def compose_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: None if text is None else unicodedata.normalize("NFC", text))
 
 
+# A string of JSON text, quotation marks included.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
+def _composed_string(found: re.Match) -> str:
+    quoted = found[0]
+    if quoted.isascii() and "\\u" not in quoted:
+        return quoted
+    try:
+        text = unicodedata.normalize("NFC", json.loads(quoted, strict=False))
+        text.encode()  # half a surrogate pair has no composed form
+    except ValueError:
+        return quoted
+    return json.dumps(text, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def composed_document(documents: pd.Series) -> pd.Series:
+    """JSON text with its strings, names included, in composed form (Arrow); all else stays digit by digit."""
+    def composed(body):
+        if body is None or (body.isascii() and "\\u" not in body):
+            return body
+        return _STRING.sub(_composed_string, body)
+
+    return documents.map(composed)
+
+
+def canonical_text(text: Column) -> Column:
+    """A text value in composed form (NFC), for a canonical line.
+
+    Values are composed before they are rendered: in a finished line a mark could join the letter of an escape.
+    Text of ASCII alone is composed already; only the rest goes through Arrow, the others as nulls.
+    """
+    composed = compose_unicode(F.when(F.octet_length(text) != F.char_length(text), text))
+    return F.coalesce(composed, text)
+
+
 def json_line(fields: dict[str, Column]) -> Column:
     """SNK-05: one canonical JSON object, keys sorted, nulls written, newline at the end.
 
-    Values must be rendered already: text, booleans, or nested structs built the same way.
+    Values must be rendered already: text (``canonical_text``), booleans, or nested structs built the same way.
     """
     ordered = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
     line = F.to_json(ordered, {"ignoreNullFields": "false"})

@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 import re
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from headwater.functions.outlines import TOLERANCE, thinned
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 MULTIPOLYGON = T.ArrayType(T.ArrayType(T.ArrayType(POINT)))
 GEOMETRY_TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
@@ -192,44 +193,14 @@ def reproject(geometry: Column, crs_name: str | None) -> Column:
 # --- simplification ---------------------------------------------------------------------
 
 
-def _kept(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on one closed ring, split at the point farthest from its start."""
-    keep = np.zeros(len(ring), dtype=bool)
-    far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
-    keep[[0, far, -1]] = True
-    spans = [(0, far), (far, len(ring) - 1)]
-    while spans:
-        first, last = spans.pop()
-        if last - first < 2:
-            continue
-        base, inner = ring[last] - ring[first], ring[first + 1 : last] - ring[first]
-        length = math.hypot(*base)
-        away = (
-            np.abs(base[0] * inner[:, 1] - base[1] * inner[:, 0]) / length
-            if length else np.hypot(inner[:, 0], inner[:, 1])
-        )
-        worst = int(np.argmax(away))
-        if away[worst] > tolerance:
-            middle = first + 1 + worst
-            keep[middle] = True
-            spans += [(first, middle), (middle, last)]
-    return keep
-
-
-def simplifier(tolerance: float = 0.00025):
-    """FN-G06: Arrow function that thins every ring; a ring that would collapse stays whole."""
-    @F.pandas_udf(MULTIPOLYGON)
-    def simplify(geometries: pd.Series) -> pd.Series:
-        def thin(ring):
-            coords = np.array([[p["x"], p["y"]] for p in ring], dtype=float)
-            if len(coords) <= 4:
-                return list(ring)
-            keep = _kept(coords, tolerance)
-            return [p for p, k in zip(ring, keep) if k] if keep.sum() >= 4 else list(ring)
-
-        return geometries.map(
-            lambda g: None if g is None else [[thin(ring) for ring in polygon] for polygon in g]
-        )
+def simplifier(tolerance: float = TOLERANCE):
+    """FN-G06: Arrow function that thins every ring by itself; a ring that would collapse stays whole.
+
+    ``operators.simplify`` keeps the borders that neighbours share.
+    """
+    @F.arrow_udf(MULTIPOLYGON)
+    def simplify(geometries: pa.Array) -> pa.Array:
+        return thinned(geometries, pa.array([[]] * len(geometries), pa.list_(pa.int64())), tolerance)
 
     return simplify
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.functions.canonical import FINGERPRINT_VERSION, canonical_decimal, compose_unicode, json_line
+from headwater.functions.canonical import FINGERPRINT_VERSION, canonical_decimal, composed_document, json_line
 
 _NUMBER = "decimal(38,18)"
 _ARTIFACT = "struct<sha256:string,bytes:bigint,media_type:string>"
@@ -176,13 +176,16 @@ _FIELDS = {
 
 
 def canonical_subject(subject: str, body: Column) -> Column:
-    """The canonical line of a document's subject, in composed Unicode form (Arrow for that step)."""
-    document = F.from_json(body, SCHEMAS[subject])
+    """The canonical line of a document's subject, its values in composed Unicode form (Arrow for that step).
+
+    The document is composed after its escapes are resolved and before it is rendered again.
+    """
+    document = F.from_json(composed_document(body), SCHEMAS[subject])
     fields = _FIELDS[subject](document)
     line = json_line({
         **fields, "fingerprint_version": F.lit(str(FINGERPRINT_VERSION)), "subject": F.lit(subject)
     })
-    return compose_unicode(line)
+    return line
 
 
 def subject_fingerprints(documents: DataFrame, subject: str, body: str = "body") -> DataFrame:

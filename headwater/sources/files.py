@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from headwater.functions import geometry as G
 from headwater.functions.text import normalise_runid
 from headwater.operators.ingest import only_requested
+from headwater.operators.keys import join_parents
 from headwater.sources.geojson import SPLIT_BYTES, feature_texts
 
 # File of each role below a run's folder.
@@ -125,10 +126,11 @@ def write_run_collections(
     sorted by key.
 
     Rows are range-partitioned by run and key, so a large run becomes several part files and
-    no task holds a whole run. Opening and closing lines are rows of their own.
+    no task holds a whole run, neither where rows learn which key comes first nor where they are written.
+    Opening and closing lines are rows of their own.
     """
     first = df.groupBy(run).agg(F.min(F.struct(*order)).alias("_first"))
-    body = df.join(first, run).select(
+    body = join_parents(df, first, [run], order, "inner").select(
         run, F.lit(1).alias("_place"), *order,
         F.concat(
             F.when(F.struct(*order) == F.col("_first"), F.lit("")).otherwise(F.lit(",")),

@@ -175,3 +175,13 @@ def test_reprojection(spark):
     assert G.epsg_of_crs_name("urn:ogc:def:crs:EPSG::26910") == 26910 and G.epsg_of_crs_name(None) is None
     with pytest.raises(ValueError):
         G.utm_to_wgs84(3857, F.lit(0.0), F.lit(0.0))
+
+
+def test_composed_values(spark):
+    marked, document = "e\u0301", '{"a\\u0301":"e\u0301","n":1.50,"x":"\\n\u0301\\ud800","p":"\\\\u0301"}'
+    assert values(spark, [marked, "plain", None], "string", C.canonical_text(V())) == ["\u00e9", "plain", None]
+    assert values(spark, [document, None, '{"a":1e3}'], "string", C.composed_document(V())) == [
+        '{"\u00e1":"\u00e9","n":1.50,"x":"\\n\u0301\\ud800","p":"\\\\u0301"}', None, '{"a":1e3}']
+    # A mark after an escaped line break stays a mark of its own.
+    line = C.json_line({"a": C.canonical_text(V())})
+    assert values(spark, ["\n\u0301"], "string", line) == ['{"a":"\\n\u0301"}\n']
