@@ -315,22 +315,22 @@ def utm_sql(x: str, y: str, flattening: float, meridian: int) -> str:
     scale = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     back = [n / 2 - n**2 * 2 / 3 + n**3 * 37 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - n**4 * 437 / 1440, n**3 * 17 / 480 - n**4 * 37 / 840, n**4 * 4397 / 161280]
     to = [2 * n - n**2 * 2 / 3 - 2 * n**3 + n**4 * 116 / 45, n**2 * 7 / 3 - n**3 * 8 / 5 - n**4 * 227 / 45, n**3 * 56 / 15 - n**4 * 136 / 35, n**4 * 4279 / 630]
-    total = lambda series, term: " + ".join(f"({c!r}::DOUBLE) * {term.format(2 * i)}" for i, c in enumerate(series, 1))
+    total = lambda sign, series, term: " ".join(f"{sign} ({c!r}::DOUBLE) * {term.format(2 * i)}" for i, c in enumerate(series, 1))
     return f"""(SELECT k, line, {y} / {scale!r}::DOUBLE AS north, ({x} - 500000) / {scale!r}::DOUBLE AS east FROM lines) a,
-LATERAL (SELECT north - ({total(back, 'sin({0} * north) * cosh({0} * east)')}) AS u, east - ({total(back, 'cos({0} * north) * sinh({0} * east)')}) AS v) b,
+LATERAL (SELECT north {total('-', back, 'sin({0} * north) * cosh({0} * east)')} AS u, east {total('-', back, 'cos({0} * north) * sinh({0} * east)')} AS v) b,
 LATERAL (SELECT asin(sin(u) / cosh(v)) AS chi, {meridian} + degrees(atan2(sinh(v), cos(u))) AS lon) c,
-LATERAL (SELECT degrees(chi + {total(to, 'sin({0} * chi)')}) AS lat) d"""
+LATERAL (SELECT degrees(chi {total('+', to, 'sin({0} * chi)')}) AS lat) d"""
 
 
 @query(
     f"""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS line, 400000 + l_extendedprice AS x, 4500000 + l_quantity * 10000 AS y FROM lineitem)
-SELECT k AS l_orderkey, line AS l_linenumber, round(lon, 9) AS lon, round(lat, 9) AS lat FROM {utm_sql('x', 'y', 1 / 298.257222101, -123)}"""
+SELECT k AS l_orderkey, line AS l_linenumber, round(lon, 8) AS lon, round(lat, 8) AS lat FROM {utm_sql('x', 'y', 1 / 298.257222101, -123)}"""
 )
 def reproject(t):
     """UTM zone 10 coordinates made from line items, as longitude and latitude."""
     place = G.utm_to_wgs84(26910, F.lit(400000.0) + F.col("l_extendedprice"), F.lit(4500000.0) + F.col("l_quantity") * 10000)
     return t.lineitem.select("l_orderkey", "l_linenumber", place.alias("_p")).select(
-        "l_orderkey", "l_linenumber", F.round("_p.x", 9).alias("lon"), F.round("_p.y", 9).alias("lat")
+        "l_orderkey", "l_linenumber", F.round("_p.x", 8).alias("lon"), F.round("_p.y", 8).alias("lat")
     )
 
 
