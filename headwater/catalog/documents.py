@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,40 +114,88 @@ def staged_checks(t):
     )
 
 
-def configuration_text(kind):
-    """A capability configuration as JSON text, sound but for the fault ``kind`` names."""
-    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    fault = lambda n, bad, good: F.when(kind == n, F.lit(bad)).otherwise(F.lit(good))
-    revision = "a" * 64
-    asset = lambda name: (
-        '{"uri":"https://a.test/base/' + name + '","sha256":"' + "b" * 64 + '","bytes":10,"media_type":"x"}'
-    )
-    geometry = f'{{"scale":"hillslope","scenarios":["s1"],"artifact":{asset("g")},"source_crs":"EPSG:26910","geometry_revision":"{revision}"}}'
-    return text(
-        '{"schema_version":1,"enabled":true,"access_policy":', fault(1, '"secret-club"', '"public"'),
-        f',"index_uri":"https://a.test/base/index.json","index_sha256":"{"c" * 64}","geometry_revision":"{revision}","scenarios":[',
-        '{"id":"s1","label":"One","description":"d","is_change":false,"variables":', fault(2, '["flow","flow"]', '["flow"]'),
-        ',"year_range":', fault(3, "[2020,1980]", "[1980,2020]"), f',"geometry_revision":"{revision}"}}],"variables":[',
-        '{"id":"flow","label":"Flow","units":"mm"}],"spatial_inputs":[{"filename":"f.tif","title":"F","artifact":', asset("f"),
-        ',"render":{"type":', fault(4, '"paint"', '"continuous"'), f',"min":0.0,"max":1.0,"unique_values":null,"group":null,"reversed":false}},"geometry_revision":"{revision}"}}],',
-        '"geotiffs":[', F.when(kind == 5, F.lit("")).otherwise(F.lit(
-            f'{{"scenario":"s1","variable":"flow","artifact":{asset("t")},"value_range":{{"min":0.0,"max":2.0}},"geometry_revision":"{revision}"}}'
-        )),
-        '],"parquets":[{"dataset_key":"k1","scenario":"s1","role":"hillslope","artifact":', fault(6, asset("p").replace("/base/", "/else/"), asset("p")),
-        f',"spatial_id_field":"id","variables":[{{"id":"flow","label":"Flow","units":"mm"}}],"year_range":[1980,2020],"geometry_revision":"{revision}"}}],',
-        '"geometries":[', geometry, fault(7, "," + geometry, ""), ']', fault(8, ',"api-key":"x"', ""), "}",
-    )
+def sound_configuration() -> dict:
+    """A capability configuration that breaks no rule, with many assets."""
+    revision, scenarios, variables = "a" * 64, ["s1", "s2", "s3"], ["flow", "load"]
+    asset = lambda name: {"uri": f"https://a.test/base/{name}", "sha256": "b" * 64, "bytes": 10, "media_type": "x"}
+    named = lambda v: {"id": v, "label": v.title(), "units": "mm"}
+    roles = {"hillslope": ["flow"], "patch": ["load"], "basin": variables}
+    return {
+        "schema_version": 1, "enabled": True, "access_policy": "public", "index_uri": "https://a.test/base/index.json", "index_sha256": "c" * 64,
+        "geometry_revision": revision,
+        "scenarios": [{"id": s, "label": "@@", "description": "d", "is_change": False, "variables": list(variables), "year_range": [1980, 2020], "geometry_revision": revision} for s in scenarios],
+        "variables": [named(v) for v in variables],
+        "spatial_inputs": [{"filename": f"{i}.tif", "title": "F", "artifact": asset(f"{i}.tif"), "geometry_revision": revision, "render": {
+            "type": "continuous", "min": 0.0, "max": 1.0, "unique_values": None, "group": None, "reversed": False}} for i in range(5)],
+        "geotiffs": [{"scenario": s, "variable": v, "artifact": asset(f"{s}-{v}"), "value_range": {"min": 0.0, "max": 2.0}, "geometry_revision": revision} for s in scenarios for v in variables],
+        "parquets": [{"dataset_key": f"{s}-{r}", "scenario": s, "role": r, "artifact": asset(f"{s}-{r}"), "spatial_id_field": "id", "variables": [named(v) for v in roles[r]],
+                      "year_range": [1980, 2020], "geometry_revision": revision} for s in scenarios for r in roles],
+        "geometries": [{"scale": g, "scenarios": list(scenarios), "artifact": asset(g), "source_crs": "EPSG:26910", "geometry_revision": revision} for g in ("hillslope", "patch")],
+    }
+
+
+def _put(*path):
+    """A change of one value, the last of ``path``, at the place that the others name."""
+    def change(c):
+        *way, last, value = path
+        for step in way:
+            c = c[step]
+        c[last] = value
+
+    return change
+
+
+def _again(name, **other):
+    return lambda c: c[name].append({**c[name][0], **other})
+
+
+OTHER_REVISION, ELSEWHERE = "d" * 64, "https://b.test/index.json"
+# The rules in the order in which they are tried, each with a change that breaks it and none before it.
+BROKEN = {
+    "unreadable": None, "secret-key": _put("api-key", "x"), "schema-version": _put("schema_version", 2), "enabled-flag": _put("enabled", None),
+    "access-policy": _put("access_policy", "secret-club"), "index": _put("index_sha256", "e" * 64), "geometry-revision": _put("geometry_revision", "short"),
+    "index-location": _put("index_uri", ELSEWHERE), "variable-ids": _put("variables", []), "scenario-ids": _put("scenarios", 1, "id", "s1"),
+    "scenario-variables": _put("scenarios", 0, "variables", ["flow", "flow"]), "scenario-years": _put("scenarios", 2, "year_range", [2020, 1980]),
+    "scenario-revision": _put("scenarios", 1, "geometry_revision", OTHER_REVISION), "variable-metadata": _put("scenarios", 0, "variables", ["flow", "load", "silt"]),
+    "spatial-files": _put("spatial_inputs", 4, "filename", "0.tif"), "spatial-render": _put("spatial_inputs", 3, "render", "type", "paint"),
+    "spatial-revision": _put("spatial_inputs", 2, "geometry_revision", OTHER_REVISION), "geotiff-declared": _put("geotiffs", 0, "scenario", "s9"),
+    "geotiff-pairs": _again("geotiffs"), "geotiff-range": _put("geotiffs", 5, "value_range", {"min": 3.0, "max": 2.0}),
+    "geotiff-revision": _put("geotiffs", 1, "geometry_revision", OTHER_REVISION), "parquet-role": _put("parquets", 0, "role", "ocean"),
+    "parquet-declared": _put("parquets", 1, "scenario", "s9"), "parquet-years": _put("parquets", 8, "year_range", [1700, 1800]),
+    "parquet-keys": _put("parquets", 1, "dataset_key", "s1-hillslope"), "parquet-overlap": _again("parquets", dataset_key="more"),
+    "parquet-revision": _put("parquets", 2, "geometry_revision", OTHER_REVISION), "geometry-scale": _put("geometries", 1, "scale", "basin"),
+    "geometry-declared": _put("geometries", 0, "scenarios", ["s1", "s2", "s3", "s9"]), "geometry-crs": _put("geometries", 0, "source_crs", "EPSG:1"),
+    "geometry-overlap": _again("geometries"), "geometry-asset-revision": _put("geometries", 1, "geometry_revision", OTHER_REVISION),
+    "artifact-location": _put("parquets", 0, "artifact", "uri", "https://a.test/else/p"), "dynamic-assets": _put("spatial_inputs", []),
+    "dynamic-geometry": _put("geometries", 1, "scenarios", ["s1", "s2"]), "precomputed-coverage": lambda c: c["geotiffs"].pop(),
+}
+
+
+def configurations() -> list[str]:
+    """A sound configuration as JSON text, and one that breaks each rule."""
+    texts = [json.dumps(sound_configuration())]
+    for change in BROKEN.values():
+        one = sound_configuration()
+        if change is None:
+            texts.append("not json @@")
+            continue
+        change(one)
+        texts.append(json.dumps(one))
+    return texts
 
 
 @query(
-    """SELECT event_id, list_extract([NULL, 'access-policy', 'scenario-variables', 'scenario-years', 'spatial-render', 'precomputed-coverage', 'artifact-location', 'geometry-overlap', 'secret-key', 'unreadable'], (user_id % 10 + 1)::INTEGER) AS violation FROM events"""
+    f"""SELECT event_id, list_extract([NULL, {', '.join(f"'{code}'" for code in BROKEN)}], (user_id % {len(BROKEN) + 1} + 1)::INTEGER) AS violation FROM events"""
 )
 def capability_rules(t):
-    kind = (F.col("user_id") % 10).cast("int")
+    """A capability per event; 500 labels make the configurations of one kind differ."""
+    kind = (F.col("user_id") % (len(BROKEN) + 1)).cast("int")
+    away = kind == 1 + list(BROKEN).index("index-location")
+    text = F.get(F.array(*[F.lit(c) for c in configurations()]), kind)
     rows = t.events.select(
-        "event_id", F.lit("both").alias("mode"), F.lit("https://a.test/base/index.json").alias("index_uri"), F.lit("c" * 64).alias("index_sha256"),
-        F.lit("https://a.test/base/").alias("durable_base_uri"),
-        F.when(kind == 9, F.lit("not json")).otherwise(configuration_text(kind)).alias("configuration"),
+        "event_id", F.lit("both").alias("mode"), F.when(away, ELSEWHERE).otherwise(F.lit("https://a.test/base/index.json")).alias("index_uri"),
+        F.lit("c" * 64).alias("index_sha256"), F.lit("https://a.test/base/").alias("durable_base_uri"),
+        F.replace(text, F.lit("@@"), (F.col("user_id") % 500).cast("string")).alias("configuration"),
     )
     return quality.capability_violations(rows).select("event_id", "violation")
 

@@ -281,23 +281,24 @@ def _pairs(outer: Column, one: str, many: str, inner: str | None = None) -> Colu
 
 
 def capability_violations(capabilities: DataFrame) -> DataFrame:
-    """DQ-07: the first configuration rule each capability breaks, or null, as ``violation``.
+    """DQ-07: ``capabilities`` with the first configuration rule each breaks, or null, as ``violation``.
 
-    ``capabilities``: mode, index_uri, index_sha256, durable_base_uri and configuration (JSON
-    text, parsed once). One configuration lies in one row, so no rule needs a shuffle.
+    ``capabilities``: mode, index_uri, index_sha256, durable_base_uri and configuration (JSON text).
+    Rules are evaluated once per distinct configuration, which many runs share: texts combine before they
+    are shuffled, and the findings meet the capabilities again by a digest. Rules about the capability's own
+    address, place and mode take what they need of a configuration from its findings.
     """
-    parsed = capabilities.withColumn("_c", F.from_json("configuration", CAPABILITY))
+    digest = [F.xxhash64("configuration").alias("_h1"), F.xxhash64(F.lit(7), "configuration").alias("_h2")]
+    parsed = capabilities.select("configuration").distinct().withColumn("_c", F.from_json("configuration", CAPABILITY))
     c = lambda name: F.col(f"_c.{name}")
     ids = lambda name, field: F.transform(c(name), lambda i: i[field])
     every = lambda name, rule: F.coalesce(F.forall(c(name), rule), F.lit(False))
     revision = c("geometry_revision")
     same_revision = lambda name: every(name, lambda i: i["geometry_revision"] == revision)
-    base = F.concat(F.regexp_replace("durable_base_uri", "/+$", ""), F.lit("/"))
     stored = lambda name: every(
-        name,
-        lambda i: i["artifact"]["uri"].startswith(base) & is_public_https(i["artifact"]["uri"])
-        & matches(i["artifact"]["sha256"], SHA256_HEX) & (i["artifact"]["bytes"] > 0),
+        name, lambda i: is_public_https(i["artifact"]["uri"]) & matches(i["artifact"]["sha256"], SHA256_HEX) & (i["artifact"]["bytes"] > 0),
     )
+    assets = ("spatial_inputs", "geotiffs", "parquets", "geometries")
     years = lambda y: (F.size(y) == 2) & (F.get(y, 0) <= F.get(y, 1)) & F.get(y, 0).between(1800, 3000) & (F.get(y, 1) <= 3000)
     # Lists that several rules read are built once, as columns.
     parsed = parsed.withColumns({
@@ -325,7 +326,6 @@ def capability_violations(capabilities: DataFrame) -> DataFrame:
         & ((s["render"]["type"] != "categorical") | s["render"]["unique_values"].isNotNull())
         & F.coalesce((F.size(s["render"]["unique_values"]).between(1, 1024)) & ~_repeats(s["render"]["unique_values"]), F.lit(True))
     )
-    dynamic, precomputed = F.col("mode").isin("dynamic", "both"), F.col("mode").isin("precomputed", "both")
     rules = [
         ("unreadable", F.col("_c").isNull() | c("scenarios").isNull() | c("variables").isNull() | c("spatial_inputs").isNull()
          | c("geotiffs").isNull() | c("parquets").isNull() | c("geometries").isNull()),
@@ -333,9 +333,9 @@ def capability_violations(capabilities: DataFrame) -> DataFrame:
         ("schema-version", ~c("schema_version").eqNullSafe(F.lit(1))),
         ("enabled-flag", c("enabled").isNull()),
         ("access-policy", ~F.coalesce(c("access_policy").isin("public", "disabled"), F.lit(False))),
-        ("index", ~c("index_uri").eqNullSafe(F.col("index_uri")) | ~c("index_sha256").eqNullSafe(F.col("index_sha256"))),
+        ("index", F.lit(False)),
         ("geometry-revision", ~matches(revision, SHA256_HEX)),
-        ("index-location", ~F.col("index_uri").startswith(base)),
+        ("index-location", F.lit(False)),
         ("variable-ids", (F.size(c("variables")) == 0) | _repeats(ids("variables", "id"))),
         ("scenario-ids", (F.size(c("scenarios")) == 0) | _repeats(scenario_ids)),
         ("scenario-variables", ~every("scenarios", lambda s: (F.size(s["variables"]) > 0) & ~_repeats(s["variables"]))),
@@ -360,15 +360,37 @@ def capability_violations(capabilities: DataFrame) -> DataFrame:
         ("geometry-crs", ~every("geometries", lambda g: g["source_crs"].rlike("^EPSG:[0-9]{4,6}$"))),
         ("geometry-overlap", _repeats(geometry_places)),
         ("geometry-asset-revision", ~same_revision("geometries")),
-        ("artifact-location", ~(stored("spatial_inputs") & stored("geotiffs") & stored("parquets") & stored("geometries"))),
-        ("dynamic-assets", dynamic & ((F.size(c("spatial_inputs")) == 0) | (F.size(c("parquets")) == 0) | (F.size(c("geometries")) == 0))),
-        ("dynamic-geometry", dynamic & beyond(needed_geometry, geometry_places)),
-        ("precomputed-coverage", precomputed & (beyond(declared, geotiff_pairs) | beyond(geotiff_pairs, declared))),
+        ("artifact-location", ~reduce(lambda a, b: a & b, [stored(name) for name in assets])),
+        ("dynamic-assets", (F.size(c("spatial_inputs")) == 0) | (F.size(c("parquets")) == 0) | (F.size(c("geometries")) == 0)),
+        ("dynamic-geometry", beyond(needed_geometry, geometry_places)),
+        ("precomputed-coverage", beyond(declared, geotiff_pairs) | beyond(geotiff_pairs, declared)),
     ]
-    first = F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(code)) for code, broken in rules])
-    return parsed.withColumn("violation", first).withColumnRenamed("_c", "parsed").drop(
-        "_scenario_ids", "_declared", "_geotiffs", "_places"
+    place = {code: i for i, (code, _) in enumerate(rules)}
+    # Rules of one mode only, and the first of the others that is broken, by its place.
+    by_mode = {code: broken for code, broken in rules if code.startswith(("dynamic-", "precomputed-"))}
+    general = F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(place[code])) for code, broken in rules if code not in by_mode], F.lit(len(rules)))
+    addresses = F.flatten(F.array(*[F.transform(c(name), lambda i: i["artifact"]["uri"]) for name in assets]))
+    found = parsed.select(
+        *digest, general.alias("_general"), *[F.coalesce(broken, F.lit(True)).alias(f"_{code}") for code, broken in by_mode.items()],
+        c("index_uri").alias("_index_uri"), c("index_sha256").alias("_index_sha"),
+        # Texts that begin alike are neighbours in order: if the least and the greatest begin with a place, all do.
+        F.array_min(addresses).alias("_least"), F.array_max(addresses).alias("_greatest"),
     )
+    base = F.concat(F.regexp_replace("durable_base_uri", "/+$", ""), F.lit("/"))
+    dynamic, precomputed = F.col("mode").isin("dynamic", "both"), F.col("mode").isin("precomputed", "both")
+    own = {
+        "index": ~F.col("_index_uri").eqNullSafe(F.col("index_uri")) | ~F.col("_index_sha").eqNullSafe(F.col("index_sha256")),
+        "index-location": ~F.col("index_uri").startswith(base),
+        "artifact-location": F.col("_least").isNotNull() & ~(F.col("_least").startswith(base) & F.col("_greatest").startswith(base)),
+        "dynamic-assets": dynamic & F.col("_dynamic-assets"), "dynamic-geometry": dynamic & F.col("_dynamic-geometry"),
+        "precomputed-coverage": precomputed & F.col("_precomputed-coverage"),
+    }
+    first = F.least(F.col("_general"), *[F.when(F.coalesce(broken, F.lit(True)), place[code]).otherwise(len(rules)) for code, broken in own.items()])
+    names = F.array(*[F.lit(code) for code, _ in rules])
+    joined = capabilities.withColumns({"_h1": digest[0], "_h2": digest[1]}).join(found, ["_h1", "_h2"], "left")
+    return joined.select(*[F.col(f"`{name}`") for name in capabilities.columns], F.get(names, F.coalesce(first, F.lit(0))).alias("violation"))
+
+
 
 
 def resolve_capabilities(capabilities: DataFrame, active: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
