@@ -356,7 +356,7 @@ def feature_rows(t):
 @query(
     """, s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 5 THEN 'thinning_' || (l_quantity::INTEGER) || '_' || l_suppkey WHEN l_linenumber > 3 THEN 'prescribed_fire' ELSE 'mixed_' || lower(l_returnflag) || '_run_' || l_suppkey END AS scenario FROM lineitem)
 SELECT l_orderkey, l_linenumber, scenario, array_to_string(list_transform(string_split(regexp_replace(scenario, '([0-9]+)_([0-9]+)', '\\1-\\2', 'g'), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label,
-  array_to_string(list_transform(string_split(scenario, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS display FROM s""",
+  CASE scenario WHEN 'prescribed_fire' THEN 'Prescribed fire (2020)' WHEN 'mixed_r_run_3' THEN 'run 3, returned' ELSE array_to_string(list_transform(string_split(scenario, '_'), lambda w: upper(w[1]) || w[2:]), ' ') END AS display FROM s""",
     "watersheds",
 )
 def labels(t):
@@ -367,10 +367,23 @@ def labels(t):
     ).otherwise(F.concat(F.lit("mixed_"), F.lower("l_returnflag"), F.lit("_run_"), key))
     return t.lineitem.select("l_orderkey", "l_linenumber", name.alias("scenario")).select(
         "l_orderkey", "l_linenumber", "scenario", X.scenario_label(F.col("scenario")).alias("label"),
-        X.file_display_name(F.concat("scenario", F.lit(".tif"))).alias("display"),
+        X.file_display_name(F.concat("scenario", F.lit(".tif")), {"prescribed_fire.tif": "Prescribed fire (2020)", "mixed_r_run_3.tif": "run 3, returned"}).alias("display"),
     )
 
 
+@query(
+    """WITH g AS (SELECT o_custkey, min(o_totalprice) - 5000 AS lo, max(o_totalprice) / CASE WHEN o_custkey % 3 = 0 THEN 1000 ELSE 1 END AS hi, CASE WHEN o_custkey % 2 = 0 THEN 'kg' ELSE 'mm' END AS unit FROM orders GROUP BY o_custkey),
+l AS (SELECT *, unit = 'kg' AND greatest(abs(lo), abs(hi)) >= 1000 AS large FROM g)
+SELECT o_custkey, round(CASE WHEN large THEN lo / 1000 ELSE lo END, 6) AS low, round(CASE WHEN large THEN hi / 1000 ELSE hi END, 6) AS high, CASE WHEN large THEN 't' ELSE unit END AS unit FROM l"""
+)
+def legend_ranges(t):
+    ranges = t.orders.groupBy("o_custkey").agg((F.min("o_totalprice") - 5000).alias("lo"), F.max("o_totalprice").alias("hi"))
+    high = F.when(F.col("o_custkey") % 3 == 0, F.col("hi") / 1000).otherwise(F.col("hi"))
+    unit = F.when(F.col("o_custkey") % 2 == 0, "kg").otherwise(F.lit("mm"))
+    scaled = ranges.select("o_custkey", N.legend_range(F.col("lo"), high, unit).alias("_r"))
+    return scaled.select("o_custkey", F.round("_r.low", 6).alias("low"), F.round("_r.high", 6).alias("high"), "_r.unit")
+
+
 REDACT_SQL = r"""
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(https?://)[^/@\s]+@', '\1[REDACTED]@', 'g'),
   '(?i)\b(password|passwd|token|secret|api[_-]?key)\s*[:=]\s*(?:"[^"]*"|''[^'']*''|\S+)', '\1=[REDACTED]', 'g'),

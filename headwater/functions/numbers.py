@@ -87,6 +87,13 @@ def mass_unit(kilograms: Column) -> Column:
     return F.when(F.abs(kilograms) >= 1000, F.lit("t")).otherwise(F.lit("kg"))
 
 
+def legend_range(low: Column, high: Column, unit: Column) -> Column:
+    """FN-N06: a legend's range and unit, (low, high, unit): kilograms to tonnes if either end reaches 1000 kg."""
+    large = (unit == "kg") & (F.greatest(F.abs(low), F.abs(high)) >= 1000)
+    scaled = lambda end: F.when(large, end / F.lit(1000.0)).otherwise(end)
+    return F.struct(scaled(low).alias("low"), scaled(high).alias("high"), F.when(large, "t").otherwise(unit).alias("unit"))
+
+
 def _exponent_text(value: Column) -> Column:
     # "%.2e" pads the exponent to two digits, the browser does not.
     return F.regexp_replace(F.format_string("%.2e", value), r"e([+-])0(\d)$", "e$1$2")

@@ -42,12 +42,17 @@ def scenario_label(scenario: Column) -> Column:
     )
 
 
-def file_display_name(filename: Column) -> Column:
-    """FN-S03: extension dropped, underscores to spaces, a capital after whatever is no letter."""
+def file_display_name(filename: Column, registry: dict[str, str] | None = None) -> Column:
+    """FN-S03: the name a registry gives the file; else the extension dropped, underscores to spaces, a capital
+    after whatever is no letter."""
     plain = F.regexp_replace(F.regexp_replace(filename, r"\.tif$", ""), "_", " ")
     # A mark and a blank after each such character, so that the next letter begins a word.
     marked = F.regexp_replace(plain, r"([^\p{L}\s])", "$1\u0001 ")
-    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+    titled = F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+    if not registry:
+        return titled
+    named = F.create_map(*[F.lit(text) for pair in registry.items() for text in pair])
+    return F.coalesce(F.try_element_at(named, filename), titled)
 
 
 def semicolon_list(names: Column, fallback: Column) -> Column:
