@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows and bytes of one Arrow batch. Texts are long; a batch of whole texts must stay small in a Python worker.
+# Rows of one Arrow batch, and bytes where they are bound too. Texts are long; a batch of whole texts must stay small in a Python worker.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4 << 20
 
 _SHIPPED: set[str] = set()
@@ -21,7 +21,6 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, and keep Arrow batches of texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -37,6 +36,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes from now on, however long the texts of their rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor and the driver see.
 

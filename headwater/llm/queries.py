@@ -118,7 +118,26 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs, exact_dedup.older_half(docs))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    sets AS (SELECT doc_id, list_distinct(list_transform(range(greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i + 1 : i + 4], ' '))) AS grams FROM w WHERE len(w) > 0),
+    members AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+    pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.gram = b.gram AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ),
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reached(doc_id, root) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION
+        SELECT links.b, reached.root FROM reached JOIN links ON reached.doc_id = links.a WHERE reached.root < links.b
+    ),
+    least AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(len(grams), 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN least ON least.doc_id = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id
+""")
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
