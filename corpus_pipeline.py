@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from headwater.llm import exact_dedup, near_dedup, paragraphs, pattern_packing, quality
-from headwater.llm.common import staged
+from headwater.llm.common import bound_batches, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has too."""
+    """Documents without the passages that an earlier one has too; one that loses every word goes."""
+    bound_batches(spark)
     return paragraphs.drop_repeated_passages(docs)
 
 
