@@ -165,58 +165,110 @@ def test_identity_changes(spark):
 
 # --- document digests ------------------------------------------------------------------------
 
-H = lambda two: two * 32
-ASSET = "https://artifacts.example.test/rhessys/example-north/"
-ART = lambda uri, digest, size, kind: {"uri": uri, "sha256": digest, "bytes": size, "media_type": kind, "verified": True}
-# Five documents and the digests their canonical subjects must have.
-DOCUMENTS = {
-    "artifact": ART("https://artifacts.example.test/releases/example/artifact.json", H("11"), 128, "application/json"),
-    "run": {
-        "collection_key": "example-collection", "watershed_key": "example-north", "runid": "illustrative/north", "display_name": "Example North",
-        "aliases": ["legacy/example-north", "old/example-north"],
-        "artifact_fingerprints": {r: H(d) for r, d in zip(
-            ["metadata", "boundary", "subcatchments", "channels", "hillslopes", "soils", "landuse"], ["10", "11", "12", "13", "14", "15", "16"])},
-        "transformation_lineage_fingerprint": H("17"), "rhessys_index_fingerprint": H("18"),
-        "expected": {"watersheds": 1, "subcatchments": 4, "channels": 3, "bounds": [-117.2, 46.1, -116.8, 46.4]},
-        "capability_fingerprint": "4962ff8964a66b17870c798d97608393aa523572512eb8d82f4f18720197ad75",
-    },
-    "capability": {
-        "schema_version": 1, "collection_key": "example-collection", "watershed_key": "example-north", "runid": "illustrative/north", "mode": "both",
-        "durable_base_uri": ASSET, "geometry_revision": H("88"), "scenarios": [{"key": "burned", "variables": ["streamflow"]}],
-        "spatial_inputs": [{"role": "worldfile", "artifact": ART(ASSET + "worldfile.txt", H("99"), 256, "text/plain"), "required_for_activation": True}],
-        "parquets": [{
-            "role": "basin", "artifact": ART(ASSET + "basin.parquet", H("aa"), 8192, "application/vnd.apache.parquet"), "spatial_id_field": "basin_id",
-            "columns": [{"name": "basin_id", "physical_type": "INT64"}, {"name": "year", "physical_type": "INT32"}, {"name": "streamflow", "physical_type": "DOUBLE"}],
-            "variables": [{"name": "streamflow", "units": "mm"}], "year_range": [1980, 2020], "required_for_activation": True,
-        }],
-        "geotiffs": [{
-            "artifact": ART(ASSET + "burned-precip.tif", H("bb"), 16384, "image/tiff"), "scenario": "burned", "variable": "streamflow", "crs": "EPSG:4326",
-            "bounds": [-117.2, 46.1, -116.8, 46.4], "dimensions": [512, 512], "bands": 1, "nodata": -9999, "required_for_activation": False,
-        }],
-    },
-    "watershed-domain": {"runs": [
-        {"collection_key": "example-collection", "watershed_key": "example-south", "runid": "illustrative/south", "run_fingerprint": H("91"), "capability_fingerprint": None},
-        {"collection_key": "example-collection", "watershed_key": "example-north", "runid": "illustrative/north",
-         "run_fingerprint": "325146e772f8c2f5ed0ae749b5fa40c9d8ead914376b0bac71335f7626376184",
+# Fixed values, in full: five documents and the digests their canonical subjects must have.
+DOCUMENTS = {"artifact": {"uri": "https://artifacts.example.test/releases/example/artifact.json",
+              "sha256": "1111111111111111111111111111111111111111111111111111111111111111",
+              "bytes": 128,
+              "media_type": "application/json",
+              "verified": True},
+ "run": {"collection_key": "example-collection",
+         "watershed_key": "example-north",
+         "runid": "illustrative/north",
+         "display_name": "Example North",
+         "aliases": ["legacy/example-north", "old/example-north"],
+         "artifact_fingerprints": {"metadata": "1010101010101010101010101010101010101010101010101010101010101010",
+                                   "boundary": "1111111111111111111111111111111111111111111111111111111111111111",
+                                   "subcatchments": "1212121212121212121212121212121212121212121212121212121212121212",
+                                   "channels": "1313131313131313131313131313131313131313131313131313131313131313",
+                                   "hillslopes": "1414141414141414141414141414141414141414141414141414141414141414",
+                                   "soils": "1515151515151515151515151515151515151515151515151515151515151515",
+                                   "landuse": "1616161616161616161616161616161616161616161616161616161616161616"},
+         "transformation_lineage_fingerprint": "1717171717171717171717171717171717171717171717171717171717171717",
+         "rhessys_index_fingerprint": "1818181818181818181818181818181818181818181818181818181818181818",
+         "expected": {"watersheds": 1, "subcatchments": 4, "channels": 3, "bounds": [-117.2, 46.1, -116.8, 46.4]},
          "capability_fingerprint": "4962ff8964a66b17870c798d97608393aa523572512eb8d82f4f18720197ad75"},
-    ]},
-    "release": {
-        "schema_version": 1, "release_id": "2026-07-17.1", "created_at": "2026-07-17T16:05:00Z",
-        "compatibility": {
-            "schema_version": 1, "data_contract": 1, "identity_contract": 1, "artifact_contract": 1,
-            "supported_migrations": {"minimum": "watershed.0001_initial", "maximum": "watershed.0006_watershed_utility_metadata"},
-            "materializer": {"image_digest": "sha256:" + H("22"), "git_commit": "3" * 40}, "toolchain": {"postgres": "16.3", "postgis": "3.4.2", "gdal": "3.8.5"},
-        },
-        "collections": [{
-            "collection_key": "example-collection", "display_name": "Illustrative Collection",
-            "source": {"kind": "batch", "source_revision": "illustrative-2026-07-17", "authentication": {"secret_ref": "EXAMPLE_RELEASE_TOKEN"}},
-            "member_index": ART("https://artifacts.example.test/releases/2026-07-17.1/example-collection.json", H("30"), 4096, "application/json"),
-            "expected_member_count": 2, "watershed_keys": ["example-north", "example-south"],
-        }],
-        "expected_removals": [{"watershed_key": "retired-example", "reason": "Illustrative exact removal proving wildcard-free syntax.", "aliases": ["legacy/retired-example"]}],
-        "lineage": [{"event_key": "retire-old-example", "kind": "removal", "predecessors": ["retired-example"], "successors": [], "reviewed": True}],
-    },
-}
+ "capability": {"schema_version": 1,
+                "collection_key": "example-collection",
+                "watershed_key": "example-north",
+                "runid": "illustrative/north",
+                "mode": "both",
+                "durable_base_uri": "https://artifacts.example.test/rhessys/example-north/",
+                "geometry_revision": "8888888888888888888888888888888888888888888888888888888888888888",
+                "scenarios": [{"key": "burned", "variables": ["streamflow"]}],
+                "spatial_inputs": [{"role": "worldfile",
+                                    "artifact": {"uri": "https://artifacts.example.test/rhessys/example-north/worldfile.txt",
+                                                 "sha256": "9999999999999999999999999999999999999999999999999999999999999999",
+                                                 "bytes": 256,
+                                                 "media_type": "text/plain",
+                                                 "verified": True},
+                                    "required_for_activation": True}],
+                "parquets": [{"role": "basin",
+                              "artifact": {"uri": "https://artifacts.example.test/rhessys/example-north/basin.parquet",
+                                           "sha256": "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+                                           "bytes": 8192,
+                                           "media_type": "application/vnd.apache.parquet",
+                                           "verified": True},
+                              "spatial_id_field": "basin_id",
+                              "columns": [{"name": "basin_id", "physical_type": "INT64"},
+                                          {"name": "year", "physical_type": "INT32"},
+                                          {"name": "streamflow", "physical_type": "DOUBLE"}],
+                              "variables": [{"name": "streamflow", "units": "mm"}],
+                              "year_range": [1980, 2020],
+                              "required_for_activation": True}],
+                "geotiffs": [{"artifact": {"uri": "https://artifacts.example.test/rhessys/example-north/burned-precip.tif",
+                                           "sha256": "bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb",
+                                           "bytes": 16384,
+                                           "media_type": "image/tiff",
+                                           "verified": True},
+                              "scenario": "burned",
+                              "variable": "streamflow",
+                              "crs": "EPSG:4326",
+                              "bounds": [-117.2, 46.1, -116.8, 46.4],
+                              "dimensions": [512, 512],
+                              "bands": 1,
+                              "nodata": -9999,
+                              "required_for_activation": False}]},
+ "watershed-domain": {"runs": [{"collection_key": "example-collection",
+                                "watershed_key": "example-south",
+                                "runid": "illustrative/south",
+                                "run_fingerprint": "9191919191919191919191919191919191919191919191919191919191919191",
+                                "capability_fingerprint": None},
+                               {"collection_key": "example-collection",
+                                "watershed_key": "example-north",
+                                "runid": "illustrative/north",
+                                "run_fingerprint": "325146e772f8c2f5ed0ae749b5fa40c9d8ead914376b0bac71335f7626376184",
+                                "capability_fingerprint": "4962ff8964a66b17870c798d97608393aa523572512eb8d82f4f18720197ad75"}]},
+ "release": {"schema_version": 1,
+             "release_id": "2026-07-17.1",
+             "created_at": "2026-07-17T16:05:00Z",
+             "compatibility": {"schema_version": 1,
+                               "data_contract": 1,
+                               "identity_contract": 1,
+                               "artifact_contract": 1,
+                               "supported_migrations": {"minimum": "watershed.0001_initial", "maximum": "watershed.0006_watershed_utility_metadata"},
+                               "materializer": {"image_digest": "sha256:2222222222222222222222222222222222222222222222222222222222222222",
+                                                "git_commit": "3333333333333333333333333333333333333333"},
+                               "toolchain": {"postgres": "16.3", "postgis": "3.4.2", "gdal": "3.8.5"}},
+             "collections": [{"collection_key": "example-collection",
+                              "display_name": "Illustrative Collection",
+                              "source": {"kind": "batch",
+                                         "source_revision": "illustrative-2026-07-17",
+                                         "authentication": {"secret_ref": "EXAMPLE_RELEASE_TOKEN"}},
+                              "member_index": {"uri": "https://artifacts.example.test/releases/2026-07-17.1/example-collection.json",
+                                               "sha256": "3030303030303030303030303030303030303030303030303030303030303030",
+                                               "bytes": 4096,
+                                               "media_type": "application/json",
+                                               "verified": True},
+                              "expected_member_count": 2,
+                              "watershed_keys": ["example-north", "example-south"]}],
+             "expected_removals": [{"watershed_key": "retired-example",
+                                    "reason": "Illustrative exact removal proving wildcard-free syntax.",
+                                    "aliases": ["legacy/retired-example"]}],
+             "lineage": [{"event_key": "retire-old-example",
+                          "kind": "removal",
+                          "predecessors": ["retired-example"],
+                          "successors": [],
+                          "reviewed": True}]}}
 GOLDEN = {
     "artifact": "bd6c0af1d71b05e2edaf8d7f01cd8b7d76b2bfaff44d22c028942c6995d1828a",
     "run": "325146e772f8c2f5ed0ae749b5fa40c9d8ead914376b0bac71335f7626376184",
