@@ -35,7 +35,7 @@ def resolve_runs(
     ).agg(F.min("runid").alias("_by_identity"))
     direct = watersheds.select("runid", F.col("runid").alias("_direct"))
     states = by_identity.join(of_identity, "identity_id", "full_outer")
-    joined = K.join_parents(asked.join(by_alias, "runid", "left"), states, ["identity_id"], ["runid"]).join(direct, "runid", "left")
+    joined = K.join_large_parents(asked.join(by_alias, "runid", "left"), states, ["identity_id"], ["runid"]).join(direct, "runid", "left")
     known = F.col("identity_id").isNotNull()
     retired = known & (F.col("status") == "retired")
     found = F.when(known & ~retired, F.col("_by_identity")).when(~known, F.col("_direct"))
@@ -146,7 +146,7 @@ def switch_aliases(aliases: DataFrame, switches: DataFrame) -> DataFrame:
     )
     valid = checked.where(~F.col("_conflict"))
     moved = valid.select("identity_id", F.col("runid").alias("_new"))
-    kept = K.join_parents(aliases, moved, ["identity_id"], ["runid"]).select(
+    kept = K.join_large_parents(aliases, moved, ["identity_id"], ["runid"]).select(
         "runid", "identity_id",
         F.when(F.col("_new").isNull(), F.col("is_current")).otherwise(F.col("runid") == F.col("_new")).alias("is_current"),
         F.when(F.col("_new").isNull(), F.lit("kept"))
@@ -200,7 +200,7 @@ def check_assignments(
 def propagate_identity(children: DataFrame, watersheds: DataFrame) -> DataFrame:
     """REL-09: children take the identity of their watershed."""
     parent = watersheds.select(F.col("runid").alias("watershed_id"), F.col("logical_id").alias("_parent"))
-    return K.join_parents(children, parent, ["watershed_id"], children.columns).withColumn(
+    return K.join_large_parents(children, parent, ["watershed_id"], children.columns).withColumn(
         "logical_id", F.coalesce("_parent", "logical_id")
     ).drop("_parent")
 

@@ -17,7 +17,8 @@ def join_parents(children: DataFrame, parents: DataFrame, on: list[str], child:
     """Children with the columns of their parent, safe where one parent has a large share of all children.
 
     Children are dealt by a hash of their own key ``child`` over ``SALTS`` parts, and the parents, narrow
-    rows, are repeated for each part. ``on`` columns come first, as in a join by name.
+    rows, are repeated for each part. ``on`` columns come first, as in a join by name. For few parents, as groups
+    are: Spark's size estimate does not see the repeats, and would broadcast many.
     """
     dealt = children.withColumn("_salt", F.pmod(F.xxhash64(*child), F.lit(SALTS)).cast("int"))
     repeated = parents.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -29,21 +30,22 @@ HOT_SHARE = 1000
 
 
 def join_large_parents(children: DataFrame, parents: DataFrame, on: list[str], child: list[str], how: str = "left") -> DataFrame:
-    """As ``join_parents``, for parents as large as the children: only those of hot keys are repeated.
+    """As ``join_parents``, for parents of any number: only those of hot keys are repeated.
 
-    Hot keys are found by counting the children per key, combined before the shuffle.
+    Hot keys are found by counting the children per key, combined before the shuffle. Children with a null key, which
+    have no parent, are dealt as well. Both sides are sorted and merged: their size on disk says little about
+    their size in memory, so neither is ever sent whole through the driver.
     """
     counts = children.groupBy(*on).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where(F.col("count") * HOT_SHARE > total).where(F.col("count") > SALTS).drop("count").collect()
-    if not hot:
-        return children.join(parents, on, how)
-    marks = F.broadcast(children.sparkSession.createDataFrame(hot, counts.drop("count").schema).withColumn("_hot", F.lit(True)))
+    total = counts.agg(F.sum("count")).scalar()
+    hot = counts.where((F.col("count") > SALTS) & (F.col("count") * HOT_SHARE > total))
+    marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     spread = F.pmod(F.xxhash64(*child), F.lit(SALTS)).cast("int")
-    dealt = children.join(marks, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    dealt = children.join(marks, on, "left").withColumn("_salt", F.when(F.col("_hot") | ~known, spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = parents.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def duplicate_summary(df: DataFrame, key: list[str], skip_null_first: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions.canonical import merge_attributes
 from headwater.operators.ingest import upsert
-from headwater.operators.keys import join_parents, strictly_increasing
+from headwater.operators.keys import join_large_parents, strictly_increasing
 
 # Change channels in canonical order, and the removal thresholds.
 CHANNELS = ["identity", "metadata", "geometry", "children", "capability"]
@@ -255,8 +255,8 @@ def apply_to_children(children: DataFrame, staged: DataFrame, plan: DataFrame, r
         (F.col("operation") == "change") & F.array_contains("change_channels", "children")
     )
     # Dealt by all columns of a child: a hot watershed is spread over tasks.
-    kept = join_parents(children, actions, ["watershed_key"], children.columns, "inner").where((F.col("operation") != "remove") & ~replaced)
-    fresh = join_parents(
+    kept = join_large_parents(children, actions, ["watershed_key"], children.columns, "inner").where((F.col("operation") != "remove") & ~replaced)
+    fresh = join_large_parents(
         staged, actions.where(replaced).select("watershed_key", "_runid"), ["watershed_key"], staged.columns, "inner"
     )
     rename = lambda df: df.withColumn(run, F.coalesce("_runid", run)).select(*children.columns)
@@ -276,7 +276,7 @@ def apply_to_identities(identities: DataFrame, plan: DataFrame) -> DataFrame:
 def apply_to_aliases(aliases: DataFrame, plan: DataFrame) -> DataFrame:
     """REL-07: the target run becomes the current alias; removed identities keep none."""
     moved = _actions(plan).select(F.col("watershed_key").alias("identity_id"), "operation", "_runid")
-    joined = join_parents(aliases, moved, ["identity_id"], ["runid"]).select(
+    joined = join_large_parents(aliases, moved, ["identity_id"], ["runid"]).select(
         "runid", "identity_id",
         F.when(F.col("operation").isNull(), F.col("is_current"))
         .otherwise(F.coalesce(F.col("runid") == F.col("_runid"), F.lit(False))).alias("is_current"),

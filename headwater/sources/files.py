@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from headwater.functions import geometry as G
 from headwater.functions.text import normalise_runid
 from headwater.operators.ingest import only_requested
-from headwater.operators.keys import join_parents
+from headwater.operators.keys import join_large_parents
 from headwater.sources.geojson import SPLIT_BYTES, feature_texts
 
 # File of each role below a run's folder.
@@ -130,7 +130,7 @@ def write_run_collections(
     Opening and closing lines are rows of their own.
     """
     first = df.groupBy(run).agg(F.min(F.struct(*order)).alias("_first"))
-    body = join_parents(df, first, [run], order, "inner").select(
+    body = join_large_parents(df, first, [run], order, "inner").select(
         run, F.lit(1).alias("_place"), *order,
         F.concat(
             F.when(F.struct(*order) == F.col("_first"), F.lit("")).otherwise(F.lit(",")),

@@ -307,3 +307,22 @@ def test_join_large_parents(spark):
     assert keys.join_large_parents(left.limit(0), right, ["k"], ["c"]).count() == 0
     plain = keys.join_large_parents(left.where("k > 1"), right, ["k"], ["c"], "inner")
     assert plain.count() == 300
+
+
+def test_large_parents_are_not_broadcast(spark):
+    children = spark.createDataFrame([("hot", i) for i in range(400)] + [(None, i) for i in range(40)] + [(f"k{i}", i) for i in range(9)], "k string, n int")
+    parents = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3), ("x", 4)], "k string, p int")
+    joined = keys.join_large_parents(children, parents, ["k"], ["n"])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString() + joined._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [k" in plan and "strategy=merge" in plan
+    got = {(r.k, r.p): 0 for r in joined.collect()}
+    assert joined.count() == 449 and {k for k in got if k[1]} == {("hot", 1), ("k1", 2)}
+    assert keys.join_large_parents(children, parents, ["k"], ["n"], "inner").count() == 401
+
+
+def test_propagated_identities_hold_no_broadcast_of_parents(spark):
+    children = spark.range(1000).selectExpr("cast(id % 7 as string) watershed_id", "'own' logical_id", "id weppid")
+    watersheds = spark.range(3).selectExpr("cast(id as string) runid", "concat('w-', id) logical_id")
+    found = identity.propagate_identity(children, watersheds)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin [watershed_id") == 1
+    assert {(r.watershed_id, r.logical_id) for r in found.collect()} == {(str(i), f"w-{i}" if i < 3 else "own") for i in range(7)}
