@@ -282,7 +282,8 @@ def simplified_mesh(t):
     )
     cells = t.part.select(F.lit(0).alias("mesh"), "p_partkey", F.array(F.array(ring)).alias("geometry"))
     thin = outlines.simplified_mesh(cells, ["mesh"], ["p_partkey"], 0.001)
-    both = thin.join(cells.select("p_partkey", F.size(G.points(F.col("geometry"))).alias("points_before")), "p_partkey")
+    before = cells.select("p_partkey", F.size(G.points(F.col("geometry"))).alias("points_before"))
+    both = thin.join(before.hint("merge"), "p_partkey")
     return both.select(
         "p_partkey", "points_before", F.size(G.points(F.col("geometry"))).alias("points_after"), F.round(G.area(F.col("geometry")), 9).alias("area"))
 

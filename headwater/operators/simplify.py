@@ -3,7 +3,8 @@
 Rings are cut at junctions, the points where more than two borders meet. An arc between junctions is thinned
 by the distance of its points from the chord, always in the same direction, so every ring that runs along a border
 gets the same points of it: neighbours neither part nor overlap. Junctions stay. Points are found by an equi-join on
-their coordinates; a mesh of any size is dealt over all tasks, and geometries travel once.
+their coordinates; a mesh of any size is dealt over all tasks, and geometries travel once. The joins are merged by
+hint: points are made from few columns, so their size is estimated far too low, and they would be broadcast.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def junction_numbers(features: DataFrame, mesh: list[str], key: list[str]) -> Da
     )
     degree = beside.groupBy(*mesh, "_p").agg(F.size(F.collect_set("_beside")).alias("_degree")).where("_degree > 2").drop("_degree")
     own = walked.select(*mesh, *key, (F.col("_start") + F.col("_i")).alias("_number"), "_p")
-    return own.join(degree, [*mesh, "_p"]).groupBy(*mesh, *key).agg(F.sort_array(F.collect_list(F.col("_number").cast("long"))).alias("junctions"))
+    return own.join(degree.hint("merge"), [*mesh, "_p"]).groupBy(*mesh, *key).agg(F.sort_array(F.collect_list(F.col("_number").cast("long"))).alias("junctions"))
 
 
 def _thinner(names: list[str], tolerance: float):
@@ -61,5 +62,5 @@ def simplified_mesh(features: DataFrame, mesh: list[str], key: list[str], tolera
     """
     marks = junction_numbers(features, mesh, key)
     names = features.columns
-    joined = features.join(marks, [*mesh, *key], "left").select(*names, F.coalesce("junctions", F.array().cast("array<bigint>")).alias("_junctions"))
+    joined = features.join(marks.hint("merge"), [*mesh, *key], "left").select(*names, F.coalesce("junctions", F.array().cast("array<bigint>")).alias("_junctions"))
     return joined.mapInArrow(_thinner(names, tolerance), features.schema)

@@ -81,3 +81,10 @@ def test_a_ring_alone(spark):
     assert 8 < len(got[1][0][0]) < 60 and got[1][0][0][0] == got[1][0][0][-1]
     assert got[3] is None and got[4] == [] and got[6] == [[]]
     assert len(got[2][0][0]) == 4 == len(got[5][1][0]) and len(got[5][0]) == 2 and len(got[5][0][1]) < 60
+
+
+def test_points_are_never_broadcast(spark):
+    cells = spark.range(50).selectExpr("0 mesh", "id k", "array(array(transform(sequence(0, 4), i -> struct(double(id + (i + 1) % 4 div 2) x, double((i % 4) div 2) y)))) geometry")
+    out = simplify.simplified_mesh(cells, ["mesh"], ["k"], 0.01)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {r.k for r in out.collect()} == set(range(50))
