@@ -79,15 +79,23 @@ def choropleth(rap: DataFrame, hillslopes: DataFrame, bands: int | list[int], ye
     return weighted.groupBy("wepp_id").agg(*parts).orderBy("wepp_id")
 
 
-def _spine(keys: DataFrame) -> DataFrame:
-    return keys.withColumn("year", F.explode(F.sequence(F.lit(SPINE[0]), F.lit(SPINE[1]))))
+def _missing(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of ``rows`` with each year of the spine that they have no row of.
+
+    The years seen are the bits of one number per key, and the missing ones are written out after the grouping: no
+    grouping sees more rows than ``rows`` has, and blank years are never shuffled.
+    """
+    seen = F.when(F.col("year").between(*SPINE), F.expr(f"shiftleft(1L, int(year) - {SPINE[0]})"))
+    years = rows.select(*keys, seen.alias("_seen")).groupBy(*keys).agg(F.coalesce(F.bit_or("_seen"), F.lit(0)).cast("long").alias("_seen"))
+    missing = F.expr(f"filter(sequence({SPINE[0]}, {SPINE[1]}), y -> getbit(_seen, y - {SPINE[0]}) = 0)")
+    return years.select(*keys, F.explode(missing).alias("year"))
 
 
 def hillslope_series(rap: DataFrame) -> DataFrame:
     """AGG-04 for every hillslope: yearly shrub, tree and coverage sums on the fixed spine.
 
-    Years without rows are 0 and years off the spine are dropped. Spine rows of zeros are
-    added to the rows before the one grouping, so no join is needed.
+    Years without rows are 0 and years off the spine are dropped. Years of zeros are added to the sums after the
+    grouping, so no join is needed.
     """
     rows, _ = _filtered(rap, [SHRUB, TREE])
     value = finite_or(F.col("value"))
@@ -96,14 +104,8 @@ def hillslope_series(rap: DataFrame) -> DataFrame:
         rows.where(F.col("year").between(*SPINE))
         .groupBy("topaz_id", "year").agg(F.sum(pick(SHRUB)).alias("shrub"), F.sum(pick(TREE)).alias("tree"))
     )
-    zeros = _spine(rows.select("topaz_id").distinct()).select(
-        "topaz_id", "year", F.lit(0.0).alias("shrub"), F.lit(0.0).alias("tree")
-    )
-    return (
-        measured.unionByName(zeros).groupBy("topaz_id", "year")
-        .agg(F.sum("shrub").alias("shrub"), F.sum("tree").alias("tree"))
-        .withColumn("coverage", F.col("shrub") + F.col("tree"))
-    )
+    zeros = _missing(rows, ["topaz_id"]).select("topaz_id", "year", F.lit(0.0).alias("shrub"), F.lit(0.0).alias("tree"))
+    return measured.unionByName(zeros).withColumn("coverage", F.col("shrub") + F.col("tree"))
 
 
 def one_hillslope_series(rap: DataFrame, topaz_id: int) -> DataFrame:
@@ -129,10 +131,6 @@ def chart_fill(series: DataFrame, keys: list[str], position: str, year: int | No
             *keys, F.lit(year).alias("year"), *flat
         )
     latest = series.select(*keys, "year", F.col(position).cast("long").alias("_at"), point.alias("_point"))
-    blank = _spine(series.select(*keys).distinct()).select(
-        *keys, "year", F.lit(None).cast("long").alias("_at"), F.lit(None).alias("_point")
-    )
-    return (
-        latest.unionByName(blank).groupBy(*keys, "year").agg(F.max_by("_point", "_at").alias("_point"))
-        .withColumn("_point", F.coalesce("_point", zero)).select(*keys, "year", *flat)
-    )
+    found = latest.groupBy(*keys, "year").agg(F.max_by("_point", "_at").alias("_point"))
+    blank = _missing(series, keys).select(*keys, "year", zero.alias("_point"))
+    return found.withColumn("_point", F.coalesce("_point", zero)).unionByName(blank).select(*keys, "year", *flat)

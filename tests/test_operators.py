@@ -328,6 +328,16 @@ def test_propagated_identities_hold_no_broadcast_of_parents(spark):
     assert {(r.watershed_id, r.logical_id) for r in found.collect()} == {(str(i), f"w-{i}" if i < 3 else "own") for i in range(7)}
 
 
+def test_years_of_the_spine_are_not_grouped(spark):
+    rap = spark.createDataFrame([(1, 1990, 5, 2.0), (1, 1990, 6, 3.0), (2, 1950, 5, 1.0), (None, 2023, 6, 4.0), (3, 1990, 1, 9.0)], "topaz_id int, year int, band int, value double")
+    series = vegetation.hillslope_series(rap)
+    plan = series._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Union")]  # nothing groups the blank years
+    rows = {(r.topaz_id, r.year): (r.shrub, r.tree, r.coverage) for r in series.collect()}
+    assert len(rows) == series.count() == 3 * 38 and rows[(1, 1990)] == (2.0, 3.0, 5.0) and rows[(None, 2023)] == (0.0, 4.0, 4.0)
+    assert sum(v[2] for v in rows.values()) == 9.0
+
+
 def test_map_styles_keep_hillslopes_and_years_without_values(spark, tmp_path):
     from headwater.catalog import QUERIES
 
