@@ -15,35 +15,86 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions import geometry as G
-from headwater.operators.keys import join_parents
 from headwater.session import checkpoint
 
 TOLERANCE = 1e-11  # degrees, a micrometre: what reaches no deeper than this touches the border
 EDGES_PER_BAND, MOST_BANDS = 4, 512
+TOGETHER = 500_000  # pairs of numbers compared at once, at most twice as many
 _SIDES = ["minx", "miny", "maxx", "maxy"]
 _ENDS = ["ax", "ay", "bx", "by"]  # named as in geometry.edges
 
 
-def _interior_point(polygon: Column) -> Column:
-    """A point inside: halfway between the first two crossings of a level between the two lowest vertices.
+def parts_of(geometry: pa.Array) -> pa.Array:
+    """Per multipolygon a row for each polygon with points: its number, how many there are, its box and a point inside.
 
-    Null for a polygon without area on that level.
+    The point lies halfway between the first two crossings of a level between the two lowest vertices; it is null for a
+    polygon without area on that level. A geometry without points, or with coordinates that are missing, not
+    finite or outside the world limits, has no rows.
     """
-    def on_level(edges, level):
-        spans = F.filter(edges, lambda e: (e["ay"] > level) != (e["by"] > level))
-        xs = F.array_sort(F.transform(spans, lambda e: e["ax"] + (level - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
-        middle = G._bound(xs, lambda found: (F.get(found, 0) + F.get(found, 1)) / 2)
-        return F.struct(middle.alias("px"), level.alias("py"))
-
-    def of(edges):
-        levels = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["ay"])))
-        return G._bound(G._bound(levels, lambda found: (F.get(found, 0) + F.get(found, 1)) / 2), lambda level: on_level(edges, level))
-
-    return G._bound(G.edges(F.array(polygon)), of)
+    lengths = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = lambda counts: np.repeat(np.arange(len(counts)), counts)
+    nulls = lambda values: values.is_null().to_numpy(zero_copy_only=False)
+    polygons = geometry.flatten()
+    rings = polygons.flatten()
+    points = rings.flatten()
+    x, y = (pc.cast(pc.struct_field(points, axis), pa.float64()).to_numpy(zero_copy_only=False) for axis in "xy")
+    row_of_polygon, polygon_of_ring, ring_of_point = numbers(lengths(geometry)), numbers(lengths(polygons)), numbers(lengths(rings))
+    polygon_of_point = polygon_of_ring[ring_of_point]
+    bad = np.zeros(len(geometry), bool)
+    bad[row_of_polygon[nulls(polygons)]] = True
+    bad[row_of_polygon[polygon_of_ring[nulls(rings)]]] = True
+    bad[row_of_polygon[polygon_of_point[~((np.abs(x) <= 180) & (np.abs(y) <= 90))]]] = True
+    sizes = np.bincount(polygon_of_point, minlength=len(polygons))
+    kept = np.flatnonzero((sizes > 0) & ~bad[row_of_polygon])
+    low = lambda values, at, of: np.minimum.reduceat(values[at], np.flatnonzero(np.append(True, np.diff(of[at]) != 0))) if len(at) else values[at]
+    inside = np.flatnonzero(~bad[row_of_polygon[polygon_of_point]])
+    box = [low(x, inside, polygon_of_point), low(y, inside, polygon_of_point), -low(-x, inside, polygon_of_point), -low(-y, inside, polygon_of_point)]
+
+    first = inside[np.append(ring_of_point[1:] == ring_of_point[:-1], False)[inside]] if len(inside) else inside
+    of = polygon_of_point[first]  # ascending, as all numbers here
+    level = np.full(len(polygons), np.nan)
+    if len(first):
+        lowest = np.full(len(polygons), np.inf)
+        np.minimum.at(lowest, of, y[first])
+        higher, second = y[first] > lowest[of], np.full(len(polygons), np.inf)
+        np.minimum.at(second, of[higher], y[first][higher])
+        level = np.where(np.isfinite(second), (lowest + second) / 2, np.nan)
+    known = np.isfinite(level[of])
+    first, of = first[known], of[known]
+    spans = (y[first] > level[of]) != (y[first + 1] > level[of])
+    first, of = first[spans], of[spans]
+    crossing = x[first] + (level[of] - y[first]) * (x[first + 1] - x[first]) / (y[first + 1] - y[first])
+    order = np.lexsort((crossing, of))
+    crossing, of = crossing[order], of[order]
+    one = np.flatnonzero((np.append(True, np.diff(of) != 0) if len(of) else np.zeros(0, bool)) & np.append(of[1:] == of[:-1], False)[: len(of)])
+    middle = np.full(len(polygons), np.nan)
+    middle[of[one]] = (crossing[one] + crossing[one + 1]) / 2
+
+    rows = row_of_polygon[kept]
+    counts = np.bincount(rows, minlength=len(geometry))
+    starts = np.append(0, np.cumsum(lengths(geometry)))
+    maybe = lambda values: pa.array(values, pa.float64(), mask=np.isnan(values))
+    fields = {
+        "_part": pa.array(kept - starts[rows], pa.int32()), "_of": pa.array(counts[rows], pa.int32()),
+        **{side: pa.array(values, pa.float64()) for side, values in zip(_SIDES, box)}, "px": maybe(middle[kept]), "py": maybe(level[kept]),
+    }
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _parts(geometry: Column) -> Column:
+    sides = ", ".join(f"{name}: double" for name in [*_SIDES, "px", "py"])
+
+    @F.arrow_udf(f"array<struct<_part: int, _of: int, {sides}>>")
+    def parts(geometries: pa.Array) -> pa.Array:
+        return parts_of(geometries)
+
+    return parts(geometry)
 
 
 def _digest(geometry: Column) -> list[Column]:
@@ -132,10 +183,76 @@ def enters(near: np.ndarray, ring: np.ndarray) -> bool:
     return False
 
 
+def _dealt(of: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (number in ``of``, row) of each entry with all rows of the group it names."""
+    counts = sizes[of]
+    left = np.repeat(np.arange(len(of)), counts)
+    return left, np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[of][left]
+
+
+def _enters_together(near: list[np.ndarray], ring: list[np.ndarray]) -> np.ndarray:
+    """``enters`` for several units at once, in the same steps."""
+    found = np.zeros(len(near), bool)
+    e_of, c_of = (np.repeat(np.arange(len(near)), [len(a) for a in side]) for side in (near, ring))
+    e, c = np.concatenate(near), np.concatenate(ring)
+    c, s = c[:, :2], c[:, 2:] - c[:, :2]
+    a, r = e[:, :2], e[:, 2:] - e[:, :2]
+    length, span = np.hypot(*s.T), np.hypot(*r.T)
+    c, s, c_of, length = c[length > 0], s[length > 0], c_of[length > 0], length[length > 0]
+    sizes = np.bincount(c_of, minlength=len(near))
+    starts = np.cumsum(sizes) - sizes
+    used = (span > 0) & (sizes[e_of] > 0)
+    a, r, e_of, span = a[used], r[used], e_of[used], span[used]
+    if not len(a):
+        return found
+    i, j = _dealt(e_of, sizes, starts)
+    to = c[j] - a[i]
+    aside = (to[:, 0] * r[i, 1] - to[:, 1] * r[i, 0]) / span[i]
+    turned = r[i, 0] * s[j, 1] - r[i, 1] * s[j, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (to[:, 0] * s[j, 1] - to[:, 1] * s[j, 0]) / turned
+    on = np.abs(aside) <= TOLERANCE
+    every = np.arange(len(a))
+    cuts = np.concatenate([np.zeros(len(a)), np.ones(len(a)), t, ((to * r[i]).sum(axis=1) / span[i] ** 2)[on]])
+    whose = np.concatenate([every, every, i, i[on]])
+    good = np.isfinite(cuts) & (cuts >= 0) & (cuts <= 1)
+    cuts, whose = cuts[good], whose[good]
+    order = np.lexsort((cuts, whose))
+    cuts, whose = cuts[order], whose[order]
+    parts = np.flatnonzero((whose[1:] == whose[:-1]) & (cuts[1:] > cuts[:-1]))
+    edge = whose[parts]
+    p = a[edge] + (cuts[parts + 1] + cuts[parts])[:, None] / 2 * r[edge]
+    m, j = _dealt(e_of[edge], sizes, starts)
+    d = p[m] - c[j]
+    along = np.clip((d * s[j]).sum(axis=1) / length[j] ** 2, 0, 1)
+    firsts = np.flatnonzero(np.append(True, np.diff(m) != 0))
+    away = np.minimum.reduceat(np.hypot(*(d - along[:, None] * s[j]).T), firsts)
+    spans = (c[j, 1] > p[m, 1]) != (c[j, 1] + s[j, 1] > p[m, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = spans & (p[m, 0] < c[j, 0] + (p[m, 1] - c[j, 1]) * s[j, 0] / s[j, 1])
+    odd = np.add.reduceat(left.astype(np.int64), firsts) % 2 == 1
+    found[e_of[edge[(away > TOLERANCE) & odd]]] = True
+    return found
+
+
+def enter(near: list[np.ndarray], ring: list[np.ndarray]) -> np.ndarray:
+    """``enters`` of each unit, taken together up to ``TOGETHER`` numbers at once; a larger unit goes edge by edge."""
+    work = np.array([len(a) * (2 * len(b) + 1) * len(b) for a, b in zip(near, ring)], np.int64)
+    found = np.zeros(len(near), bool)
+    small = np.flatnonzero(work <= TOGETHER)
+    for unit in np.flatnonzero(work > TOGETHER):
+        found[unit] = enters(near[unit], ring[unit])
+    for units in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // TOGETHER)) + 1):
+        if len(units):
+            found[units] = _enters_together([near[u] for u in units], [ring[u] for u in units])
+    return found
+
+
 def _entered():
     @F.pandas_udf("boolean")
     def entered(near: pd.Series, ring: pd.Series) -> pd.Series:
-        return pd.Series([enters(np.asarray(a, float).reshape(-1, 4), np.asarray(b, float).reshape(-1, 4)) for a, b in zip(near, ring)], dtype=bool)
+        rows = lambda side: [np.asarray(a, float).reshape(-1, 4) for a in side]
+        return pd.Series(enter(rows(near), rows(ring)), dtype=bool)
 
     return entered
 
@@ -153,27 +270,29 @@ def covered_children(parents: DataFrame, children: DataFrame, run: str = "runid"
     frames, edges = parent_frames(parents, run)
     marked = children.withColumns({"_run": F.col(run), "_h1": _digest(F.col("geometry"))[0], "_h2": _digest(F.col("geometry"))[1]})
     key = ["_run", "_h1", "_h2"]
-    sound = marked.where(G.valid_coordinates(G.points(F.col("geometry"))))
-    parts = sound.select(*key, F.posexplode("geometry").alias("_part", "_polygon")).where(F.size(F.flatten("_polygon")) > 0)
-    boxed = parts.select(*key, "_part", G.bbox(F.array(F.col("_polygon"))).alias("_b"), _interior_point(F.col("_polygon")).alias("_p"))
     unit = [*key, "_part"]
-    units = boxed.select(*unit, *[F.col(f"_b.{s}").alias(s) for s in _SIDES], "_p.px", "_p.py").distinct()
-    framed = join_parents(units, frames, ["_run"], ["_h1", "_part"], "inner")
+    measured = marked.select(*key, _parts(F.col("geometry")).alias("_parts")).select(*key, F.explode("_parts").alias("_p"))
+    units = measured.select(*key, "_p.*").distinct()
+    # Frames are a row per run and not repeated; where they are too many to send to all tasks, Spark splits a hot run.
+    framed = units.join(frames, "_run")
     inside = (
         (F.col("_box.minx") <= F.col("minx") + TOLERANCE) & (F.col("_box.miny") <= F.col("miny") + TOLERANCE)
         & (F.col("_box.maxx") >= F.col("maxx") - TOLERANCE) & (F.col("_box.maxy") >= F.col("maxy") - TOLERANCE)
     )
     fitting = framed.where(inside).drop("_box")
-    counted = checkpoint(_met(fitting, edges).groupBy(*unit).agg(
+    # What is asked of a unit later is carried along, so that children are measured once.
+    place = ["_of", *_SIDES, "_bands", "_low", "_height"]
+    counted = checkpoint(_met(fitting, edges).groupBy(*unit, *place).agg(
         (F.count_if(_crosses()) % 2 == 1).alias("_in"), F.max("_near").alias("_asked")
     ).where("_in"))
     # The few polygons that a parent edge reaches into, with all their points.
-    asked = counted.where("_asked").select(*unit)
+    asked = counted.where("_asked")
     edge = F.struct(*_ENDS)
-    near = _met(fitting.join(asked, unit, "left_semi"), edges).where("_near").groupBy(*unit).agg(F.collect_set(edge).alias("_edges"))
-    shapes = parts.join(asked, unit, "left_semi").select(*unit, _flat(G.edges(F.array(F.col("_polygon")))).alias("_ring")).dropDuplicates(unit)
+    near = _met(asked.select(*unit, *place), edges).where("_near").groupBy(*unit).agg(F.collect_set(edge).alias("_edges"))
+    wide = marked.select(*key, "geometry").join(asked.select(*key).distinct(), key, "left_semi")
+    parts = wide.select(*key, F.posexplode("geometry").alias("_part", "_polygon")).join(asked.select(*unit), unit, "left_semi")
+    shapes = parts.select(*unit, _flat(G.edges(F.array(F.col("_polygon")))).alias("_ring")).dropDuplicates(unit)
     bad = near.join(shapes, unit).where(_entered()(_flat(F.col("_edges")), F.col("_ring"))).select(*unit)
-    good = counted.join(bad, unit, "left_anti").groupBy(*key).agg(F.count(F.lit(1)).alias("_good"))
-    polygons = F.size(F.filter("geometry", lambda polygon: F.size(F.flatten(polygon)) > 0))
-    narrow = marked.withColumn("_polygons", polygons).drop("geometry")
-    return narrow.join(good, key, "left").withColumn("covered", F.coalesce(F.col("_good") == F.col("_polygons"), F.lit(False))).drop(*key, "_polygons", "_good")
+    good = counted.join(bad, unit, "left_anti").groupBy(*key, "_of").agg(F.count(F.lit(1)).alias("_good")).where("_good = _of")
+    narrow = marked.drop("geometry")
+    return narrow.join(good.select(*key, F.lit(True).alias("covered")), key, "left").withColumn("covered", F.coalesce("covered", F.lit(False))).drop(*key)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,30 @@ def test_a_large_run_is_spread(spark):
     assert abs(found.where("covered").count() - 3000 * math.pi / 4) < 120
     _, edges = containment.parent_frames(parents)
     assert edges.groupBy("_band").count().agg(F.max("count")).first()[0] < 40 and edges.select("_band").distinct().count() == 100
+
+
+def test_units_are_judged_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    near, ring = [], []
+    for _ in range(300):
+        n = int(rng.integers(3, 9))
+        corners = rng.integers(0, 5, (n, 2)).astype(float)
+        ring.append(np.hstack([corners, np.roll(corners, -1, axis=0)]))
+        near.append(rng.integers(0, 5, (int(rng.integers(1, 6)), 4)).astype(float))
+    alone = [containment.enters(a, b) if (np.hypot(*(b[:, 2:] - b[:, :2]).T) > 0).any() else False for a, b in zip(near, ring)]
+    assert containment.enter(near, ring).tolist() == alone and 30 < sum(alone) < 290
+
+
+def test_parts_of_odd_geometries():
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    ring = lambda *ps: [None if p is None else {"x": p[0], "y": p[1]} for p in ps]
+    square = [ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]
+    holed = [square[0], ring((0.5, 0.5), (0.5, 1), (1, 1), (1, 0.5), (0.5, 0.5))]
+    rows = [
+        [square, [], holed], None, [], [[]], [square, None], [[None]], [[ring((0, 0), None, (1, 1))]], [[ring((0, 0), (1, float("nan")))]],
+        [[ring((0, 0), (200, 0), (1, 1), (0, 0))]], [[ring((0, 1), (2, 1), (0, 1))]], [[ring((3, 4))]],
+    ]
+    got = containment.parts_of(pa.array(rows, kind)).to_pylist()
+    assert [(p["_part"], p["_of"], p["minx"], p["maxy"], p["px"], p["py"]) for p in got[0]] == [(0, 2, 0, 2, 1, 1), (2, 2, 0, 2, 1, 0.25)]
+    assert got[1:9] == [[]] * 8 and [(p["px"], p["minx"]) for r in got[9:] for p in r] == [(None, 0), (None, 3)]
+    assert containment.parts_of(pa.array(rows, kind)[2:9]).to_pylist() == [[]] * 7
