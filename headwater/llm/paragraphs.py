@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from headwater.llm.banding import near_components
 from headwater.llm.common import column, discard, free_name, ship, staged
 from headwater.llm.components import components
 from headwater.llm.near_dedup import circulant_minhash_of
-from headwater.llm.shingles import band_keys_of, bands_for, fold, shingle_hashes, word_hashes
+from headwater.llm.shingles import band_keys_of, bands_for, distinct, fold, hashes_of, shingles_of, word_hashes
 
 SHINGLE = 5
 ANCHOR_SPAN = 11
@@ -40,35 +41,51 @@ ROWS = 3
 RECALL = 0.999
 
 
-def anchored_paragraphs(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit digests of the seeds of 12 words that begin at anchors.
+def _anchors(shingles: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a place holds the least (of equal ones the first) of any 11 shingles in a row of its text."""
+    n = len(shingles)
+    place = np.arange(n) - (np.cumsum(sizes) - sizes)[owner]
+    room = sizes[owner] - 1 - place
+    before, after = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    larger, no_less = np.ones(n, bool), np.ones(n, bool)
+    for k in range(1, min(n, ANCHOR_SPAN)):
+        larger[:k] = no_less[-k:] = False
+        larger[k:] &= shingles[:-k] > shingles[k:]
+        no_less[:-k] &= shingles[k:] >= shingles[:-k]
+        before += larger
+        after += no_less
+    chosen = np.minimum(before, place) + np.minimum(after, room) >= ANCHOR_SPAN - 1
+    reach = SEED_WORDS - SHINGLE
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero((sizes > reach) & (sizes < ANCHOR_SPAN)).tolist():
+        begin = ends[i] - sizes[i]
+        chosen[begin + shingles[begin : ends[i] - reach].argmin()] = True
+    return chosen & (room >= reach)
+
+
+def anchored_paragraphs(shingles: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit digests of the seeds of 12 words that begin at anchors, in one text or many of ``sizes`` in a row.
 
     Of seeds that repeat at once, as in a text of one word, those go without which the others still touch.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    reach = SEED_WORDS - SHINGLE
-    if len(shingles) < ANCHOR_SPAN:
-        if len(shingles) <= reach:
-            return none
-        at = np.array([shingles[: len(shingles) - reach].argmin()])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(shingles, ANCHOR_SPAN)
-        at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-        at = at[at + reach < len(shingles)]
+    sizes = np.array([len(shingles)]) if sizes is None else sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(_anchors(shingles, sizes, owner))
     if not len(at):
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    reach = SEED_WORDS - SHINGLE
     digests = fold(shingles[at[:, None] + np.array([*range(0, reach, SHINGLE), reach])], 101)
-    order = np.lexsort((at, digests))
+    order = np.argsort(digests, kind="stable")
     same = np.zeros(len(at) + 1, bool)
-    same[1:-1] = digests[order[1:]] == digests[order[:-1]]
+    same[1:-1] = (digests[order[1:]] == digests[order[:-1]]) & (owner[at[order[1:]]] == owner[at[order[:-1]]])
     again = np.zeros(len(at), bool)
-    if same.any():
-        last_at = 0
-        for i, repeats, following, more in zip(order.tolist(), same[:-1].tolist(), [*order[1:].tolist(), 0], same[1:].tolist()):
-            if repeats and more and at[following] <= last_at + SEED_WORDS:
-                again[i] = True
-            else:
-                last_at = at[i]
+    last_at = 0
+    for x in np.flatnonzero(same[:-1] | same[1:]).tolist():
+        i = order[x]
+        if same[x] and same[x + 1] and at[order[x + 1]] <= last_at + SEED_WORDS:
+            again[i] = True
+        else:
+            last_at = at[i]
     return at[~again], digests[~again]
 
 
@@ -100,47 +117,48 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def paragraph_table(rows: DataFrame) -> DataFrame:
-    """(node, doc, text_hash, start, words, n, bands): all signed parts, and seeds, which have no bands."""
+    """(node, seed, doc, text_hash, start, words, n, bands): signed parts, which have a node, and seeds with a number instead."""
     ship(rows.sparkSession)
     bands = bands_for(0.8, RECALL, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield cut(batch.slice(at, 256))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, nodes, starts, sizes, sets, lines_of, line_sets = [], [], [], [], [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            lines = [len(line.split()) for line in (text or "").encode().split(b"\n")]
-            shingles = shingle_hashes(word_hashes(text), SHINGLE)
-            begin, digests = anchored_paragraphs(shingles)
-            owner += [i] * len(begin)
-            whole = digests.tobytes()
-            nodes += [whole[d : d + 8] for d in range(0, len(whole), 8)]
-            starts += begin.tolist()
-            sizes += [SEED_WORDS] * len(begin)
-            sets += [SEED_WORDS - SHINGLE + 1] * len(begin)
-            for at, words in signed_parts(lines):
-                found = np.unique(shingles[at : at + words - SHINGLE + 1])
-                owner.append(i)
-                nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
-                starts.append(at)
-                sizes.append(words)
-                sets.append(len(found))
-                lines_of.append(len(owner) - 1)
-                line_sets.append(found)
-        keys: list = [None] * len(owner)
-        if line_sets:
-            for at, row in zip(lines_of, band_keys_of(circulant_minhash_of(line_sets, bands * ROWS), bands, ROWS)):
-                keys[at] = row
+                yield from cut(batch.slice(at, 256))
+
+    def table(batch: pa.RecordBatch, owner: list | np.ndarray, **values: pa.Array) -> pa.RecordBatch:
         take = pa.array(owner, pa.int64())
-        numbers = [pa.array(x, pa.int32()) for x in (starts, sizes, sets)]
-        arrays = [pa.array(nodes, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), *numbers, pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names)
+        found = {"doc": batch.column(0).take(take), "text_hash": batch.column(1).take(take)} | values
+        return pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(len(take), f.type)) for f in kinds], schema=kinds)
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hashes, lines = [], []
+        for text in batch.column(2).to_pylist():
+            of_lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
+            lines.append([len(x) for x in of_lines])
+            hashes.append(hashes_of(list(chain.from_iterable(of_lines))))
+        counts = np.array([len(x) for x in hashes], np.int64)
+        shingles, sizes = shingles_of(np.concatenate(hashes), counts, SHINGLE)
+        first = np.cumsum(sizes) - sizes
+        places, digests = anchored_paragraphs(shingles, sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)[places]
+        yield table(batch, owner, seed=pa.array(digests.view(np.int64)), start=pa.array((places - first[owner]).astype(np.int32)))
+        parts = [(i, at, words) for i, of_lines in enumerate(lines) for at, words in signed_parts(of_lines)]
+        if parts:
+            sets = [distinct(shingles[first[i] + at : first[i] + at + words - SHINGLE + 1]) for i, at, words in parts]
+            keys = band_keys_of(circulant_minhash_of(sets, bands * ROWS), bands, ROWS)
+            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
+            yield table(
+                batch, [i for i, _, _ in parts], node=pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                start=pa.array([at for _, at, _ in parts], pa.int32()), words=pa.array([words for _, _, words in parts], pa.int32()),
+                n=pa.array([len(x) for x in sets], pa.int32()), bands=pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
+            )
 
-    names = ["node", "doc", "text_hash", "start", "words", "n", "bands"]
-    return rows.mapInArrow(run, "node binary, doc long, text_hash long, start int, words int, n int, bands array<long>")
+    kinds = pa.schema([
+        ("node", pa.binary()), ("seed", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()),
+        ("words", pa.int32()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())),
+    ])
+    return rows.mapInArrow(run, "node binary, seed long, doc long, text_hash long, start int, words int, n int, bands array<long>")
 
 
 def paragraph_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -165,32 +183,42 @@ def paragraph_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def clusters(hits: list[dict]) -> list[tuple]:
-    """Seeds (keep_doc, keep_hash, keep_start, start) of one document as (keep, own range, keeper's range, chains).
-
-    Seeds that touch on one diagonal are a chain (start, keep_start, words). Short runs beyond a chain can
-    keep a stretch similar over 1.25 times its words at most, so a range of twice the chain and 64 words on
-    both sides is all a chain can need; chains whose ranges meet on both sides go together.
+def chains_of(owner: np.ndarray, keep_doc: np.ndarray, keep_hash: np.ndarray, keep_start: np.ndarray, start: np.ndarray) -> list[tuple]:
+    """Chains (owner, keep_doc, keep_hash, start, diagonal, end) of seeds that touch on one diagonal, in this order."""
+    diagonal = start - keep_start
+    order = np.lexsort((start, diagonal, keep_hash, keep_doc, owner))
+    columns = [x[order] for x in (owner, keep_doc, keep_hash, diagonal, start)]
+    begins = np.ones(len(order), bool)
+    begins[1:] = columns[4][1:] > columns[4][:-1] + SEED_WORDS
+    for x in columns[:4]:
+        begins[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(order)) - 1
+    owner, keep_doc, keep_hash, diagonal, start = (x[first] for x in columns)
+    order = np.lexsort((start, keep_hash, keep_doc, owner)) if len(first) else first
+    end = columns[4][last] + SEED_WORDS if len(first) else first
+    return list(zip(*(x[order].tolist() for x in (owner, keep_doc, keep_hash, start, diagonal, end))))
+
+
+def clusters(chains: list[tuple]) -> list[list]:
+    """Chains of many documents, sorted, as [owner and keeper, own range, keeper's range, chains (start, keep_start, words)].
+
+    Short runs beyond a chain can keep a stretch similar over 1.25 times its words at most, so a range of twice the
+    chain and 64 words on both sides is all a chain can need; chains whose ranges meet on both sides go together.
     """
-    chains: list[list] = []
-    for keep, diagonal, start in sorted(((h["keep_doc"], h["keep_hash"]), h["start"] - h["keep_start"], h["start"]) for h in hits):
-        if chains and chains[-1][0] == keep and chains[-1][1] == diagonal and start <= chains[-1][3]:
-            chains[-1][3] = start + SEED_WORDS
-        else:
-            chains.append([keep, diagonal, start, start + SEED_WORDS])
     out: list[list] = []
-    for keep, diagonal, start, end in sorted(chains, key=lambda c: (c[0], c[2])):
+    for *keep, start, diagonal, end in chains:
         more = 2 * (end - start) + 64
         own = [max(0, start - more), end + more]
         theirs = [max(0, start - diagonal - more), end - diagonal + more]
-        chain = (start, start - diagonal, end - start)
+        found = (start, start - diagonal, end - start)
         last = out[-1] if out else None
         if last and last[0] == keep and own[0] <= last[1][1] and theirs[0] <= last[2][1] and last[2][0] <= theirs[1]:
-            for i, found in ((1, own), (2, theirs)):
-                last[i] = [min(last[i][0], found[0]), max(last[i][1], found[1])]
-            last[3].append(chain)
+            for i, reach in ((1, own), (2, theirs)):
+                last[i] = [min(last[i][0], reach[0]), max(last[i][1], reach[1])]
+            last[3].append(found)
         else:
-            out.append([keep, own, theirs, [chain]])
+            out.append([keep, own, theirs, [found]])
     return out
 
 
@@ -205,27 +233,48 @@ def run_length(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-_JUMPS = sorted(((i, j) for i in range(GAP + 1) for j in range(GAP + 1) if i or j), key=lambda x: (max(x), abs(x[0] - x[1]), x))
-
+def next_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
+    """(gap in a, gap in b, words in common) of the next run of 5 words or more after gaps of up to 8 words.
 
-def runs_beyond(a: np.ndarray, b: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
-    """(end in a, end in b, words in common) of each run of 5 words or more after a gap of up to 8 words."""
-    i = j = 0
-    while max(i, j) <= limit:
-        for x, y in _JUMPS:
-            p, q = a[i + x : i + x + SHINGLE], b[j + y : j + y + SHINGLE]
-            if len(p) == len(q) == SHINGLE and (p == q).all():
-                n = run_length(a[i + x :], b[j + y :])
-                i, j = i + x + n, j + y + n
-                yield i, j, n
-                break
-        else:
-            return
+    Of several runs the next is that of the shortest gap, then of the most even one, then of the lesser in ``a``.
+    """
+    p, q = a[: GAP + SHINGLE], b[: GAP + SHINGLE]
+    if min(len(p), len(q)) < SHINGLE:
+        return None
+    same = p[:, None] == q
+    if np.count_nonzero(same) < SHINGLE:
+        return None
+    height, width = len(p) - SHINGLE + 1, len(q) - SHINGLE + 1
+    met = same[:height, :width].copy()
+    for k in range(1, SHINGLE):
+        met &= same[k : k + height, k : k + width]
+    met[0, 0] = False
+    gaps = [(max(x, y), abs(x - y), x, y) for x, y in zip(*(g.tolist() for g in met.nonzero()))]
+    if not gaps:
+        return None
+    _, _, x, y = min(gaps)
+    return x, y, run_length(a[x:], b[y:])
 
 
 def grown(own: np.ndarray, theirs: np.ndarray, chains: list[tuple[int, int, int]], percent: int) -> list[tuple[int, int]]:
     """The stretches of ``own``, of 25 words or more, to which chains grow; positions count from its start."""
     out: list[tuple[int, int, int]] = []
+    known: dict[tuple[int, int, int], tuple[int, int, int] | None] = {}
+
+    def runs_beyond(step: int, at: int, keep_at: int, limit: int) -> Iterator[tuple[int, int, int]]:
+        """(words, keep_words, words in common) of each run to the right (step 1) or left (-1); chains of one stretch share them."""
+        i = j = 0
+        while max(i, j) <= limit:
+            place = step, at + step * i, keep_at + step * j
+            if place not in known:
+                p, q = (own[place[1] :], theirs[place[2] :]) if step == 1 else (own[: place[1]][::-1], theirs[: place[2]][::-1])
+                known[place] = next_run(p, q)
+            if known[place] is None:
+                return
+            x, y, n = known[place]
+            i, j = i + x + n, j + y + n
+            yield i, j, n
+
     for a, b, n in chains:
         if any(s <= a and a + n <= e and s - t == a - b for s, e, t in out):
             continue
@@ -241,16 +290,15 @@ def grown(own: np.ndarray, theirs: np.ndarray, chains: list[tuple[int, int, int]
             return 100 * shared >= percent * (words + keep_words - 2 * (SHINGLE - 1) - shared)
 
         # Either side may need what the other one adds, so the right end is tried again after the left.
-        for side in ("right", "left", "right"):
-            p, q = (own[end:], theirs[keep_end:]) if side == "right" else (own[:start][::-1], theirs[:keep_start][::-1])
+        for step in (1, -1, 1):
             best, shared = (0, 0, 0), 0
-            for i, j, n in runs_beyond(p, q, limit):
+            for i, j, n in runs_beyond(step, *((end, keep_end) if step == 1 else (start, keep_start)), limit):
                 shared += n - SHINGLE + 1
                 if alike(common + shared, end - start + i, keep_end - keep_start + j):
                     best = i, j, shared
             i, j, shared = best
             common += shared
-            if side == "right":
+            if step == 1:
                 end, keep_end = end + i, keep_end + j
             else:
                 start, keep_start = start - i, keep_start - j
@@ -295,10 +343,13 @@ def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hits = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False))
+            found = [x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten()]
+            numbers = [batch.column(i).to_pylist() for i in range(2)]
             out = []
-            for doc, text_hash, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for keep, own, theirs, chains in clusters(found):
-                    out.append((doc, text_hash, *own, *keep, *theirs, [x for chain in chains for x in chain]))
+            for (i, *keep), own, theirs, chains in clusters(chains_of(owner, *found)):
+                out.append((numbers[0][i], numbers[1][i], *own, *keep, *theirs, [x for found in chains for x in found]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.list_(pa.int32())]
             columns = zip(*out) if out else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
@@ -336,9 +387,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     """Numbered rows of ``docs`` and the spans to take out of them: (doc, text_hash, start, end, keep_doc), in words."""
     rows = numbered(docs, key, text)
     table = staged(paragraph_table(rows))
-    lines = table.where(F.col("bands").isNotNull())
+    lines = table.where("bands IS NOT NULL")
     first = F.min(F.struct("doc", "text_hash", "start", "words")).alias("first")
-    classes = staged(lines.groupBy("node", "n", "bands").agg(first, F.min("doc").alias("low"), F.max("doc").alias("high")))
+    classes = staged(lines.groupBy("node").agg(
+        F.first("n").alias("n"), F.first("bands").alias("bands"), first, F.min("doc").alias("low"), F.max("doc").alias("high")
+    ))
 
     def texts_of(needed: DataFrame) -> DataFrame:
         return paragraph_texts(rows, classes.join(needed, "node").select("node", "first.*"))
@@ -348,9 +401,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     groups = placed.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     of_lines = placed.select("node", "root").join(groups, "root").select("node", F.col("low").alias("keep_doc"))
     repeated = staged(of_lines)
+    discard(classes)
     spans = lines.select("node", "doc", "text_hash", "start", (F.col("start") + F.col("words")).alias("end")).join(repeated, "node")
     of_lines = spans.where("doc <> keep_doc").select("doc", "text_hash", "start", "end", "keep_doc")
-    return rows, of_lines.union(passage_spans(rows, table.where(F.col("bands").isNull()), percent))
+    return rows, of_lines.union(passage_spans(rows, table.where("seed IS NOT NULL").withColumn("node", F.col("seed")), percent))
 
 
 def removals(spans: DataFrame) -> DataFrame:

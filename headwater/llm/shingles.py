@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+KNOWN_WORDS = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -22,10 +23,29 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
+class _Known(dict):
+    """Hashes of words by word; forgets all when it is full, and long words at once."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_KNOWN = _Known()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, in order."""
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of ``words_of(text)``, in order."""
-    words = words_of(text)
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return hashes_of(words_of(text))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -41,6 +61,26 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
+def shingles_of(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of many texts whose words stand in a row, ``counts`` of each, and how many each has."""
+    sizes = np.where(counts < k, np.minimum(counts, 1), counts - k + 1)
+    starts, first = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    if not len(words):
+        return words, sizes
+    whole = shingle_hashes(words, k)
+    found = whole[np.minimum(np.arange(sizes.sum()) + np.repeat(starts - first, sizes), len(whole) - 1)]
+    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        found[first[i]] = shingle_hashes(words[starts[i] : starts[i] + counts[i]], k)[0]
+    return found, sizes
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """``np.unique`` of a short array, without its checks."""
+    found = np.sort(values)
+    new = found[1:] != found[:-1]
+    return found if new.all() else found[np.concatenate([[True], new])]
+
+
 def fold(columns: np.ndarray, salt: int) -> np.ndarray:
     """One 64-bit key of each row."""
     key = np.full(len(columns), salt, np.uint64)

@@ -164,3 +164,29 @@ def test_seeds_of_a_text_with_a_period_leave_no_gap(period):
     text = " ".join(prose(random.Random(period), period) * (200 // period))
     starts, _ = paragraphs.anchored_paragraphs(shingle_hashes(word_hashes(text), 5))
     assert np.diff(starts).max() <= paragraphs.SEED_WORDS
+
+
+def test_texts_in_a_row_give_the_shingles_and_seeds_of_each():
+    from headwater.llm.shingles import distinct, shingle_hashes, shingles_of, word_hashes
+
+    pick = random.Random(7)
+    texts = [" ".join(pick.choice(WORDS[:many]) for _ in range(n)) for n in (0, 1, 4, 5, 11, 12, 15, 16, 60, 200, 0) for many in (1, 3, 3000)]
+    hashes = [word_hashes(t) for t in texts]
+    found, sizes = shingles_of(np.concatenate(hashes), np.array([len(h) for h in hashes]), 5)
+    apart = [shingle_hashes(h, 5) for h in hashes]
+    assert sizes.tolist() == [len(x) for x in apart] and (found == np.concatenate(apart)).all()
+    first = np.cumsum(sizes) - sizes
+    places, digests = paragraphs.anchored_paragraphs(found, sizes)
+    expected = [(f + s, d) for x, f in zip(apart, first.tolist()) for s, d in zip(*(y.tolist() for y in paragraphs.anchored_paragraphs(x)))]
+    assert list(zip(places.tolist(), digests.tolist())) == expected and len(expected) > 100
+    assert all((distinct(x) == np.unique(x)).all() for x in apart)
+
+
+def test_chains_of_one_stretch_share_the_steps_of_its_growth(monkeypatch):
+    pick, steps, one = random.Random(8), [], paragraphs.next_run
+    own = np.array([pick.randrange(2**32) for _ in range(600)], np.uint32)
+    theirs = np.concatenate([part for i in range(0, 600, 30) for part in (own[i : i + 30], [i])]).astype(np.uint32)
+    monkeypatch.setattr(paragraphs, "next_run", lambda a, b: steps.append(1) or one(a, b))
+    chains = [(i, i + i // 30, 12) for i in range(0, 600, 30)]
+    assert paragraphs.grown(own, theirs, chains, 80)
+    assert len(steps) <= 2 * len(chains) + 2
