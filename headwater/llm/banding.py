@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headwater.llm.common import discard, staged
+from headwater.llm.common import discard, release, staged
 from headwater.llm.components import components
 from headwater.llm.shingles import SetCache, shingle_hashes, similar, word_hashes
 
@@ -199,12 +199,15 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     in_bands = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     in_bands = staged(in_bands.join(shared, "band", "left_semi").select("band", "node", "n"))
+    release(in_bands.sparkSession)
     texts = staged(texts_of(in_bands.select("node").distinct()))
+    release(in_bands.sparkSession)
     tested = staged(star_pairs(in_bands, percent, 0))
     links = staged(verified(tested, texts, k, percent))
     roots = staged(components(links))
     unsettled = staged(_open_only(in_bands, roots).select("node", "n").distinct())
     discard(in_bands)
+    release(unsettled.sparkSession)
     if unsettled.isEmpty():
         discard(texts)
         return roots
@@ -216,6 +219,7 @@ def near_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
         roots = staged(components(links))
     rest = staged(_open_only(in_bands, roots))
     discard(in_bands)
+    release(rest.sparkSession)
     if rest.isEmpty():
         discard(texts, sets, rest)
         return roots

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs, which Spark deletes when the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """``wanted``, with underscores added until no column is called so (case aside)."""
     lower = {name.lower() for name in taken}

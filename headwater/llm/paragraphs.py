@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headwater.llm.banding import near_components
-from headwater.llm.common import column, discard, free_name, ship, staged
+from headwater.llm.common import column, discard, free_name, groups_by_size, release, ship, staged, texts_of
 from headwater.llm.components import components
 from headwater.llm.near_dedup import circulant_minhash_of
 from headwater.llm.shingles import band_keys_of, bands_for, distinct, fold, hashes_of, shingles_of, word_hashes
@@ -38,6 +38,7 @@ SEED_WORDS = 12
 LEAST_WORDS = 25
 GAP = 8
 ROWS = 3
+CHARACTERS = 1 << 20  # of texts signed together
 RECALL = 0.999
 
 
@@ -123,18 +124,19 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield from cut(batch.slice(at, 256))
+            texts = texts_of(batch, "text")
+            for start, end in groups_by_size(texts, CHARACTERS):
+                yield from cut(batch.slice(start, end - start), texts[start:end])
 
     def table(batch: pa.RecordBatch, owner: list | np.ndarray, **values: pa.Array) -> pa.RecordBatch:
         take = pa.array(owner, pa.int64())
         found = {"doc": batch.column(0).take(take), "text_hash": batch.column(1).take(take)} | values
         return pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(len(take), f.type)) for f in kinds], schema=kinds)
 
-    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
         hashes, lines = [], []
-        for text in batch.column(2).to_pylist():
-            of_lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
+        for text in texts:
+            of_lines = [line.split() for line in text.encode().lower().split(b"\n")]
             lines.append([len(x) for x in of_lines])
             hashes.append(hashes_of(list(chain.from_iterable(of_lines))))
         counts = np.array([len(x) for x in hashes], np.int64)
@@ -337,6 +339,7 @@ def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
     """(doc, text_hash, start, end, keep_doc): stretches grown from seeds that an earlier document has too."""
     first = F.min(F.struct(F.col("doc").alias("keep_doc"), F.col("text_hash").alias("keep_hash"), F.col("start").alias("keep_start"))).alias("first")
     shared = staged(seeds.groupBy("node").agg(first, F.max("doc").alias("high")).where("first.keep_doc < high").select("node", "first.*"))
+    release(rows.sparkSession)
     hits = seeds.select("node", "doc", "text_hash", "start").join(shared, "node").where("doc <> keep_doc")
     hit = F.struct("keep_doc", "keep_hash", "keep_start", "start")
     per_doc = hits.groupBy("doc", "text_hash").agg(F.collect_set(hit).alias("hits"))
@@ -356,9 +359,12 @@ def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
 
     names = ["doc", "text_hash", "low", "high", "keep_doc", "keep_hash", "keep_low", "keep_high", "chains"]
     placed = staged(per_doc.mapInArrow(place, "doc long, text_hash long, low int, high int, keep_doc long, keep_hash long, keep_low int, keep_high int, chains array<int>"))
+    discard(shared)
+    release(rows.sparkSession)
     own_keys, keep_keys = names[:4], names[4:8]
     wanted = placed.select(*own_keys).union(placed.select(*keep_keys)).distinct()
     cuts = staged(excerpts(rows, wanted))
+    release(rows.sparkSession)
     theirs = cuts.toDF(*keep_keys, "keep_words")
     both = placed.join(cuts, own_keys).join(theirs, keep_keys).select("doc", "text_hash", "low", "keep_doc", "keep_low", "chains", "words", "keep_words")
 
@@ -379,7 +385,8 @@ def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
             )
 
     spans = staged(both.mapInArrow(grow, "doc long, text_hash long, start int, end int, keep_doc long"))
-    discard(shared, placed, cuts)
+    discard(placed, cuts)
+    release(rows.sparkSession)
     return spans
 
 
@@ -393,10 +400,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
         F.first("n").alias("n"), F.first("bands").alias("bands"), first, F.min("doc").alias("low"), F.max("doc").alias("high")
     ))
 
-    def texts_of(needed: DataFrame) -> DataFrame:
+    def texts_for(needed: DataFrame) -> DataFrame:
         return paragraph_texts(rows, classes.join(needed, "node").select("node", "first.*"))
 
-    roots = near_components(classes.select("node", "n", "bands"), texts_of, SHINGLE, percent)
+    roots = near_components(classes.select("node", "n", "bands"), texts_for, SHINGLE, percent)
     placed = classes.select("node", "low", "high").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "high")
     groups = placed.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     of_lines = placed.select("node", "root").join(groups, "root").select("node", F.col("low").alias("keep_doc"))
