@@ -335,8 +335,12 @@ def excerpts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_out.groupBy("doc", "text_hash", "low", "high").agg(F.min("words").alias("words"))
 
 
-def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
-    """(doc, text_hash, start, end, keep_doc): stretches grown from seeds that an earlier document has too."""
+def passage_spans(rows: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """(doc, text_hash, start, end, keep_doc): stretches grown from seeds that an earlier document has too.
+
+    ``table``, staged, has the seeds; it is deleted once they are placed.
+    """
+    seeds = table.where("seed IS NOT NULL").withColumn("node", F.col("seed"))
     first = F.min(F.struct(F.col("doc").alias("keep_doc"), F.col("text_hash").alias("keep_hash"), F.col("start").alias("keep_start"))).alias("first")
     shared = staged(seeds.groupBy("node").agg(first, F.max("doc").alias("high")).where("first.keep_doc < high").select("node", "first.*"))
     release(rows.sparkSession)
@@ -359,7 +363,7 @@ def passage_spans(rows: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
 
     names = ["doc", "text_hash", "low", "high", "keep_doc", "keep_hash", "keep_low", "keep_high", "chains"]
     placed = staged(per_doc.mapInArrow(place, "doc long, text_hash long, low int, high int, keep_doc long, keep_hash long, keep_low int, keep_high int, chains array<int>"))
-    discard(shared)
+    discard(shared, table)
     release(rows.sparkSession)
     own_keys, keep_keys = names[:4], names[4:8]
     wanted = placed.select(*own_keys).union(placed.select(*keep_keys)).distinct()
@@ -399,6 +403,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     classes = staged(lines.groupBy("node").agg(
         F.first("n").alias("n"), F.first("bands").alias("bands"), first, F.min("doc").alias("low"), F.max("doc").alias("high")
     ))
+    release(rows.sparkSession)
 
     def texts_for(needed: DataFrame) -> DataFrame:
         return paragraph_texts(rows, classes.join(needed, "node").select("node", "first.*"))
@@ -410,8 +415,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     repeated = staged(of_lines)
     discard(classes)
     spans = lines.select("node", "doc", "text_hash", "start", (F.col("start") + F.col("words")).alias("end")).join(repeated, "node")
-    of_lines = spans.where("doc <> keep_doc").select("doc", "text_hash", "start", "end", "keep_doc")
-    return rows, of_lines.union(passage_spans(rows, table.where("seed IS NOT NULL").withColumn("node", F.col("seed")), percent))
+    of_lines = staged(spans.where("doc <> keep_doc").select("doc", "text_hash", "start", "end", "keep_doc"))
+    release(rows.sparkSession)
+    return rows, of_lines.union(passage_spans(rows, table, percent))
 
 
 def removals(spans: DataFrame) -> DataFrame:
